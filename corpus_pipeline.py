@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from presswork.llm import mixing, packing, quality, simhash
+from presswork.llm import mixing, packing, pii, quality, simhash
 from presswork.shared import written
 
 
@@ -18,6 +19,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs)
 
 
+def pii_boosting(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data redacted; ``n_chars`` is counted anew."""
+    return pii.redacted(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def poisson_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources weigh alike, shuffled."""
     return mixing.replicate(docs).select(*docs.columns)
@@ -31,6 +37,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("PII", pii_boosting),
     ("mixing", poisson_mixing),
     ("best-fit packing", best_fit_packing),
 ]

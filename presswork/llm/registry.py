@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import mixing, packing, quality, simhash, tokenfiles
+from presswork.llm import mixing, packing, pii, quality, simhash, substrings, tokenfiles, toxicity, vptree, warc
 from presswork.llm.sql import ORACLES
 
 
@@ -17,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Neighbours of a query, and the relaxation of pruning.
+NEIGHBOURS, FACTOR = 20, 1.05
+
+
+def op1_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows, rows.where("vec_id % 20 = 0"), NEIGHBOURS, FACTOR, vptree.shards_for(rows))
+
+
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(rows, pii.fit(rows), drop=("text",))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
     base_failed = ~quality.passes("base-1")
@@ -26,6 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"), keep_payload=False)
+    return rows.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,10 +54,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents")).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_relative_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,5 +78,9 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op5_token_files, op7_best_fit_packing, op9_simhash_near_dedup, op10_poisson_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_vantage_point_neighbours, op2_pii_boosting, op3_quality_rules, op4_warc_salvage, op5_token_files,
+        op6_compression_toxicity, op7_best_fit_packing, op8_relative_parsing, op9_simhash_near_dedup, op10_poisson_mixing,
+    )
+}
