@@ -1,13 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on toxic and on ordinary text. Every window of a text is compressed with
-both; where the toxic dictionary makes it shorter, the window resembles toxic text. A logistic curve, fitted and
-then shifted to the best threshold on labelled rows, turns a document's differences into a score.
+Two zstandard dictionaries are made from labelled text: one of ordinary windows, and one that also holds the word
+beginnings which set toxic text apart, by how many different words they follow there and in ordinary text. (Copies of
+one text add no new contexts, so they don't pass for evidence.) The ordinary one is padded to the same length, so that
+all else costs the same. Every window of a text is compressed with both; where the toxic dictionary makes it shorter,
+it resembles toxic text. A logistic curve, fitted and then shifted to the best threshold on labelled rows, turns a
+document's differences into a score.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +21,15 @@ from pyspark.sql import functions as F
 
 from presswork.llm.batches import filled
 
-#: Bytes of a window, cut after a word, and of the dictionaries.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 128, 16_000, 8_000
+#: Bytes of a window, cut after a word, and of the dictionaries' parts.
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8_000, 4_000
 #: Labelled rows of each class that are fitted on (about; taken by a hash of their ids), and their longest texts.
 FIT_ROWS, FIT_BYTES = 2000, 1 << 16
-#: A difference that counts as a toxic window.
+#: A difference in bytes that counts as a toxic window.
 CLEAR = 3
-#: Word beginnings that set toxic text apart: their lengths, the least documents, and how much more frequent.
-STEMS, STEM_DOCS, STEM_RATIO = (4, 5, 6, 8), 4, 8.0
+#: Word beginnings that set toxic text apart: their lengths, the least contexts (also as a share of the toxic texts),
+#: and how many times more contexts a text than in ordinary ones.
+STEMS, STEM_CONTEXTS, STEM_SHARE, STEM_RATIO = (4, 5, 6, 8, 10), 4, 0.02, 10.0
 
 
 @dataclass
@@ -47,20 +50,44 @@ def windows(text: str) -> list[bytes]:
     return out
 
 
-def _dictionary(size: int, samples: list[bytes]) -> bytes:
+def _trained(samples: list[bytes]) -> bytes:
+    """The content of a dictionary trained on ordinary windows."""
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()[-size:]
+        return zstandard.train_dictionary(ORDINARY_BYTES, samples, k=128, d=6).as_bytes()[-ORDINARY_BYTES:]
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        return b" ".join(samples)[-size:]
+        return b" ".join(samples)[-ORDINARY_BYTES:]
+
+
+def _contexts(texts: list[str]) -> dict[str, set[str]]:
+    """The words that each word beginning follows."""
+    out: dict[str, set[str]] = {}
+    for text in texts:
+        words = text.lower().split()
+        for before, word in zip(["", *words], words):
+            for n in STEMS:
+                if len(word) >= n:
+                    out.setdefault(word[:n], set()).add(before)
+    return out
+
+
+def _contrasted(toxic: list[str], ordinary: list[str]) -> bytes:
+    """Word beginnings of toxic text, the most frequent last, where references to them are shortest."""
+    mine, theirs = _contexts(toxic), _contexts(ordinary)
+    least = max(STEM_CONTEXTS, STEM_SHARE * len(toxic))
+    marked = [s for s, c in mine.items() if len(c) >= least and len(c) / len(toxic) >= STEM_RATIO * (len(theirs.get(s, ())) + 0.5) / len(ordinary)]
+    return "".join(f" {s}" for s in sorted(marked, key=lambda s: (len(mine[s]), s))).encode()[-TOXIC_BYTES:]
 
 
 class Scorer:
     """Compresses windows; one for each task."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        settings = zstandard.ZstdCompressionParameters.from_level(4, source_size=WINDOW, dict_size=len(toxic) + len(ordinary), min_match=4, write_content_size=False, write_dict_id=False, write_checksum=False)
+        settings = zstandard.ZstdCompressionParameters(
+            window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
+            write_content_size=False, write_dict_id=False, write_checksum=False,
+        )
         pair = []
-        for content in (ordinary, toxic + ordinary):
+        for content in (ordinary + bytes(len(toxic)), ordinary + toxic):
             data = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(compression_params=settings)
             pair.append(zstandard.ZstdCompressor(dict_data=data, compression_params=settings).compress)
@@ -70,22 +97,11 @@ class Scorer:
         ordinary, toxic = self.ordinary, self.toxic
         found = [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
         if not found:
-            return [0.0] * 5
+            return [0.0] * 7
         top = sorted(found, reverse=True)[:3] + [0, 0]
-        clear = sum(d >= CLEAR for d in found)
-        return [float(top[0]), float(top[1]), float(top[2]), float(np.log1p(clear)), clear / len(found)]
-
-
-def _samples(texts: list[str], others: list[str]) -> list[bytes]:
-    """Words of toxic texts that begin as few ordinary words do, each as often as it occurs."""
-
-    def stems(text: str) -> set[str]:
-        return {w[:n] for w in text.lower().split() for n in STEMS if len(w) >= n}
-
-    mine, theirs = Counter(s for t in texts for s in stems(t)), Counter(s for t in others for s in stems(t))
-    least = STEM_RATIO * len(texts) / max(1, len(others))
-    marked = {s for s, n in mine.items() if n >= STEM_DOCS and n >= least * (theirs[s] + 0.5)}
-    return [w.encode() for t in texts for w in t.lower().split() if any(w[:n] in marked for n in STEMS)]
+        clear = [d for d in found if d >= CLEAR]
+        against = -sum(d for d in found if d <= -CLEAR)
+        return [float(top[0]), float(top[1]), float(top[2]), float(np.log1p(sum(clear))), -float(np.log1p(against)), len(clear) / len(found), float(np.log1p(len(found)))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -110,10 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic, ordinary = [t for _, t, y in rows if y == 1], [t for _, t, y in rows if y == 0]
     if not toxic or not ordinary:
         return None
-    marked = _samples(toxic, ordinary)
     plain = [w for t in ordinary for w in windows(t)]
-    plain = plain[:: 1 + len(plain) // 8000]
-    model = Model(_dictionary(TOXIC_BYTES, marked) if marked else b"", _dictionary(ORDINARY_BYTES, plain), ())
+    model = Model(_contrasted(toxic, ordinary), _trained(plain[:: 1 + len(plain) // 8000]), ())
     scorer = Scorer(model.toxic, model.ordinary)
     x = np.array([scorer.features(t) for t in toxic + ordinary])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
