@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.batches import filled, slices
-from presswork.llm.tokens import BYTE_BPE, END, with_end
+from presswork.llm.tokens import BYTE_BPE, END, TOKEN_SLICE, with_end
 
 LENGTH = 1024
 #: Open sequences of a part, and documents of a part on average.
@@ -32,7 +32,7 @@ def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = filled(batch.column(1)), batch.column(0)
-            for low, high in slices(texts):
+            for low, high in slices(texts, TOKEN_SLICE):
                 owner, number, starts, sizes, sums, raw = [], [], [], [], [], []
                 for i, ids in enumerate(with_end(texts.slice(low, high - low), tokenizer, end)):
                     cut = (len(ids) - 1) % length + 1

@@ -11,9 +11,9 @@ drawn as (select d.*, mean,
     ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0 as u
     from documents d join means m on m.source = coalesce(d.source, '')),
 steps as (select k from range(0, 65) t(k)),
-terms as (select source, mean, list_transform(range(0, 65), k -> exp(k * ln(mean) - mean - lgamma(k + 1.0))) as p from means),
-sums as (select source, list_transform(range(1, 66), i -> list_sum(p[1:i])) as cdf from terms),
-copies as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, len(list_filter(s.cdf, c -> c <= d.u)) as n
+terms as (select source, mean, list_transform(range(0, 65), lambda k: exp(k * ln(mean) - mean - lgamma(k + 1.0))) as p from means),
+sums as (select source, list_transform(range(1, 66), lambda i: list_sum(p[1:i])) as cdf from terms),
+copies as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, len(list_filter(s.cdf, lambda c: c <= d.u)) as n
     from drawn d join sums s on s.source = coalesce(d.source, '')),
 dealt as (select doc_id, text, lang, source, n_chars, unnest(range(0, n))::int as mix_copy from copies where n > 0)
 select *, md5('mix-1:order:' || coalesce(doc_id::varchar, '') || ':' || mix_copy::varchar) as mix_key from dealt

@@ -23,12 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.llm.batches import filled, slices
-from presswork.llm.tokens import END, WORD_BPE, ragged, with_end, word_tokens
+from presswork.llm.tokens import END, TOKEN_SLICE, WORD_BPE, ragged, with_end, word_tokens
 from presswork.shared import shared_path, written
 
 MAGIC, HEAD = b"PWT1", struct.Struct("<4sIIIQI")
 #: Ids in a block, at least (a longer document is one block), and blocks in a file.
-BLOCK_IDS, FILE_BLOCKS = 1 << 18, 64
+BLOCK_IDS, FILE_BLOCKS = 1 << 18, 16
 #: Ids of a range on average; a range is sorted and written by one task.
 PART_IDS = 1 << 24
 #: No id of a null document: such documents come first.
@@ -91,7 +91,7 @@ def tokenized(df: DataFrame, tokenizer: str = WORD_BPE, end: int = END, doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = filled(batch.column(1))
-            for low, high in slices(texts):
+            for low, high in slices(texts, TOKEN_SLICE):
                 ids = with_end(texts.slice(low, high - low), tokenizer, end)
                 columns = [batch.column(0).slice(low, high - low), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])

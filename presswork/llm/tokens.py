@@ -12,8 +12,10 @@ from tokenizers import Tokenizer
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END = 2
+#: Bytes of text encoded at a time.
+TOKEN_SLICE = 2 << 20
 #: Words kept in a worker (about 200 bytes each), and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 800_000, 32
+KEPT_WORDS, KEPT_CHARS = 400_000, 32
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
