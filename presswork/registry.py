@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.functions import rules as R
 from presswork.functions.dialect import DUCK, SPARK, Dialect
+from presswork.operators import dedup, facts, feed
 from presswork.plans import stories as plan
+from presswork.plans.stories import ARTICLES_SQL
+from presswork.shared import shared_path, written
+from presswork.sources import feeds, pages
+from presswork.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,5 +100,336 @@ for _name, _columns in PROJECTIONS.items():
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked feed of processed stories: the ten best ready for review."""
-    ready = plan.stories(spark, sf_dir).where("status = 'READY_FOR_REVIEW'")
-    return ready.select("article_id", "title", "category", "event_type", "main_company", "final_score", "published_at").orderBy(F.desc("final_score"), F.desc("published_at"), "article_id").limit(10)
+    rows = _slim(spark, sf_dir, "title", "category", "event_type", "main_company", "final_score", "published_at", "status")
+    return rows.where("status = 'READY_FOR_REVIEW'").drop("status").orderBy(F.desc("final_score"), F.desc("published_at"), "article_id").limit(10)
+
+
+# --- deduplication ---
+
+STORIES_SQL = plan.stories_sql()
+
+
+def _slim(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Stored stories: processed once and written, as what follows filters and joins on derived columns, which would
+    otherwise be spelled out again in every predicate that is pushed down."""
+    return written(plan.stories(spark, sf_dir).select("article_id", *columns), "stories")
+
+
+def _founders(key: str) -> Query:
+    return lambda spark, sf_dir: dedup.first_of(_slim(spark, sf_dir, "published_at", key), key)
+
+
+def _founders_sql(key: str) -> str:
+    return f"""with s as (select article_id, first_value(article_id) over (partition by {key} order by published_at, article_id) as founder_id
+        from ({STORIES_SQL}) where {key} <> '') select * from s where article_id <> founder_id"""
+
+
+register("dedup_url", _founders("clean_url"), _founders_sql("clean_url"))
+register("dedup_hash", _founders("content_hash"), _founders_sql("content_hash"))
+register("append_sources", lambda spark, sf_dir: appended(spark, sf_dir), f"""
+    with f as ({_founders_sql("clean_url")}), a as ({ARTICLES_SQL})
+    select distinct f.founder_id as article_id, a.article_url as source_url from f join a using (article_id)
+    where (f.founder_id, a.article_url) not in (select article_id, article_url from a)""")
+register("company_conflict", lambda spark, sf_dir: conflicting(spark, sf_dir), f"""
+    with f as ({_founders_sql("clean_url")}), s as (select article_id, real_companies from ({STORIES_SQL}))
+    select f.article_id, f.founder_id, (len(a.real_companies) > 0 and len(b.real_companies) > 0 and not list_has_any(a.real_companies, b.real_companies)) as conflict
+    from f join s a using (article_id) join s b on b.article_id = f.founder_id""")
+register("recent_pool", lambda spark, sf_dir: plan.articles(spark, sf_dir).where(f"published_at >= {plan.STAMP} - interval '7' day").orderBy(F.desc("published_at"), "article_id").limit(dedup.POOL_ROWS).select("article_id", "published_at"),
+    f"select article_id, published_at from ({ARTICLES_SQL}) where published_at >= {plan.STAMP} - interval '7' day order by published_at desc, article_id limit {dedup.POOL_ROWS}")
+register("dedup_event", lambda spark, sf_dir: dedup.event_links(_slim(spark, sf_dir, "published_at", "event_type", "real_companies")), f"""
+    with e as (select article_id, published_at, event_type, unnest(real_companies) as company from ({STORIES_SQL})
+        where event_type in ({", ".join(DUCK.lit(x) for x in R.CLUSTERABLE)})),
+    p as (select article_id, published_at, lag({{'t': published_at, 'i': article_id}}) over (partition by event_type, company order by published_at, article_id) as b from e),
+    n as (select article_id, max(b) as b from p where b is not null and epoch(published_at) - epoch(b.t) <= 7 * 86400 group by article_id)
+    select article_id, b.i as earlier_id from n""")
+register("title_similarity", lambda spark, sf_dir: dedup.similar_titles(_slim(spark, sf_dir, "published_at", "plain_title")))
+register("dedup_similar", lambda spark, sf_dir: dedup.similar_links(_slim(spark, sf_dir, "published_at", "plain_title", "real_companies")))
+register("find_duplicates", lambda spark, sf_dir: dedup.find_duplicates(_slim(spark, sf_dir, "published_at", "plain_title", "real_companies", "clean_url", "content_hash", "event_type")))
+register("duplicate_clusters", lambda spark, sf_dir: dedup.exact_clusters(_slim(spark, sf_dir, "published_at", "clean_url", "content_hash")))
+register("choose_primary", lambda spark, sf_dir: primaries(spark, sf_dir))
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that duplicates by address add to their founders."""
+    articles = plan.articles(spark, sf_dir).select("article_id", "article_url")
+    new = QUERIES["dedup_url"](spark, sf_dir).join(articles, "article_id").select(F.col("founder_id").alias("article_id"), F.col("article_url").alias("source_url"))
+    return new.distinct().join(articles.withColumnRenamed("article_url", "source_url"), ["article_id", "source_url"], "left_anti")
+
+
+def conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an article and its founder by address name different companies."""
+    stories = _slim(spark, sf_dir, "published_at", "clean_url", "real_companies")
+    found = dedup.first_of(stories, "clean_url")
+    own = stories.selectExpr("article_id", "real_companies as own")
+    other = stories.selectExpr("article_id as founder_id", "real_companies as other")
+    return found.join(own, "article_id").join(other, "founder_id").selectExpr("article_id", "founder_id", f"{dedup.conflicts('own', 'other')} as conflict")
+
+
+def primaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary of every cluster of exact duplicates."""
+    stories = _slim(spark, sf_dir, "published_at", "clean_url", "content_hash", "tier", "source_count")
+    return dedup.choose_primary(dedup.exact_clusters(stories).join(stories, "article_id"))
+
+
+# --- feed ---
+
+_SHOWN = "article_id, title, category, final_score, published_at"
+
+
+def _feed(**filters) -> Query:
+    return lambda spark, sf_dir: feed.feed(_slim(spark, sf_dir, "title", "category", "final_score", "published_at", "status", "source_count"), **filters).select("article_id", "title", "category", "final_score", "published_at")
+
+
+register("feed", _feed(), f"select {_SHOWN} from ({STORIES_SQL}) where status not in ('REJECTED', 'FILTERED', 'MERGED') order by final_score desc, published_at desc, article_id limit 100")
+register("feed_category_page", _feed(status="any", category="IPO", offset=50, limit=50), f"select {_SHOWN} from ({STORIES_SQL}) where category = 'IPO' order by final_score desc, published_at desc, article_id limit 50 offset 50")
+register("feed_newest_medium", _feed(priority="medium", sort="newest"), f"select {_SHOWN} from ({STORIES_SQL}) where status = 'READY_FOR_REVIEW' and final_score >= 40 and final_score < 75 order by published_at desc, article_id limit 100")
+
+
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of every founding story: its own article and those that share its address."""
+    founders = QUERIES["dedup_url"](spark, sf_dir)
+    counts = founders.groupBy(F.col("founder_id").alias("article_id")).agg((F.count("*") + 1).alias("source_count"))
+    own = plan.articles(spark, sf_dir).select("article_id").join(founders, "article_id", "left_anti")
+    return own.join(counts, "article_id", "left").select("article_id", F.coalesce("source_count", F.lit(1)).cast("long").alias("source_count"))
+
+
+register("source_counts", source_counts, f"""with f as ({_founders_sql("clean_url")}), a as ({ARTICLES_SQL})
+    select a.article_id, coalesce(n, 0) + 1 as source_count from a left join (select founder_id, count(*) as n from f group by 1) c on c.founder_id = a.article_id
+    where a.article_id not in (select article_id from f)""")
+register("feed_stats", lambda spark, sf_dir: feed.feed_stats(_slim(spark, sf_dir, "status", "final_score"), plan.articles(spark, sf_dir)), f"""
+    select count(*) as total_articles, count(*) filter (status not in ('REJECTED', 'MERGED')) as unique_events,
+    count(*) filter (status = 'READY_FOR_REVIEW' and final_score >= 75) as high_priority,
+    count(*) filter (status = 'READY_FOR_REVIEW' and final_score >= 40 and final_score < 75) as medium_priority,
+    count(*) filter (status = 'REJECTED') as rejected from ({STORIES_SQL})""")
+register("process_new", lambda spark, sf_dir: _slim(spark, sf_dir, "status", "is_noise", "noise_penalty").groupBy("status").agg(F.count("*").alias("n"), F.count_if("is_noise").alias("n_noise"), F.count_if(F.col("noise_penalty") > 0).alias("n_penalized")),
+    f"select status, count(*) as n, count(*) filter (is_noise) as n_noise, count(*) filter (noise_penalty > 0) as n_penalized from ({STORIES_SQL}) group by 1")
+#: Reports that exist: of every third order; their states by the order's key.
+_REPORTS = {"article_id": "o_orderkey", "status": "case o_orderkey % 4 when 0 then 'COMPLETED' when 1 then 'FAILED' when 2 then 'RESEARCHING' else 'QUEUED' end"}
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").selectExpr(*(f"{e} as {n}" for n, e in _REPORTS.items()))
+
+
+register("research_queue", lambda spark, sf_dir: feed.research_queue(_slim(spark, sf_dir, "status", "importance_score", "postability_score", "final_score", "published_at"), reports(spark, sf_dir), 200).select("article_id", "importance_score", "postability_score", "final_score"), f"""
+    select article_id, importance_score, postability_score, final_score from ({STORIES_SQL}) where status in ('NEW', 'READY_FOR_REVIEW', 'APPROVED')
+    and (importance_score >= 70 or postability_score >= 75)
+    and article_id not in (select o_orderkey from orders where o_orderkey % 3 = 0 and o_orderkey % 4 in (0, 2)) order by final_score desc, published_at desc, article_id limit 200""")
+_ACTIONS = "user_id as article_id, ts, event_id, case event_type when 'purchase' then 'APPROVED' else 'REJECTED' end as new_status"
+register("apply_story_actions", lambda spark, sf_dir: feed.apply_actions(_slim(spark, sf_dir, "status"), table(spark, sf_dir, "events").where("event_type in ('purchase', 'error')").selectExpr(*_ACTIONS.split(", "))), f"""
+    with a as (select {_ACTIONS} from events where event_type in ('purchase', 'error')),
+    l as (select article_id, max({{'t': ts, 'e': event_id, 's': new_status}}).s as s from a group by 1)
+    select article_id, coalesce(l.s, status) as status from (select article_id, status from ({STORIES_SQL})) left join l using (article_id)""")
+
+
+def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source and in all: articles fetched, founding ones, merged ones."""
+    merged = QUERIES["dedup_url"](spark, sf_dir).select("article_id", F.lit(True).alias("merged"))
+    rows = plan.articles(spark, sf_dir).select("article_id", "source_name").join(merged, "article_id", "left")
+    counts = rows.rollup("source_name").agg(F.count("*").alias("fetched"), F.count_if(F.col("merged").isNull()).alias("new"), F.count_if("merged").alias("merged"))
+    return counts.withColumn("source_name", F.coalesce("source_name", F.lit("TOTAL")))
+
+
+register("collection_summary", collection_summary, f"""with f as ({_founders_sql("clean_url")}), a as (select source_name, article_id in (select article_id from f) as merged from ({ARTICLES_SQL}))
+    select coalesce(source_name, 'TOTAL') as source_name, count(*) as fetched, count(*) filter (not merged) as new, count(*) filter (merged) as merged from a group by rollup(source_name)""")
+
+
+def explode_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each entity of a story."""
+    kinds = ("companies", "people", "sectors", "countries", "regulators")
+    pairs = F.array(*(F.struct(F.lit(k).alias("bucket"), F.col(k).alias("names")) for k in kinds))
+    return plan.stories(spark, sf_dir).select("article_id", F.explode(pairs).alias("p")).select("article_id", "p.bucket", F.explode("p.names").alias("name"))
+
+
+register("explode_entities", explode_entities, " union all ".join(f"select article_id, '{k}' as bucket, unnest({k}) as name from ({STORIES_SQL})" for k in ("companies", "people", "sectors", "countries", "regulators")))
+
+# --- facts ---
+
+_SENTENCES_SQL = "select doc_id, trim(s) as sentence from (select doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s from documents) where trim(s) <> ''"
+register("split_sentences", lambda spark, sf_dir: facts.sentences(table(spark, sf_dir, "documents"), "text", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars")),
+    f"select doc_id, count(*) as n, cast(sum(length(sentence)) as bigint) as chars from ({_SENTENCES_SQL}) group by 1")
+register("pct_count", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", f"{SPARK.count('title', R.PERCENT)} as n"), f"select article_id, {DUCK.count('title', R.PERCENT)} as n from ({ARTICLES_SQL})")
+register("keyword_hit", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", f"{SPARK.hit('lower(title)', R.AUDIENCE_2)} as hit"), f"select article_id, {DUCK.hit('lower(title)', R.AUDIENCE_2)} as hit from ({ARTICLES_SQL})")
+
+
+def _money(d: Dialect) -> str:
+    return ", ".join(f"{e} as {n}" for n, e in facts.money(d, "title").items())
+
+
+register("parse_monetary", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", *(f"{e} as {n}" for n, e in facts.money(SPARK, "title").items())), f"select article_id, {_money(DUCK)} from ({ARTICLES_SQL})")
+register("parse_percentage", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", f"{facts.percentage(SPARK, 'title')} as value"), f"select article_id, {facts.percentage(DUCK, 'title')} as value from ({ARTICLES_SQL})")
+
+
+def story_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every headline and summary."""
+    texts = plan.articles(spark, sf_dir).selectExpr("article_id", "concat(title, '. ', summary) as text")
+    return facts.extract_facts(facts.sentences(texts, "text", "article_id"), "article_id")
+
+
+def _facts_sql() -> str:
+    rows = " union all ".join(
+        f"select article_id, pos, {i} as rule, {kind} as fact_type, {original} as original_value, {number} as num_value, {text} as text_value, {currency} as currency, {confidence}::double as confidence, substr(sentence, 1, 250) as context from p where {condition} and {original} <> ''"
+        for i, (condition, kind, original, number, text, currency, confidence) in enumerate(facts.rules(DUCK))
+    )
+    return f"""with a as (select article_id, string_split(regexp_replace(concat(title, '. ', summary), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as s from ({ARTICLES_SQL})),
+        q as (select article_id, unnest(s) as sentence, unnest(range(0, len(s))) as pos from a), p as (select article_id, pos, trim(sentence) as sentence, lower(trim(sentence)) as low from q where trim(sentence) <> ''),
+        f as ({rows}) select * exclude (n) from (select *, row_number() over (partition by article_id, fact_type, num_value, text_value, currency order by pos, rule) as n from f) where n = 1"""
+
+
+_FACT = ("article_id", "fact_type", "original_value", "num_value", "text_value", "currency", "confidence", "context")
+register("extract_facts", lambda spark, sf_dir: story_facts(spark, sf_dir).select(*_FACT), f"select {', '.join(_FACT)} from ({_facts_sql()})")
+register("dedup_facts", lambda spark, sf_dir: story_facts(spark, sf_dir).groupBy("fact_type").agg(F.count("*").alias("n"), F.countDistinct("num_value").alias("n_values")), f"select fact_type, count(*) as n, count(distinct num_value) as n_values from ({_facts_sql()}) group by 1")
+register("fact_confidence_pct", lambda spark, sf_dir: story_facts(spark, sf_dir).selectExpr("article_id", "fact_type", "cast(confidence * 100 as int) as pct").groupBy("fact_type", "pct").agg(F.count("*").alias("n")), f"select fact_type, cast(trunc(confidence * 100) as int) as pct, count(*) as n from ({_facts_sql()}) group by 1, 2")
+
+#: Facts that order lines stand for: an order is a report, a supplier a source, a price a value.
+_LINE_FACTS = {
+    "report_id": "l_orderkey", "pos": "l_linenumber", "source_id": "l_suppkey",
+    "fact_type": "case l_linenumber % 3 when 0 then 'funding_amount' when 1 then 'stock_movement' else 'ipo_price_band' end",
+    "num_value": "case when l_linenumber % 3 < 2 then l_extendedprice end",
+    "text_value": "case when l_linenumber % 3 = 2 then cast(cast(l_quantity as int) % 3 as string) end",
+    "confidence": "case when l_linenumber % 2 = 0 then cast(0.9 as double) else cast(0.85 as double) end",
+}
+_LINE_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in _LINE_FACTS.items()) + " from lineitem"
+
+
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} as {n}" for n, e in _LINE_FACTS.items()))
+
+
+def line_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct suppliers of an order as the sources of its report."""
+    names = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as source_id", "case s_nationkey % 3 when 0 then 'Official filing' when 1 then 'Reuters' else 'Blog' end as source_name", "case s_nationkey % 3 when 0 then 100 when 1 then 85 else 60 end as priority")
+    return line_facts(spark, sf_dir).select("report_id", "source_id").distinct().join(names, "source_id")
+
+
+_MISMATCH_SQL = facts.mismatch("a", "b")
+_CONFLICTS_SQL = f"""select a.report_id, a.fact_type, a.pos as pos_a, b.pos as pos_b, a.source_id as source_a, b.source_id as source_b,
+    case when a.fact_type in ({", ".join(DUCK.lit(x) for x in R.HIGH_SEVERITY)}) then 'HIGH' else 'MEDIUM' end as severity, 'OPEN' as status
+    from ({_LINE_SQL}) a join ({_LINE_SQL}) b on a.report_id = b.report_id and a.fact_type = b.fact_type and a.pos < b.pos where {_MISMATCH_SQL}"""
+register("fact_conflicts", lambda spark, sf_dir: facts.fact_conflicts(line_facts(spark, sf_dir)), _CONFLICTS_SQL)
+register("open_conflicts", lambda spark, sf_dir: facts.fact_conflicts(line_facts(spark, sf_dir)).where("status = 'OPEN'").groupBy("report_id", "severity").agg(F.count("*").alias("n")), f"select report_id, severity, count(*) as n from ({_CONFLICTS_SQL}) where status = 'OPEN' group by 1, 2")
+
+
+def consensus_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_facts(spark, sf_dir)
+    return facts.consensus(rows, facts.fact_conflicts(rows))
+
+
+register("consensus_facts", consensus_facts, f"""with f as ({_LINE_SQL}), c as (select distinct report_id, fact_type from ({_CONFLICTS_SQL})),
+    r as (select f.*, count(*) over (partition by report_id, fact_type) as n, row_number() over (partition by report_id, fact_type order by pos) as rank from f)
+    select r.report_id, r.fact_type, r.pos, case when n > 1 and c.report_id is null then 1.0::double else confidence end as confidence
+    from r left join c using (report_id, fact_type) where n = 1 or c.report_id is not null or rank = 1""")
+
+
+def report_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_facts(spark, sf_dir)
+    return facts.research_confidence(line_sources(spark, sf_dir), rows, facts.fact_conflicts(rows))
+
+
+_CONFIDENCE_SQL = f"""with s as (select distinct l_orderkey as report_id, l_suppkey as source_id from lineitem),
+    n as (select s_suppkey as source_id, case s_nationkey % 3 when 0 then 'official filing' when 1 then 'reuters' else 'blog' end as name, case s_nationkey % 3 when 0 then 100 when 1 then 85 else 60 end as priority from supplier),
+    g as (select report_id, cast(sum(priority) as bigint) as sum, count(*) as n, bool_or(regexp_matches(name, '{"|".join(R.OFFICIAL)}')) as official from s join n using (source_id) group by 1),
+    f as (select l_orderkey as report_id, count(*) as facts from lineitem group by 1),
+    c as (select report_id, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity <> 'HIGH') as other from ({_CONFLICTS_SQL}) group by 1),
+    j as (select g.*, coalesce(facts, 0) as facts, coalesce(high, 0) as high, coalesce(other, 0) as other from g left join f using (report_id) left join c using (report_id))
+    select report_id, cast({facts.CONFIDENCE.format(even="round_even").replace("25 * high - 10 * other)", "25 * high - 10 * other, 0)")} as int) as confidence, case when high > 0 then 'NEEDS_REVIEW' else 'COMPLETED' end as status from j"""
+register("research_confidence", lambda spark, sf_dir: report_confidence(spark, sf_dir).select("report_id", "confidence"), f"select report_id, confidence from ({_CONFIDENCE_SQL})")
+register("report_status", lambda spark, sf_dir: report_confidence(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")), f"select status, count(*) as n from ({_CONFIDENCE_SQL}) group by 1")
+_LABEL = "case when confidence >= 75 then 'HIGH' when confidence >= 45 then 'MEDIUM' when confidence > 0 then 'LOW' else 'UNCONFIRMED' end"
+register("confidence_label", lambda spark, sf_dir: report_confidence(spark, sf_dir).selectExpr("report_id", f"{_LABEL} as label"), f"select report_id, {_LABEL} as label from ({_CONFIDENCE_SQL})")
+
+
+def _why(d: Dialect) -> str:
+    return "case event_type " + " ".join(f"when '{e}' then replace({d.lit(t)}, '{{company}}', coalesce(main_company, 'The entity'))" for e, t in R.WHY.items()) + f" else {d.lit(R.WHY_DEFAULT)} end"
+
+
+register("why_it_matters", lambda spark, sf_dir: plan.stories(spark, sf_dir).selectExpr("article_id", f"{_why(SPARK)} as why"), f"select article_id, {_why(DUCK)} as why from ({STORIES_SQL})")
+
+
+def key_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric facts of headlines, at reduced confidence."""
+    return story_facts(spark, sf_dir).where(F.col("fact_type").isin(*R.NUMERIC_FACTS)).select("article_id", "fact_type", "num_value", F.least("confidence", F.lit(0.6)).alias("confidence"))
+
+
+register("key_numbers", key_numbers, f"select article_id, fact_type, num_value, least(confidence, 0.6::double) as confidence from ({_facts_sql()}) where fact_type in ({', '.join(DUCK.lit(x) for x in R.NUMERIC_FACTS)})")
+_DECISIVE = "('stock_movement', 'profit', 'revenue', 'loss')"
+
+
+def market_impact_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of every story by its first decisive fact."""
+    firsts = story_facts(spark, sf_dir).where(f"fact_type in {_DECISIVE}").groupBy("article_id").agg(F.min(F.struct("pos", "rule", "fact_type", "num_value")).alias("f"))
+    rows = plan.stories(spark, sf_dir).select("article_id", "event_type").join(firsts, "article_id", "left")
+    return rows.select("article_id", facts.impact(F.col("f.fact_type"), F.col("f.num_value"), F.col("event_type")).alias("impact"))
+
+
+register("market_impact_label", market_impact_label, f"""with f as (select article_id, min({{'p': pos, 'r': rule, 'k': fact_type, 'v': num_value}}) as f from ({_facts_sql()}) where fact_type in {_DECISIVE} group by 1)
+    select article_id, case when f.k = 'stock_movement' then case when f.v >= 0 then 'positive' else 'negative' end when f.k in ('profit', 'revenue') then 'positive' when f.k = 'loss' then 'negative'
+    when event_type in ({", ".join(DUCK.lit(x) for x in R.NEGATIVE_EVENTS)}) then 'negative' when event_type in ({", ".join(DUCK.lit(x) for x in R.POSITIVE_EVENTS)}) then 'positive' else 'neutral' end as impact
+    from (select article_id, event_type from ({STORIES_SQL})) left join f using (article_id)""")
+
+
+def _angles(d: Dialect) -> str:
+    lists = " ".join(f"when '{e}' then {d.array(d.lit(a) for a in angles)}" for e, angles in R.ANGLES.items())
+    whole = f"case event_type {lists} else {d.array(d.lit(a) for a in R.DEFAULT_ANGLES)} end"
+    plain = d.where(whole, "x not in ('number_led', 'data_led')")
+    return d.join(f"case when has_facts then {whole} when {d.size(plain)} = 0 then {d.array(d.lit(a) for a in R.DEFAULT_ANGLES)} else {plain} end", "|")
+
+
+def candidate_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles that a story's type and facts allow."""
+    known = key_numbers(spark, sf_dir).select("article_id", F.lit(True).alias("known")).distinct()
+    rows = plan.stories(spark, sf_dir).select("article_id", "event_type").join(known, "article_id", "left").withColumn("has_facts", F.col("known").isNotNull())
+    return rows.selectExpr("article_id", f"{_angles(SPARK)} as angles")
+
+
+register("candidate_angles", candidate_angles, f"""select article_id, {_angles(DUCK)} as angles from (select article_id, event_type, article_id in
+    (select article_id from ({_facts_sql()}) where fact_type in ({", ".join(DUCK.lit(x) for x in R.NUMERIC_FACTS)})) as has_facts from ({STORIES_SQL}))""")
+
+# --- pages and feeds ---
+
+register("extract_article_text", lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", pages.extract_article_text("html").alias("text")))
+register("strip_html_summary", lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", F.length(pages.strip_tags("html")).alias("n_chars")))
+
+
+def ingest_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles landed as feed files and read back."""
+    path = shared_path(spark, "feed")
+    feeds.write_feed(plan.articles(spark, sf_dir), path)
+    return feeds.read_feed(spark, path, plan.AS_OF).select("title", "article_url", "published_at", "summary")
+
+
+register("ingest_rss", ingest_rss, f"select title, article_url, published_at, summary from ({ARTICLES_SQL})")
+
+
+def stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles landed as feed files, taken up as a stream, once by address and title hash."""
+    path, kept = shared_path(spark, "feed"), shared_path(spark, "stream-table")
+    feeds.write_feed(plan.articles(spark, sf_dir), path)
+    ingest.exact_dedup_stream(feeds.read_feed(spark, path, plan.AS_OF, stream=True), kept, shared_path(spark, "stream-checkpoint"))
+    return ingest.stored(spark, kept).select("clean_url", "content_hash", "published_at")
+
+
+register("stream_exact_dedup", stream_exact_dedup)
+_TITLED = "concat(title, case o_orderkey % 3 when 0 then ' - Reuters' when 1 then ' - A very long name of a publisher that takes more than fifty characters' else '' end) as title, 'feed' as source_name"
+register("split_publisher", lambda spark, sf_dir: feeds.split_publisher(plan.articles(spark, sf_dir).withColumnRenamed("article_id", "o_orderkey").selectExpr("o_orderkey as article_id", *_TITLED.split(", 'feed'")[:1], "'feed' as source_name")), f"""
+    with a as (select article_id, {_TITLED.replace("o_orderkey", "article_id")} from ({ARTICLES_SQL})), s as (select *, trim(regexp_extract(title, '(?s)^(.*) - (.*)$', 1)) as h, trim(regexp_extract(title, '(?s)^(.*) - (.*)$', 2)) as p from a)
+    select article_id, case when h <> '' and p <> '' and length(p) < 50 then h else title end as title, case when h <> '' and p <> '' and length(p) < 50 then p else source_name end as source_name from s""")
+register("drop_incomplete", lambda spark, sf_dir: feeds.drop_incomplete(table(spark, sf_dir, "pages").selectExpr("page_id", "regexp_extract(html, '<title>([^<]*)</title>', 1) as title", "url as article_url")).select("page_id"),
+    "select page_id from pages where coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') <> '' and coalesce(url, '') <> ''")
+register("lookup_stories", lambda spark, sf_dir: _slim(spark, sf_dir, "clean_url").join(table(spark, sf_dir, "customer").selectExpr("c_custkey as article_id"), "article_id"), f"select article_id, clean_url from ({STORIES_SQL}) where article_id in (select c_custkey from customer)")
+register("scan_new", lambda spark, sf_dir: table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").selectExpr("o_orderkey as article_id"), "select o_orderkey as article_id from orders where o_orderstatus = 'O'")
+_OLD, _NEW = "o_orderkey as article_id, o_orderstatus as status, o_totalprice as value", "o_orderkey + 100 as article_id, case when o_orderkey % 2 = 0 then 'NEW' end as status"
+
+
+def upsert_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return feed.upsert(orders.selectExpr(*_OLD.split(", ")), orders.where("o_orderkey % 5 = 0").selectExpr("o_orderkey + 100 as article_id", "case when o_orderkey % 2 = 0 then 'NEW' end as status"), "article_id")
+
+
+register("upsert_stories", upsert_stories, f"""select coalesce(b.article_id, a.article_id) as article_id, coalesce(b.status, a.status) as status, a.value
+    from (select {_OLD} from orders) a full join (select {_NEW} from orders where o_orderkey % 5 = 0) b on a.article_id = b.article_id""")
+register("replace_report_children", lambda spark, sf_dir: feed.replace_children(line_facts(spark, sf_dir).select("report_id", "pos"), line_facts(spark, sf_dir).where("report_id % 7 = 0 and pos = 1").selectExpr("report_id", "pos + 100 as pos"), "report_id"), f"""
+    with f as ({_LINE_SQL}), n as (select report_id, pos + 100 as pos from f where report_id % 7 = 0 and pos = 1)
+    select report_id, pos from f where report_id not in (select report_id from n) union all select * from n""")
+register("report_document", lambda spark, sf_dir: line_facts(spark, sf_dir).groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fact_type"))), lambda f: F.concat(f["pos"].cast("string"), F.lit(":"), f["fact_type"])), ",").alias("facts")),
+    f"select report_id, string_agg(cast(pos as varchar) || ':' || fact_type, ',' order by pos, fact_type) as facts from ({_LINE_SQL}) group by 1")
