@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from presswork.functions.rules import CLUSTERABLE
@@ -50,7 +51,7 @@ def event_links(df: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     return near.groupBy("article_id").agg(F.max("before").alias("b")).select("article_id", F.col("b.article_id").alias("earlier_id"))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-matching-block ratio of two texts; the second's index is kept while it stays the same."""
     matcher, last, out = difflib.SequenceMatcher(None), None, []

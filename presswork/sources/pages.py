@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _DROPPED = {"script", "style", "nav", "footer", "header", "aside", "form"}
@@ -90,12 +91,12 @@ def page_text(html: str) -> str | None:
     return "\n".join(line.strip() for line in joined.split("\n") if line.strip()) or None
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def extract_article_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: page_text(h) if h else None)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def strip_tags(html: pd.Series) -> pd.Series:
     """All text of a fragment, without tags, trimmed; null if nothing is left."""
 
