@@ -114,6 +114,8 @@ def _record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
         headers[name.strip().lower()] = value.strip()
     if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
         return "bad length"
+    if "warc-type" not in headers or not re.fullmatch("<[A-Za-z][A-Za-z0-9+.-]*:[^<>\\s]+>", headers.get("warc-record-id", "")):
+        return "bad type or record id"
     begin = split + len(END_MARK)
     end = begin + int(headers["content-length"])
     if data[end : end + len(END_MARK)] != END_MARK:
