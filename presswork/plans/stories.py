@@ -68,12 +68,13 @@ ARTICLES = {
 }
 
 
-def _base(d: Dialect) -> dict[str, str]:
+def _base(d: Dialect, as_of: str) -> dict[str, str]:
+    stamp = f"timestamp '{as_of}'"
     return {
         "raw": "concat(title, ' ', coalesce(summary, ''))",
         "low_title": "lower(title)",
         "low_text": "lower(concat(title, ' ', coalesce(summary, '')))",
-        "hours": f"greatest(({d.seconds(STAMP)} - {d.seconds('published_at')}) / {d.double('3600.0')}, {d.double('0.0')})",
+        "hours": f"greatest(({d.seconds(stamp)} - {d.seconds('published_at')}) / {d.double('3600.0')}, {d.double('0.0')})",
         "source_key": "lower(trim(coalesce(source_name, '')))",
         "plain_title": _clean(d, "title"),
     }
@@ -289,10 +290,10 @@ def _status(d: Dialect) -> dict[str, str]:
     }
 
 
-def layers(d: Dialect) -> list[dict[str, str]]:
+def layers(d: Dialect, as_of: str = AS_OF) -> list[dict[str, str]]:
     classes = _classes(d)
     tags = classes.pop("_tags")
-    return [_base(d), _url(d), _url_joined(d), _hashes(d), classes, _after_classes(d, tags), _kinds(d), _parts(d), _relevance(d), _multipliers(d), _scores(d), _final(d), _status(d)]
+    return [_base(d, as_of), _url(d), _url_joined(d), _hashes(d), classes, _after_classes(d, tags), _kinds(d), _parts(d), _relevance(d), _multipliers(d), _scores(d), _final(d), _status(d)]
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,27 +302,27 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(*(F.expr(e).alias(n) for n, e in ARTICLES.items()))
 
 
-def process(df: DataFrame) -> DataFrame:
-    """All derived columns of articles that have ``source_count``.
+def process(df: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """All derived columns, as of a time, of articles that have ``source_count``.
 
     Null titles and summaries read as empty; a null time gives no freshness and no ageing. Rows aren't compared.
     """
     df = df.withColumns({"title": F.coalesce("title", F.lit("")), "summary": F.coalesce("summary", F.lit(""))})
-    for layer in layers(SPARK):
+    for layer in layers(SPARK, as_of):
         df = df.select("*", *(F.expr(e).alias(n) for n, e in layer.items()))
     return df
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process(articles(spark, sf_dir).withColumn("source_count", F.lit(1)))
+def stories(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+    return process(articles(spark, sf_dir).withColumn("source_count", F.lit(1)), as_of)
 
 
 ARTICLES_SQL = "select " + ", ".join(f"{e} as {n}" for n, e in ARTICLES.items()) + " from orders"
 
 
-def stories_sql() -> str:
+def stories_sql(as_of: str = AS_OF) -> str:
     """A DuckDB query of all stories."""
     sql = f"select *, 1 as source_count from ({ARTICLES_SQL})"
-    for layer in layers(DUCK):
+    for layer in layers(DUCK, as_of):
         sql = f"select *, {', '.join(f'{e} as {n}' for n, e in layer.items())} from ({sql})"
     return sql

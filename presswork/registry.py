@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import rules as R
 from presswork.functions.dialect import DUCK, SPARK, Dialect
-from presswork.operators import dedup, facts, feed
+from presswork.operators import dedup, facts, feed, posts
 from presswork.plans import stories as plan
 from presswork.plans.stories import ARTICLES_SQL
 from presswork.shared import shared_path, written
@@ -433,3 +433,111 @@ register("replace_report_children", lambda spark, sf_dir: feed.replace_children(
     select report_id, pos from f where report_id not in (select report_id from n) union all select * from n""")
 register("report_document", lambda spark, sf_dir: line_facts(spark, sf_dir).groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fact_type"))), lambda f: F.concat(f["pos"].cast("string"), F.lit(":"), f["fact_type"])), ",").alias("facts")),
     f"select report_id, string_agg(cast(pos as varchar) || ':' || fact_type, ',' order by pos, fact_type) as facts from ({_LINE_SQL}) group by 1")
+_STAMPS = {
+    "text": "case event_id % 5 when 0 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") when 1 then concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '+05:30') when 2 then date_format(ts, 'yyyy-MM-dd HH:mm:ss') when 3 then 'no time' end",
+    "published": "case event_id % 4 when 0 then date_format(ts, \"EEE, d MMM yyyy HH:mm:ss '+0000'\") when 1 then date_format(ts, \"d MMM yyyy HH:mm:ss '+0530'\") when 2 then date_format(ts, 'yyyy-MM-dd HH:mm:ss') else 'soon' end",
+}
+register("normalize_timestamps", lambda spark, sf_dir: table(spark, sf_dir, "events").selectExpr("event_id", f"{_STAMPS['text']} as text").select("event_id", feeds.publication_time(F.col("text"), F.lit(None).cast("timestamp")).cast("string").alias("at")),
+    "select event_id, case event_id % 5 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(date_trunc('second', ts) - interval '330' minute, '%Y-%m-%d %H:%M:%S') when 2 then strftime(ts, '%Y-%m-%d %H:%M:%S') end as at from events")
+register("parse_pub_date", lambda spark, sf_dir: table(spark, sf_dir, "events").selectExpr("event_id", f"{_STAMPS['published']} as text").select("event_id", feeds.publication_time(F.col("text"), F.lit(plan.AS_OF).cast("timestamp")).cast("string").alias("at")),
+    f"select event_id, case event_id % 4 when 1 then strftime(date_trunc('second', ts) - interval '330' minute, '%Y-%m-%d %H:%M:%S') when 3 then '{plan.AS_OF}' else strftime(ts, '%Y-%m-%d %H:%M:%S') end as at from events")
+register("image_url", lambda spark, sf_dir: table(spark, sf_dir, "pages").selectExpr("page_id", "nullif(regexp_extract(html, '<img[^>]*src=\"([^\"]*)\"', 1), '') as image_url"), "select page_id, nullif(regexp_extract(html, '<img[^>]*src=\"([^\"]*)\"', 1), '') as image_url from pages")
+
+
+def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old rows without a column and new ones with it, the column's default in the old ones."""
+    orders = table(spark, sf_dir, "orders")
+    old = orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey as id")
+    new = orders.where("o_orderkey % 2 = 1").selectExpr("o_orderkey as id", "o_orderpriority as priority")
+    return old.unionByName(new, allowMissingColumns=True).na.fill({"priority": "none"})
+
+
+register("evolve_schema", evolve_schema, "select o_orderkey as id, case when o_orderkey % 2 = 0 then 'none' else o_orderpriority end as priority from orders")
+
+
+def story_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Founding stories with the articles of their address, joined in order."""
+    stories = _slim(spark, sf_dir, "title", "published_at", "clean_url", "source_name")
+    firsts = stories.groupBy("clean_url").agg(F.min(F.struct("published_at", "article_id", "title")).alias("f"), F.array_sort(F.collect_list(F.struct("article_id", "source_name"))).alias("s"))
+    return firsts.select(F.col("f.article_id").alias("article_id"), F.col("f.title").alias("title"), F.expr("array_join(transform(s, x -> concat(cast(x.article_id as string), ':', x.source_name)), ',')").alias("sources"))
+
+
+register("story_document", story_document, f"""select min({{'p': published_at, 'i': article_id, 't': title}}).i as article_id, min({{'p': published_at, 'i': article_id, 't': title}}).t as title,
+    string_agg(cast(article_id as varchar) || ':' || source_name, ',' order by article_id) as sources from ({STORIES_SQL}) group by clean_url""")
+_BEST = "tier, published_at, article_id"
+register("promote_primary", lambda spark, sf_dir: _slim(spark, sf_dir, "title", "source_name", "published_at", "tier", "content_hash").groupBy("content_hash").agg(F.min(F.struct("published_at", "article_id")).alias("o"), F.min(F.struct("tier", "published_at", "article_id", "source_name")).alias("b")).select(F.col("o.article_id").alias("article_id"), F.col("b.source_name").alias("source_name"), F.col("b.article_id").alias("shown_id")), f"""
+    with s as (select * from ({STORIES_SQL})), o as (select content_hash, article_id, row_number() over (partition by content_hash order by published_at, article_id) as n from s),
+    b as (select content_hash, source_name, article_id, row_number() over (partition by content_hash order by {_BEST}) as n from s)
+    select o.article_id, b.source_name, b.article_id as shown_id from o join b using (content_hash) where o.n = 1 and b.n = 1""")
+
+
+def hash_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories of equal title hashes: the primary of each group, and each row's place in it."""
+    stories = _slim(spark, sf_dir, "published_at", "tier", "source_count", "content_hash", "status")
+    order = F.struct("tier", (-F.col("source_count")).alias("n"), "published_at", "article_id")
+    groups = stories.groupBy("content_hash").agg(F.min(order)["article_id"].alias("primary_id"), F.count("*").alias("size")).where("size > 1")
+    return stories.join(groups, "content_hash", "left")
+
+
+_PLAN_SQL = f"""select *, first_value(article_id) over (partition by content_hash order by tier, -source_count, published_at, article_id) as primary_id,
+    count(*) over (partition by content_hash) as size from ({STORIES_SQL})"""
+register("reconciliation_plan", lambda spark, sf_dir: hash_plan(spark, sf_dir).where("article_id <> primary_id").groupBy("primary_id", "size").agg(F.array_join(F.array_sort(F.collect_list("article_id")), ",").alias("duplicate_ids")), f"""
+    select primary_id, size, string_agg(cast(article_id as varchar), ',' order by article_id) as duplicate_ids from ({_PLAN_SQL}) where size > 1 and article_id <> primary_id group by 1, 2""")
+register("apply_plan", lambda spark, sf_dir: hash_plan(spark, sf_dir).selectExpr("article_id", "if(article_id <> primary_id, 'MERGED', status) as status", "if(article_id <> primary_id, primary_id, null) as merged_into_id").selectExpr("article_id", "status", "coalesce(cast(merged_into_id as string), '') as merged_into_id"), f"""
+    select article_id, case when size > 1 and article_id <> primary_id then 'MERGED' else status end as status, case when size > 1 and article_id <> primary_id then cast(primary_id as varchar) else '' end as merged_into_id from ({_PLAN_SQL})""")
+_NEXT = "2001-08-02 00:00:00"
+register("rescore", lambda spark, sf_dir: plan.stories(spark, sf_dir, _NEXT).select("article_id", "freshness_bonus", "staleness_multiplier", "final_score"), f"select article_id, freshness_bonus, staleness_multiplier, final_score from ({plan.stories_sql(_NEXT)})")
+register("reprocess", lambda spark, sf_dir: plan.process(plan.articles(spark, sf_dir).join(table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 3 as article_id"), "article_id", "left_semi").withColumn("source_count", F.lit(1)), _NEXT).select("article_id", "final_score"), f"select article_id, final_score from ({plan.stories_sql(_NEXT)}) where article_id in (select s_suppkey * 3 from supplier)")
+register("late_articles", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", f"published_at < {plan.STAMP} - interval '7' day as late"), f"select article_id, published_at < {plan.STAMP} - interval '7' day as late from ({ARTICLES_SQL})")
+
+
+def _terms(d: Dialect) -> str:
+    start = "concat(split_part(title, ' ', 1), ' ', split_part(title, ' ', 2), ' ', split_part(title, ' ', 3))"
+    return f"case when main_company is null and category = 'OTHER' then {start} else trim(concat(coalesce(main_company, ''), ' ', case when category = 'OTHER' then '' else category end)) end"
+
+
+register("search_terms", lambda spark, sf_dir: plan.stories(spark, sf_dir).selectExpr("article_id", f"{_terms(SPARK)} as terms"), f"select article_id, {_terms(DUCK)} as terms from ({STORIES_SQL})")
+_KIND = "case when contains(article_url, 'news.google') then 'google_news' else 'rss' end"
+register("research_sources", lambda spark, sf_dir: _slim(spark, sf_dir, "article_url", "clean_url", "research_priority").groupBy("clean_url", "article_url").agg(F.max("research_priority").alias("priority")).selectExpr("clean_url", "trim(article_url) as url", "priority", f"{_KIND} as kind"), f"""
+    select clean_url, trim(article_url) as url, max(research_priority) as priority, {_KIND} as kind from ({STORIES_SQL}) group by clean_url, article_url""")
+register("cache_reuse", lambda spark, sf_dir: table(spark, sf_dir, "pages").selectExpr("page_id", "md5(coalesce(html, '')) as digest").join(table(spark, sf_dir, "pages").where("page_id % 3 = 0").selectExpr("page_id as done_id"), F.expr("page_id = done_id"), "left").selectExpr("page_id", "digest", "if(done_id is null, 'EXTRACT', 'REUSE') as action"),
+    "select page_id, md5(coalesce(html, '')) as digest, case when page_id % 3 = 0 then 'REUSE' else 'EXTRACT' end as action from pages")
+register("drafts_list", lambda spark, sf_dir: table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).selectExpr("o_orderkey as draft_id", "o_orderdate as created_at"), "select o_orderkey as draft_id, o_orderdate as created_at from orders where o_orderstatus = 'O' order by o_orderdate desc, o_orderkey limit 50")
+_DRAFT = "case event_type when 'click' then 'EDITED' when 'error' then 'DISCARDED' else 'POSTED' end"
+register("apply_draft_actions", lambda spark, sf_dir: feed.apply_actions(table(spark, sf_dir, "customer").selectExpr("c_custkey as article_id", "'NEW' as status"), table(spark, sf_dir, "events").where("event_type in ('click', 'error', 'purchase')").selectExpr("user_id as article_id", "ts", "event_id", f"{_DRAFT} as new_status")).withColumnRenamed("article_id", "draft_id"), f"""
+    select c_custkey as draft_id, coalesce(s, 'NEW') as status from customer left join (select user_id, max({{'t': ts, 'e': event_id, 's': {_DRAFT}}}).s as s from events where event_type in ('click', 'error', 'purchase') group by 1) on user_id = c_custkey""")
+register("regenerate_guard", lambda spark, sf_dir: table(spark, sf_dir, "orders").where("o_orderstatus not in ('F', 'P')").selectExpr("o_orderkey as draft_id"), "select o_orderkey as draft_id from orders where o_orderstatus = 'O'")
+
+# --- posts ---
+
+
+def _first_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two numeric facts of a story, and its first stock movement."""
+    rows = story_facts(spark, sf_dir).where(F.col("fact_type").isin(*R.NUMERIC_FACTS))
+    listed = rows.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rule", "fact_type", "num_value", "currency"))).alias("f"), F.min_by("num_value", F.when(F.col("fact_type") == "stock_movement", F.struct("pos", "rule"))).alias("moved"))
+    return listed.selectExpr("article_id", "moved", "f[0].fact_type as kind_1", "f[0].num_value as value_1", "f[0].currency as currency_1", "try_element_at(f, 2).fact_type as kind_2")
+
+
+_FIRST_SQL = f"""select article_id, min(case when fact_type = 'stock_movement' then {{'p': pos, 'r': rule, 'v': num_value}} end).v as moved, l[1].k as kind_1, l[1].v as value_1, l[1].c as currency_1, l[2].k as kind_2
+    from (select *, list_sort(list({{'p': pos, 'r': rule, 'k': fact_type, 'v': num_value, 'c': currency}}) over (partition by article_id)) as l from ({_facts_sql()}) where fact_type in ({", ".join(DUCK.lit(x) for x in R.NUMERIC_FACTS)})) group by article_id, l"""
+
+
+def post_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eligible hooks of every story."""
+    angles = candidate_angles(spark, sf_dir).select("article_id", F.split("angles", r"\|").alias("angles"))
+    impact = market_impact_label(spark, sf_dir)
+    stories = _slim(spark, sf_dir, "title", "event_type", "main_company").join(angles, "article_id").join(impact, "article_id")
+    return written(posts.candidates(stories, _first_facts(spark, sf_dir)), "post-candidates")
+
+
+_HOOKS_SQL = f"""with a as ({ORACLES["candidate_angles"]}), i as ({ORACLES["market_impact_label"]}), f as ({_FIRST_SQL}),
+    s as (select article_id, title, event_type, main_company, impact, string_split(angles, '|') as l, moved, kind_1, value_1, currency_1, kind_2 from ({STORIES_SQL}) join a using (article_id) join i using (article_id) left join f using (article_id)),
+    e as (select * exclude (l), unnest(l) as strategy, unnest(range(0, len(l))) as position from s), h as (select *, {posts.hook(DUCK)} as hook from e)
+    select *, {posts.post(DUCK)} as post from h where hook is not null"""
+register("hook_candidates", lambda spark, sf_dir: post_candidates(spark, sf_dir).select("article_id", "strategy", "hook"), f"select article_id, strategy, hook from ({_HOOKS_SQL})")
+register("compose_post", lambda spark, sf_dir: post_candidates(spark, sf_dir).select("article_id", "strategy", "post"), f"select article_id, strategy, post from ({_HOOKS_SQL})")
+register("reject_reason", lambda spark, sf_dir: table(spark, sf_dir, "documents").selectExpr("doc_id", f"{posts.reject_reason(SPARK, 'text')} as reason"))
+register("draft_quality", lambda spark, sf_dir: posts.scored(post_candidates(spark, sf_dir)).select("article_id", "strategy", *posts.WEIGHTS, "quality"))
+register("headline_rewrite", lambda spark, sf_dir: posts.scored(post_candidates(spark, sf_dir)).selectExpr("article_id", "strategy", "similarity", "not adds_info as rewrite"))
+register("select_post", lambda spark, sf_dir: posts.select_post(posts.scored(post_candidates(spark, sf_dir))))
+register("diverse_alternates", lambda spark, sf_dir: posts.diverse_alternates(posts.scored(post_candidates(spark, sf_dir))))
