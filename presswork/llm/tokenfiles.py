@@ -85,21 +85,41 @@ def decode_blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 def tokenized(df: DataFrame, tokenizer: str = WORD_BPE, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids)``, ids as little-endian unsigned integers of 16 bits if the vocabulary allows, else 32."""
+    """``(doc_id, n_tokens, ids)``, ids as little-endian unsigned integers of 16 bits if the vocabulary allows, else 32.
+
+    Each task ends with one row of ``n_tokens`` -1, whose ``ids`` count its ids (each id in 32 bits, then each count in
+    64 bits), so that frequencies need no further pass.
+    """
     width = id_type(tokenizer)
+    names = ["doc_id", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
             texts = filled(batch.column(1))
             for low, high in slices(texts, TOKEN_SLICE):
                 ids = with_end(texts.slice(low, high - low), tokenizer, end)
+                found = np.bincount(np.concatenate(ids), minlength=len(total))
+                found[: len(total)] += total
+                total = found
                 columns = [batch.column(0).slice(low, high - low), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(columns, names)
+            pa.default_memory_pool().release_unused()
+        used = np.flatnonzero(total)
+        counts = used.astype("<u4").tobytes() + total[used].astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([NO_ID]), pa.array([-1]), pa.array([counts], pa.binary())], names)
 
     rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for counts in batch.column(0).to_pylist():
+            n = len(counts) // 12
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(counts, "<u4", n).astype(np.int64)), pa.array(np.frombuffer(counts, "<i8", n, 4 * n))], ["id", "n"])
+
+
 def id_type(tokenizer: str) -> str:
     return "<u2" if word_tokens(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -114,18 +134,10 @@ def write_files(df: DataFrame, path: str, tokenizer: str = WORD_BPE, doc_id: str
     """
     spark = df.sparkSession
     width = id_type(tokenizer)
-    rows = written(tokenized(df, tokenizer, END, doc_id, text), "token-ids")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+    made = written(tokenized(df, tokenizer, END, doc_id, text), "token-ids")
+    rows = made.where("n_tokens >= 0")
 
-    counts = rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = made.where("n_tokens < 0").select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # The vocabulary bounds these rows, so one window may rank them and each task may hold them.
     ranks = counts.select((F.row_number().over(W.orderBy(F.desc("n"), "id")) - 1).alias("rank"), "id", "n")
     ranks.write.parquet(f"{path}/ranks")

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -69,8 +70,13 @@ def quality(text):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed
 
 
+@lru_cache
+def tokenizer(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def tokens(text, name):
-    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids + [2]
+    return tokenizer(name).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
