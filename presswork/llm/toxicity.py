@@ -27,6 +27,8 @@ WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8_000, 4_000
 FIT_ROWS, FIT_BYTES = 2000, 1 << 16
 #: A difference in bytes that counts as a toxic window.
 CLEAR = 3
+#: How much more finding a toxic document counts than leaving a clean one alone.
+BETA = 1.5
 #: Word beginnings that set toxic text apart: their lengths, the least contexts (also as a share of the toxic texts),
 #: and how many times more contexts a text than in ordinary ones.
 STEMS, STEM_CONTEXTS, STEM_SHARE, STEM_RATIO = (4, 5, 6, 8, 10), 4, 0.02, 10.0
@@ -39,14 +41,14 @@ class Model:
     weights: tuple[float, ...]
 
 
-def windows(text: str) -> list[bytes]:
-    raw, out, low = text.lower().encode(), [], 0
+def windows(text: str, shift: int = 0) -> list[bytes]:
+    """Windows of a text; ``shift`` makes the first one shorter, so that others begin elsewhere."""
+    raw, out, low, size = text.lower().encode(), [], 0, WINDOW - shift
     while low < len(raw):
-        high = raw.find(b" ", low + WINDOW)
-        high = len(raw) if high < 0 or high > low + 2 * WINDOW else high
-        high = min(high, low + 2 * WINDOW)
+        high = raw.find(b" ", low + size)
+        high = min(len(raw) if high < 0 else high, low + 2 * WINDOW)
         out.append(raw[low:high])
-        low = high
+        low, size = high, WINDOW
     return out
 
 
@@ -95,7 +97,7 @@ class Scorer:
 
     def features(self, text: str) -> list[float]:
         ordinary, toxic = self.ordinary, self.toxic
-        found = [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
+        found = [len(ordinary(w)) - len(toxic(w)) for w in windows(text) + windows(text, WINDOW // 2)]
         if not found:
             return [0.0] * 7
         top = sorted(found, reverse=True)[:3] + [0, 0]
@@ -131,12 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     scorer = Scorer(model.toxic, model.ordinary)
     x = np.array([scorer.features(t) for t in toxic + ordinary])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    model.weights = tuple(_calibrate(x, y))
+    # Of the rows that the sample stands for, as many are ordinary for each toxic one as among all labelled rows.
+    model.weights = tuple(_calibrate(x, y, (counts[0] / len(ordinary)) / (counts[1] / len(toxic))))
     return model
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, then the intercept moved so that 0.5 is the best threshold by F1."""
+def _calibrate(x: np.ndarray, y: np.ndarray, ordinary: float = 1.0) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, then the intercept moved so that 0.5 is the best threshold by
+    the F measure of BETA, where a row of label 0 counts ``ordinary`` times."""
     x = np.hstack([np.ones((len(x), 1)), x])
     weights, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [1.0] * (x.shape[1] - 1))
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())) * len(y)
@@ -148,9 +152,9 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     edges = np.unique(margin)
     cuts = np.append((edges[1:] + edges[:-1]) / 2, edges[-1] + 1) if len(edges) > 1 else edges + 1
     right = np.array([(y[margin >= c] == 1).sum() for c in cuts])
-    picked = np.array([(margin >= c).sum() for c in cuts])
-    f1 = 2 * right / (picked + y.sum())
-    weights[0] -= float(np.median(cuts[f1 == f1.max()]))
+    picked = right + ordinary * np.array([(y[margin >= c] == 0).sum() for c in cuts])
+    f = (1 + BETA**2) * right / (picked + BETA**2 * y.sum())
+    weights[0] -= float(np.median(cuts[f == f.max()]))
     return weights
 
 
