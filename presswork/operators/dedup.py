@@ -88,8 +88,8 @@ def similar_titles(df: DataFrame, least: float = SIMILAR, days: int = LOOKBACK_D
 def similar_links(df: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """``(article_id, earlier_id)``: the latest earlier story whose title is similar (equal ones too), without conflict.
 
-    For each title and each set of companies, the rows of a title are searched by the last one before an article, so
-    links grow with the articles and the similar titles, not with pairs of articles.
+    Only similar titles meet, in stretches of the window's length, and each article keeps one link; but an article does
+    meet every earlier one of a similar title in its window, so a title that repeats very often there costs its square.
     """
     pairs = similar_titles(df, days=days).select("title", "earlier_title")
     same = df.select(F.col("plain_title").alias("title"), F.col("plain_title").alias("earlier_title")).where("title <> ''").distinct()
