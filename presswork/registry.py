@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from presswork.functions import rules as R
 from presswork.functions.dialect import DUCK, SPARK, Dialect
 from presswork.operators import dedup, facts, feed, posts
+from presswork.operators import reports as reports_text
 from presswork.plans import stories as plan
 from presswork.plans.stories import ARTICLES_SQL
 from presswork.shared import shared_path, written
@@ -541,3 +542,29 @@ register("draft_quality", lambda spark, sf_dir: posts.scored(post_candidates(spa
 register("headline_rewrite", lambda spark, sf_dir: posts.scored(post_candidates(spark, sf_dir)).selectExpr("article_id", "strategy", "similarity", "not adds_info as rewrite"))
 register("select_post", lambda spark, sf_dir: posts.select_post(posts.scored(post_candidates(spark, sf_dir))))
 register("diverse_alternates", lambda spark, sf_dir: posts.diverse_alternates(posts.scored(post_candidates(spark, sf_dir))))
+
+# --- reports ---
+
+_TOLD = f"fact_type in ({', '.join(DUCK.lit(x) for x in reports_text.REPORTED)})"
+
+
+def assemble_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text report of every story that its own article tells."""
+    lines = story_facts(spark, sf_dir).where(_TOLD).withColumn("line", F.expr(reports_text.fact_line(SPARK)))
+    numbers = lines.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rule", "line"))).alias("l")).selectExpr("article_id", "array_join(transform(l, x -> x.line), chr(10)) as numbers")
+    columns = ("title", "summary", "main_company", "category", "event_type", "companies", "sectors", "countries", "source_name", "article_url", "research_priority", "confidence_score")
+    return _slim(spark, sf_dir, *columns).join(numbers, "article_id", "left").selectExpr("article_id", f"{reports_text.report(SPARK, _why(SPARK))} as report")
+
+
+register("assemble_report", assemble_report, f"""with n as (select article_id, string_agg({reports_text.fact_line(DUCK)}, chr(10) order by pos, rule) as numbers from ({_facts_sql()}) where {_TOLD} group by 1)
+    select article_id, {reports_text.report(DUCK, _why(DUCK))} as report from (select * from ({STORIES_SQL})) left join n using (article_id)""")
+
+
+def upsert_report_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by key, some of them given anew with full confidence."""
+    keyed = line_facts(spark, sf_dir).selectExpr("concat(report_id, ':', pos) as fact_id", "report_id", "confidence")
+    keyed = keyed.groupBy("fact_id", "report_id").agg(F.max("confidence").alias("confidence"))
+    return feed.upsert(keyed, keyed.where("report_id % 5 = 0").selectExpr("fact_id", "1.0D as confidence"), "fact_id")
+
+
+register("upsert_report_children", upsert_report_children, f"select concat(report_id, ':', pos) as fact_id, report_id, case when report_id % 5 = 0 then 1.0::double else max(confidence) end as confidence from ({_LINE_SQL}) group by report_id, pos")
