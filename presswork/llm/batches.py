@@ -53,8 +53,8 @@ def append_columns(
     ``compute`` takes texts without nulls and returns an array for each field. A column of ``df`` that has the name
     of a new one is replaced; those in ``drop`` are left out.
     """
-    new = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new and f.name not in drop]
     names = [f.name for f in kept]
     schema = T.StructType(kept + fields)
     types = [to_arrow_type(f.dataType) for f in fields]

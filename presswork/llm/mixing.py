@@ -49,7 +49,7 @@ def replicate(
     empty. Columns of the table named ``mix_copy`` or ``mix_key`` are replaced. Beyond BROADCAST_SOURCES sources the
     means are joined by a shuffle, in which adaptive execution splits a source that holds much of the rows.
     """
-    own = [c for c in df.columns if c not in ("mix_copy", "mix_key")]
+    own = [c for c in df.columns if c.lower() not in ("mix_copy", "mix_key")]
     name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     uniform = F.conv(F.substring(F.md5(name), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
     counts = (

@@ -120,5 +120,8 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def filter_quality(df: DataFrame, policy: str = "strict-1", text: str = "text") -> DataFrame:
-    """The rows, with their own columns, that pass the policy."""
-    return ledger(df, text).where(passes(policy)).select(*df.columns)
+    """The rows, with their own columns (those with names of the ledger too), that pass the policy."""
+    taken = {*MEASURES, "rule_bits"}
+    aside = {c: f"__own_{c}" for c in df.columns if c.lower() in taken}
+    judged = ledger(df.withColumnsRenamed(aside), text).where(passes(policy))
+    return judged.select(*(F.col(aside.get(c, c)).alias(c) for c in df.columns))

@@ -287,4 +287,6 @@ def test_clashing_columns(documents):
     n = documents.count()
     assert quality.ledger(extra).count() == pii.detect(extra, None).count() == simhash.near_duplicates(extra).count() == n
     assert quality.filter_quality(extra).columns == simhash.keep_one(extra).columns == extra.columns
+    assert quality.filter_quality(extra).where("n_words = lang").count() == quality.filter_quality(extra).count() > 0
+    assert quality.ledger(documents.withColumn("N_Words", documents["lang"])).agg({"n_words": "max"}).first()[0] > 0
     assert packing.pack_documents(extra).select("doc_id").distinct().count() == substrings.remove_repeats(extra).count() == n
