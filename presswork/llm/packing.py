@@ -22,6 +22,8 @@ from presswork.llm.tokens import BYTE_BPE, END, TOKEN_SLICE, with_end
 LENGTH = 1024
 #: Open sequences of a part, and documents of a part on average.
 OPEN, PART_DOCS = 16_384, 32_768
+#: Words that a worker keeps with their ids.
+WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +36,7 @@ def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end:
             texts, keys = filled(batch.column(1)), batch.column(0)
             for low, high in slices(texts, TOKEN_SLICE):
                 owner, number, starts, sizes, sums, raw = [], [], [], [], [], []
-                for i, ids in enumerate(with_end(texts.slice(low, high - low), tokenizer, end)):
+                for i, ids in enumerate(with_end(texts.slice(low, high - low), tokenizer, end, WORDS)):
                     cut = (len(ids) - 1) % length + 1
                     edges = [0, *range(cut, len(ids) + 1, length)]
                     for k in range(len(edges) - 1):

@@ -14,7 +14,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END = 2
 #: Bytes of text encoded at a time.
 TOKEN_SLICE = 2 << 20
-#: Words kept in a worker (about 200 bytes each), and the longest of them in characters.
+#: Words kept in a worker (about 300 bytes each) unless a caller says otherwise, and the longest of them in characters.
 KEPT_WORDS, KEPT_CHARS = 400_000, 32
 
 
@@ -41,7 +41,8 @@ class WordTokens:
     generations: those that the newer one has not met again when it is full are forgotten with the older one.
     """
 
-    def __init__(self, path: str, leading: bool):
+    def __init__(self, path: str, leading: bool, kept: int = KEPT_WORDS):
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.leading = leading
         self.newer: dict[str, bytes] = {}
@@ -77,7 +78,7 @@ class WordTokens:
             found[i] = ids
             if len(pieces[i]) <= KEPT_CHARS:
                 newer[pieces[i]] = ids
-        if 2 * len(newer) > KEPT_WORDS:
+        if 2 * len(newer) > self.kept:
             self.newer, self.older = {}, newer
         return found
 
@@ -107,12 +108,12 @@ class WordTokens:
 
 
 @lru_cache(maxsize=2)
-def word_tokens(name: str) -> WordTokens:
+def word_tokens(name: str, kept: int = KEPT_WORDS) -> WordTokens:
     """One encoder for each worker process. ``name``: a file of the public vocabularies, or a path to one like it."""
-    return WordTokens(name if "/" in name else public_tokenizers.path(name), leading=not name.endswith(WORD_BPE))
+    return WordTokens(name if "/" in name else public_tokenizers.path(name), leading=not name.endswith(WORD_BPE), kept=kept)
 
 
-def with_end(texts: pa.Array, name: str, end: int = END) -> list[np.ndarray]:
+def with_end(texts: pa.Array, name: str, end: int = END, kept: int = KEPT_WORDS) -> list[np.ndarray]:
     """The ids of each text, the end id after them."""
     last = np.array([end], "<u4").tobytes()
-    return [np.frombuffer(ids + last, "<u4") for ids in word_tokens(name)(texts)]
+    return [np.frombuffer(ids + last, "<u4") for ids in word_tokens(name, kept)(texts)]
