@@ -60,23 +60,24 @@ def _trained(samples: list[bytes]) -> bytes:
         return b" ".join(samples)[-ORDINARY_BYTES:]
 
 
-def _contexts(texts: list[str]) -> dict[str, set[str]]:
-    """The words that each word beginning follows."""
+def _contexts(texts: list[str], only: set[str] | None = None) -> dict[str, set[str]]:
+    """The words that each word beginning, or each one of ``only``, follows."""
     out: dict[str, set[str]] = {}
     for text in texts:
         words = text.lower().split()
         for before, word in zip(["", *words], words):
             for n in STEMS:
-                if len(word) >= n:
+                if len(word) >= n and (only is None or word[:n] in only):
                     out.setdefault(word[:n], set()).add(before)
     return out
 
 
 def _contrasted(toxic: list[str], ordinary: list[str]) -> bytes:
     """Word beginnings of toxic text, the most frequent last, where references to them are shortest."""
-    mine, theirs = _contexts(toxic), _contexts(ordinary)
     least = max(STEM_CONTEXTS, STEM_SHARE * len(toxic))
-    marked = [s for s, c in mine.items() if len(c) >= least and len(c) / len(toxic) >= STEM_RATIO * (len(theirs.get(s, ())) + 0.5) / len(ordinary)]
+    mine = {s: c for s, c in _contexts(toxic).items() if len(c) >= least}
+    theirs = _contexts(ordinary, set(mine))
+    marked = [s for s, c in mine.items() if len(c) / len(toxic) >= STEM_RATIO * (len(theirs.get(s, ())) + 0.5) / len(ordinary)]
     return "".join(f" {s}" for s in sorted(marked, key=lambda s: (len(mine[s]), s))).encode()[-TOXIC_BYTES:]
 
 
