@@ -31,6 +31,8 @@ MAGIC, HEAD = b"PWT1", struct.Struct("<4sIIIQI")
 BLOCK_IDS, FILE_BLOCKS = 1 << 18, 16
 #: Ids of a range on average; a range is sorted and written by one task.
 PART_IDS = 1 << 24
+#: Words that a worker keeps with their ids.
+WORDS = 600_000
 #: No id of a null document: such documents come first.
 NO_ID = -(1 << 63)
 
@@ -98,7 +100,7 @@ def tokenized(df: DataFrame, tokenizer: str = WORD_BPE, end: int = END, doc_id:
         for batch in batches:
             texts = filled(batch.column(1))
             for low, high in slices(texts, TOKEN_SLICE):
-                ids = with_end(texts.slice(low, high - low), tokenizer, end)
+                ids = with_end(texts.slice(low, high - low), tokenizer, end, WORDS)
                 found = np.bincount(np.concatenate(ids), minlength=len(total))
                 found[: len(total)] += total
                 total = found
