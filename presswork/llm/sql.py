@@ -18,3 +18,11 @@ copies as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, len(list_filter
 dealt as (select doc_id, text, lang, source, n_chars, unnest(range(0, n))::int as mix_copy from copies where n > 0)
 select *, md5('mix-1:order:' || coalesce(doc_id::varchar, '') || ':' || mix_copy::varchar) as mix_key from dealt
 """
+
+ORACLES["op4_warc_salvage"] = """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes from pages),
+o as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by html) end as owner from p)
+select page_id, payload_bytes, sha1(html) as payload_digest,
+    case when owner is not null and page_id is distinct from owner then 'revisit' else 'response' end as record_type,
+    case when page_id is distinct from owner then owner end as refers_to from o
+"""
