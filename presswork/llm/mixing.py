@@ -2,19 +2,20 @@
 
 A source's mean repetition rate is its share of the target divided by its share of the corpus. Each document is
 repeated by a count that inverts the Poisson distribution of that mean at a number hashed from the seed and the
-document's id, so any machine that computes it again gets the same count. The copies are dealt anew over the cluster
+document's id, so any machine that computes it again gets the same count. A large mean is drawn in equal parts, each at
+a hashed number of its own, and their counts are summed, which is a Poisson count of the whole mean. The copies are dealt anew over the cluster
 by a hashed key and sorted by it, which shuffles them globally.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.shared import written
 
-#: Terms of the distribution beyond its mean that are summed; the mean is bounded by MEAN_MOST, where all tails vanish.
-TERMS, MEAN_MOST = 64, 16.0
+#: Terms of the distribution that are summed, and the mean of one draw at most, where the tail beyond them vanishes.
+TERMS, DRAW_MOST = 64, 16.0
 #: Hexadecimal digits of the hash that make the uniform number.
 DIGITS = 13
 #: Up to so many sources (about half a kilobyte each) the means are broadcast; beyond, they are joined by a shuffle.
@@ -26,7 +27,7 @@ def source_means(df: DataFrame, weights: dict[str, float] | None = None, epochs:
 
     ``weights`` needn't sum to one and gives no copies to sources that it doesn't name; None weighs all alike. The
     result holds ``epochs`` times the corpus's characters on average. A null source counts as ``''``, a null text as
-    empty; a source whose texts are all empty gets the mean ``epochs``. A mean over MEAN_MOST is brought down to it.
+    empty; a source whose texts are all empty gets the mean ``epochs``.
     """
     sizes = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("size"))
     if weights is not None:
@@ -35,7 +36,7 @@ def source_means(df: DataFrame, weights: dict[str, float] | None = None, epochs:
     else:
         sizes = sizes.withColumn("weight", F.lit(1.0))
     totals = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    exact = F.expr(f"case when size = 0 then {float(epochs)!r}D when all_weight = 0 then 0D else least({MEAN_MOST!r}D, {float(epochs)!r}D * (weight / all_weight) / (cast(size as double) / cast(all_size as double))) end")
+    exact = F.expr(f"case when size = 0 then {float(epochs)!r}D when all_weight = 0 then 0D else {float(epochs)!r}D * (weight / all_weight) / (cast(size as double) / cast(all_size as double)) end")
     one = F.lit(1).alias("one")
     return sizes.select("*", one).join(totals.select("*", one), "one").select("source", exact.alias("mean"))
 
@@ -50,21 +51,29 @@ def replicate(
     means are joined by a shuffle, in which adaptive execution splits a source that holds much of the rows.
     """
     own = [c for c in df.columns if c.lower() not in ("mix_copy", "mix_key")]
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    uniform = F.conv(F.substring(F.md5(name), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
+    name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+    def uniform(*parts: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts, name)), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
+
     counts = (
         source_means(df, weights, epochs, source, text)
         .withColumnRenamed("source", "__source")
+        .withColumn("__draws", F.expr(f"greatest(1, cast(ceil(mean / {DRAW_MOST!r}D) as int))"))
+        .withColumn("mean", F.expr("mean / __draws"))
         .withColumn("__steps", F.expr(f"""
             aggregate(sequence(1, {TERMS}), struct(array(exp(-mean)) as sums, exp(-mean) as term),
                 (s, k) -> struct(concat(s.sums, array(element_at(s.sums, -1) + s.term * mean / k)) as sums, s.term * mean / k as term)).sums"""))
-        .select("__source", "__steps")
+        .select("__source", "__draws", "__steps")
     )
     counts = written(counts, "source-means")
     if counts.count() <= BROADCAST_SOURCES:
         counts = F.broadcast(counts)
     rows = df.select(*own).withColumn("__source", F.coalesce(F.col(source), F.lit("")))
-    drawn = rows.join(counts, "__source").withColumn("__u", uniform).withColumn("__n", F.expr("size(filter(__steps, s -> s <= __u))"))
+    drawn = rows.join(counts, "__source").withColumn("__u", uniform()).withColumn("__n", F.expr("size(filter(__steps, s -> s <= __u))"))
+    others = F.transform(F.sequence(F.lit(1), F.col("__draws") - 1), lambda k: uniform(F.lit("draw"), k.cast("string")))
+    summed = F.aggregate(others, F.col("__n"), lambda n, u: n + F.size(F.filter("__steps", lambda s: s <= u)))
+    drawn = drawn.withColumn("__n", F.when(F.col("__draws") > 1, summed).otherwise(F.col("__n")))
     copies = drawn.where("__n > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
     keyed = copies.withColumn("mix_key", key)

@@ -275,6 +275,16 @@ def test_mixing(odd, documents):
     assert mixing.replicate(odd.withColumn("mix_key", odd["lang"]), {}).count() == 0
 
 
+def test_mixing_brings_rare_sources_to_their_weight(spark):
+    rows = [(i, "x" * 11_100, f"s{i}") for i in range(9)] + [(100 + i, "x", "rare") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.source: round(r.mean) for r in mixing.source_means(frame).collect()}["rare"] == 100
+    got = [(r.doc_id, r.mix_copy) for r in mixing.replicate(frame).where("source = 'rare'").collect()]
+    assert len(set(got)) == len(got) and 9_500 < len(got) < 10_500
+    counts = [sum(i == d for d, _ in got) for i in range(100, 200)]
+    assert 50 < np.var(counts) < 170
+
+
 def test_empty_tables(spark, none):
     assert quality.ledger(none).count() == simhash.near_duplicates(none).count() == pii.detect(none, None).count() == 0
     assert tokenfiles.round_trip(none).count() == packing.pack_documents(none).count() == substrings.remove_repeats(none).count() == 0
