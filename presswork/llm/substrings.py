@@ -77,9 +77,9 @@ def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array) -> pa.R
     least = np.empty(len(order), np.int64)
     least[order] = docs[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
     copied = docs > least
-    small = windows[at].astype("<u4").tobytes()
-    ends = np.cumsum(size) * 4
-    raw = [b"" if c else small[e - 4 * s : e] for c, e, s in zip(copied.tolist(), ends.tolist(), size.tolist())]
+    content = windows[at].astype("<u8").tobytes()
+    ends = np.cumsum(size) * 8
+    raw = [b"" if c else content[e - 8 * s : e] for c, e, s in zip(copied.tolist(), ends.tolist(), size.tolist())]
     # Copied stretches need no block; a hash of their own deals them out evenly.
     anchor = np.where(copied, (docs.astype(np.uint64) + place.astype(np.uint64)) * _ODD, anchor)
     return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(docs), pa.array(place), pa.array(raw, pa.binary())], ["anchor", "doc_id", "place", "windows"])
@@ -101,13 +101,13 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     was met in a document with a smaller id or in this one. Of an open block, only its distinct windows are carried
     on to the next batch.
     """
-    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))  # anchor, document, window
+    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))  # anchor, document, window
     for batch in batches:
         anchor, docs, place = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "place"))
         content = batch.column("windows")
-        known = np.diff(np.frombuffer(content.buffers()[1], np.int32, len(content) + 1, 4 * content.offset)) // 4
+        known = np.diff(np.frombuffer(content.buffers()[1], np.int32, len(content) + 1, 4 * content.offset)) // 8
         size = place & 0xFF
-        hashes = np.frombuffer(b"".join(content.to_pylist()), "<u4")
+        hashes = np.frombuffer(b"".join(content.to_pylist()), "<u8")
         row = np.repeat(np.arange(len(place)), known)
         a, d, w = (np.concatenate(x) for x in zip(held, (anchor[row], docs[row], hashes)))
         order = np.lexsort((d, w, a))

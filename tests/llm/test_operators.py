@@ -8,6 +8,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
+import xxhash
 from presswork.llm import mixing, packing, pii, quality, registry, simhash, substrings, tokenfiles, toxicity, vptree, warc
 from presswork.shared import shared_path
 
@@ -171,6 +172,22 @@ def test_repeats(docs):
     assert got == brute.repeats(dict(rows).items())
 
 
+def test_repeats_tell_windows_of_equal_low_bits_apart(spark):
+    random = np.random.default_rng(11)
+    names = [f"w{i}" for i in range(2000)]
+    codes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in names], np.uint64)
+    tail = next(t for t in random.integers(0, 2000, (20_000, 8)) if substrings._rolled(codes[t], 5).min() < 1 << 52)
+    heads = np.unique(random.integers(0, 2000, (250_000, 5)), axis=0)
+    words = np.hstack([heads, np.repeat(tail[None], len(heads), axis=0)])
+    low = substrings._rolled(codes[words].ravel(), 13)[::13].astype("<u4")
+    order = np.argsort(low, kind="stable")
+    same = np.flatnonzero(low[order][1:] == low[order][:-1])
+    assert len(same)
+    rows = [(k, " ".join(names[c] for c in words[j])) for k, j in enumerate(x for i in same for x in order[i : i + 2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(frame).collect()] == [0] * len(rows)
+
+
 def test_repeats_keep_null_ids_whole(odd):
     row = substrings.remove_repeats(odd).where("doc_id is null").first()
     assert row.n_removed == 0 and row.kept.startswith("no id shared0")
