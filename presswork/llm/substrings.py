@@ -8,7 +8,9 @@ document holds. Since each window belongs to exactly one stretch, those across t
 as all others, and factors that adjoin or overlap are joined into spans when the document is put together.
 
 Stretches that repeat within a slice of the input are combined before the shuffle, so the rows of a passage that most
-documents share grow with the slices and not with the documents.
+documents share grow with the slices and not with the documents. Blocks that would hold many windows, of a phrase that
+stands in many surroundings, are told beforehand by a sample; their stretches are cut into single windows, each of which
+makes a block of its own. A block that the sample misses gives the same result, in one larger block.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from presswork.llm.batches import filled, slices, words_of
 WINDOW, ANCHOR = 13, 5
 #: Windows of a stretch at most; longer ones, of text that repeats itself, are cut.
 STRETCH = 255
+#: Windows in a block from which it is cut into single windows, and the share of the stretches (1 in so many) that tells.
+HOT_WINDOWS, SAMPLE = 1 << 18, 64
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -40,9 +45,10 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array) -> pa.RecordBatch | None:
+def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array, hot: np.ndarray) -> pa.RecordBatch | None:
     """Stretches of a slice: ``anchor, doc_id, place`` (start << 32 | check << 8 | windows) and the windows' hashes;
-    without hashes if an earlier document of the slice has the same stretch."""
+    without hashes if an earlier document of the slice has the same stretch. Those around ``hot`` anchors are single
+    windows, with an anchor of their own; neighbours without hashes are joined again."""
     n, codes, vocabulary = words_of(texts)
     if len(codes) < WINDOW:
         return None
@@ -63,13 +69,15 @@ def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array) -> pa.R
     first = np.flatnonzero(new)
     index = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
     new |= index % STRETCH == 0
+    stretch = np.cumsum(new)
+    single = np.isin(anchors[at], hot)
+    new |= single
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
     index = np.arange(len(at)) - np.repeat(first, size)
     run_owner = owner[at[first]]
     docs, anchor = doc_ids[run_owner], anchors[at[first]]
-    begins = np.concatenate([[0], np.cumsum(n)[:-1]])
-    place = (at[first] - begins[run_owner]) << 32 | checks[run_owner] << 8 | size
+    anchor = np.where(single[first], anchor ^ windows[at[first]] * _MIX, anchor)
     whole = np.add.reduceat(windows[at] * (_MIX + np.uint64(2) * index.astype(np.uint64)), first) ^ anchor
     order = np.lexsort((docs, whole))
     lead = np.ones(len(order), bool)
@@ -77,6 +85,12 @@ def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array) -> pa.R
     least = np.empty(len(order), np.int64)
     least[order] = docs[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
     copied = docs > least
+    start = np.ones(len(first), bool)
+    start[1:] = ~(copied[1:] & copied[:-1] & (stretch[first[1:]] == stretch[first[:-1]]))
+    size = np.add.reduceat(size, np.flatnonzero(start))
+    first, run_owner, docs, anchor, copied = (x[start] for x in (first, run_owner, docs, anchor, copied))
+    begins = np.concatenate([[0], np.cumsum(n)[:-1]])
+    place = (at[first] - begins[run_owner]) << 32 | checks[run_owner] << 8 | size
     content = windows[at].astype("<u8").tobytes()
     ends = np.cumsum(size) * 8
     raw = [b"" if c else content[e - 8 * s : e] for c, e, s in zip(copied.tolist(), ends.tolist(), size.tolist())]
@@ -85,15 +99,32 @@ def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(docs), pa.array(place), pa.array(raw, pa.binary())], ["anchor", "doc_id", "place", "windows"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = filled(batch.column("text"))
         ids, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "check"))
         for low, high in slices(texts):
-            if (made := _stretches(ids[low:high], checks[low:high], texts.slice(low, high - low))) is not None:
+            if (made := _stretches(ids[low:high], checks[low:high], texts.slice(low, high - low), hot)) is not None:
                 yield made
 
 
+def _sampled(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """``(anchor, windows)`` of one in ``share`` stretches that have hashes."""
+    for cut in _cut(batches, np.empty(0, np.uint64)):
+        anchor, docs, place = (cut.column(c).to_numpy() for c in ("anchor", "doc_id", "place"))
+        drawn = (((docs.astype(np.uint64) * _ODD) ^ place.astype(np.uint64)) * _MIX) >> np.uint64(40)
+        chosen = (drawn % np.uint64(share) == 0) & (pc.binary_length(cut.column("windows")).to_numpy() > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[chosen]), pa.array(place[chosen] & 0xFF)], ["anchor", "windows"])
+
+
+def _hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors whose blocks hold HOT_WINDOWS windows or more, by a sample."""
+    share = SAMPLE
+    drawn = rows.mapInArrow(lambda batches: _sampled(batches, share), "anchor long, windows long")
+    sums = drawn.groupBy("anchor").agg(F.sum("windows").alias("windows")).where(F.col("windows") * share >= HOT_WINDOWS)
+    return np.sort(sums.select("anchor").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Factors of sorted stretches: ``doc_id, check, factor`` (start << 32 | windows).
 
@@ -138,7 +169,8 @@ def factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``(doc_id, check, factors)``: of each document with windows that a smaller id has, where they stand (array of
     start << 32 | windows). ``check`` is 24 bits of a hash of the text and tells rows with one id apart."""
     rows = _keyed(df, doc_id, text).where("doc_id is not null").select("doc_id", "check", "text")
-    cut = rows.mapInArrow(_cut, "anchor long, doc_id long, place long, windows binary")
+    hot = _hot_anchors(rows)
+    cut = rows.mapInArrow(lambda batches: _cut(batches, hot), "anchor long, doc_id long, place long, windows binary")
     blocks = cut.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     found = blocks.mapInArrow(_factor, "doc_id long, check long, factor long")
     return found.groupBy("doc_id", "check").agg(F.collect_list("factor").alias("factors"))

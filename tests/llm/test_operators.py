@@ -188,6 +188,26 @@ def test_repeats_tell_windows_of_equal_low_bits_apart(spark):
     assert [r.n_removed for r in substrings.remove_repeats(frame).collect()] == [0] * len(rows)
 
 
+def test_repeats_cut_hot_blocks(spark, odd, documents, monkeypatch):
+    phrase = "five words of one phrase"
+    texts = [f"a{i} b{i} c{i % 50} d{i % 20} e{i % 10} f g h {phrase} p q r s{i % 10} t{i % 20} u{i % 50} v{i} w{i}" for i in range(2000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(substrings, "HOT_WINDOWS", 256)
+    monkeypatch.setattr(substrings, "SAMPLE", 2)
+    hot = substrings._hot_anchors(substrings._keyed(frame, "doc_id", "text"))
+    assert len(hot)
+    rows = substrings._keyed(frame, "doc_id", "text").select("doc_id", "check", "text")
+    schema = "anchor long, doc_id long, place long, windows binary"
+    longest = [rows.mapInArrow(lambda b, h=h: substrings._cut(b, h), schema).where("length(windows) > 0").groupBy("anchor").count().agg({"count": "max"}).first()[0] for h in (hot[:0], hot)]
+    assert longest[1] < longest[0] / 4
+    for table in (frame, odd, documents):
+        want = brute.repeats(dict((i, t) for i, t in pairs(table) if i is not None).items())
+        for least in (1, 256):
+            monkeypatch.setattr(substrings, "HOT_WINDOWS", least)
+            got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table).collect() if r.doc_id is not None}
+            assert got == want
+
+
 def test_repeats_keep_null_ids_whole(odd):
     row = substrings.remove_repeats(odd).where("doc_id is null").first()
     assert row.n_removed == 0 and row.kept.startswith("no id shared0")
