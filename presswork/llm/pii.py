@@ -41,7 +41,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9 ()./-]{5,40}[0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,40} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,20}){1,4}")
-_KEYED = re.compile(r"[A-Za-z_-]{2,24} ?[=:] ?([A-Za-z0-9+/_.-]{6,80})")
+_KEYED = re.compile(r"[A-Za-z_-]{2,24} ?[=:] ?([A-Za-z0-9+/_.-]{6,})")
 _SIX = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")
 _SECRET_KEY = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key)$")
 _CONTEXT = (

@@ -111,6 +111,14 @@ def test_private_model_and_redaction(spark):
     assert pii.fit(frame.limit(0)) is None
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    texts = [f"note {i} has token=ab{i}cd{i * 7}ef in it and price: thing{i % 9} too" for i in range(300)]
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    value = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(9))
+    text = f"note has token={value} in it"
+    assert pii.redact(text, pii.find_spans([text], model)[0][1]) == "note has [SECRET] in it"
+
+
 def test_redact_joins_overlaps():
     assert pii.redact("abcdef", [(1, 0, 3), (2, 2, 5)]) == "a[EMAIL]f"
 
