@@ -31,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: proposals.
 FIT_DOCS, FIT_BYTES, PRECISION = 4000, 1 << 16, 0.99
 TREES, DEPTH = 15, 4
+#: Digits of a phone without its area, and of the longest card: parts of number groups between these are proposed.
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _AFTER_LOCAL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,7 +41,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_NUMBERS = re.compile(r"[+(]?[0-9][0-9 ()./-]{5,40}[0-9]")
+_NUMBERS = re.compile(r"[+(]?[0-9][0-9 ()./-]{5,}[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,40} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,20}){1,4}")
 _KEYED = re.compile(r"[A-Za-z_-]{2,24} ?[=:] ?([A-Za-z0-9+/_.-]{6,})")
 _SIX = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")
@@ -104,17 +107,20 @@ def proposals(text: str) -> list[tuple[int, int, int, int]]:
             out.setdefault((m.start(), m.end(), 0), 0)
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
-            start, end = m.span()
-            cuts = [(start, end)]
-            inner = [i for i in range(start + 1, end) if text[i] in " /"]
-            cuts += [(start, i) for i in inner[-2:]] + [(i + 1, end) for i in inner[:2]]
-            for low, high in cuts:
-                while low < high and text[low] in " /-.)":
-                    low += 1
-                while low < high and text[high - 1] in " /-.(":
-                    high -= 1
-                if high - low >= 7:
-                    out.setdefault((low, high, _kind_of(text[low:high])), 1)
+            out.setdefault((*m.span(), _kind_of(m[0])), 1)
+            groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
+            for i, (low, _) in enumerate(groups):
+                low -= low > m.start() and text[low - 1] in "+("
+                digits = 0
+                for j, (first, high) in enumerate(groups[i:]):
+                    digits += high - first
+                    if digits > MOST_DIGITS:
+                        break
+                    part = text[low:high]
+                    if part.count("(") > part.count(")") and text[high : high + 1] == ")":
+                        high, part = high + 1, part + ")"
+                    if digits >= LEAST_DIGITS or j == 3 and high - low >= LEAST_DIGITS and part.count(".") == 3 and len(part) == digits + 3:
+                        out.setdefault((low, high, _kind_of(part)), 1)
         if ":" in text:
             for m in _SIX.finditer(text):
                 out.setdefault((m.start(), m.end(), 1), 2)
@@ -243,10 +249,15 @@ def find_spans(texts: list[str], model: Model | None) -> list[tuple[list[tuple[i
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if offered:
         p = model.probability(np.array([features(texts[i], *q) for i, q in offered]))
-        for j in sorted(range(len(offered)), key=lambda j: (offered[j][0], -p[j], -(offered[j][1][1] - offered[j][1][0]), offered[j][1])):
+        taken = [bytearray(len(t)) for t in texts]
+        for i, spans in enumerate(base):
+            for s, _, e in spans:
+                taken[i][s:e] = b"\1" * (e - s)
+        for j in sorted(range(len(offered)), key=lambda j: (offered[j][0], -p[j], offered[j][1][0] - offered[j][1][1], offered[j][1])):
             i, (start, end, kind, _) = offered[j]
-            if p[j] >= model.thresholds[kind] and all(end <= s or start >= e for s, _, e in base[i] + added[i]):
+            if p[j] >= model.thresholds[kind] and taken[i].find(1, start, end) < 0:
                 added[i].append((start, kind, end))
+                taken[i][start:end] = b"\1" * (end - start)
     return [(b, sorted(b + a)) for b, a in zip(base, added)]
 
 

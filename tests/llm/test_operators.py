@@ -119,6 +119,31 @@ def test_long_secrets_are_redacted_whole(spark):
     assert pii.redact(text, pii.find_spans([text], model)[0][1]) == "note has [SECRET] in it"
 
 
+def test_parts_of_number_groups_are_proposed():
+    card, phone = "4111 1111 1111 1111", "(201) 555-1000"
+    for text in (f"2023 {card} 05", f"2023-{card.replace(' ', '-')}-05", " ".join([card] * 5), f"at 12 {phone} 7 {phone} 9/1 {phone} 3"):
+        want = card.replace(" ", "-") if "-4111" in text else card if card in text else phone
+        found = {(s, e) for s, e, _, _ in pii.proposals(text)}
+        at = [i for i in range(len(text)) if text.startswith(want, i)]
+        assert {(i, i + len(want)) for i in at} <= found
+    assert any(k == 1 and text[s:e] == "10.1.2.3" for text in ("12 10.1.2.3 44",) for s, e, k, _ in pii.proposals(text))
+
+
+def test_cards_within_number_groups_are_redacted(spark):
+    def card(i):
+        digits = f"4{i * 7919 % 10**14:014d}"
+        return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+    def parted(digits):
+        return " ".join(digits[k : k + 4] for k in range(0, 16, 4))
+
+    texts = [f"paid {i} by {parted(card(i))} or not {parted(f'{i * 104729 % 10**16:016d}')} on time" for i in range(1, 600)]
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    text = f"paid in 2023 {parted(card(777))} 05 on time"
+    assert not pii.base_spans(text)
+    assert pii.redact(text, pii.find_spans([text], model)[0][1]) == "paid in 2023 [CARD] 05 on time"
+
+
 def test_redact_joins_overlaps():
     assert pii.redact("abcdef", [(1, 0, 3), (2, 2, 5)]) == "a[EMAIL]f"
 
