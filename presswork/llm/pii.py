@@ -10,6 +10,7 @@ on proposals that the fit did not see.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 from collections import Counter
@@ -31,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: proposals.
 FIT_DOCS, FIT_BYTES, PRECISION = 4000, 1 << 16, 0.99
 TREES, DEPTH = 15, 4
+#: Bins of probability in which thresholds are counted.
+BINS = 1024
 #: Digits of a phone without its area, and of the longest card: parts of number groups between these are proposed.
 LEAST_DIGITS, MOST_DIGITS = 7, 19
 
@@ -46,6 +49,8 @@ _GROUP = re.compile(r"[0-9]+")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,40} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,20}){1,4}")
 _KEYED = re.compile(r"[A-Za-z_-]{2,24} ?[=:] ?([A-Za-z0-9+/_.-]{6,})")
 _SIX = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")
+_SHORT_SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
+_AT, _DOT = re.compile(r" ?(?:\[at\]|\(at\)) ?| @ "), re.compile(r" ?(?:\[dot\]|\(dot\)) ?| \. ")
 _SECRET_KEY = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key)$")
 _CONTEXT = (
     re.compile(r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|cell)\b"),
@@ -53,7 +58,7 @@ _CONTEXT = (
     re.compile(r"(?i)\b(?:card|visa|credit|account|iban)\b"),
     re.compile(r"(?i)\b(?:ip|host|server|address|addr)\b"),
 )
-N_FEATURES = 24
+N_FEATURES = 25
 
 
 def luhn(digits: str) -> bool:
@@ -105,6 +110,9 @@ def proposals(text: str) -> list[tuple[int, int, int, int]]:
     if "@" in text or "[at]" in text or "(at)" in text:
         for m in _SPELLED.finditer(text):
             out.setdefault((m.start(), m.end(), 0), 0)
+            stop = re.search(r"\w\. ", m[0])  # the address may end where the sentence does
+            if stop:
+                out.setdefault((m.start(), m.start() + stop.start() + 1, 0), 0)
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
             out.setdefault((*m.span(), _kind_of(m[0])), 1)
@@ -124,6 +132,8 @@ def proposals(text: str) -> list[tuple[int, int, int, int]]:
         if ":" in text:
             for m in _SIX.finditer(text):
                 out.setdefault((m.start(), m.end(), 1), 2)
+            for m in _SHORT_SIX.finditer(text) if "::" in text else ():
+                out.setdefault((m.start(), m.end(), 1), 2)
     if "=" in text or ":" in text:
         for m in _KEYED.finditer(text):
             out.setdefault((m.start(), m.end(), 4), 3)
@@ -131,6 +141,21 @@ def proposals(text: str) -> list[tuple[int, int, int, int]]:
     return [(s, e, k, g) for (s, e, k), g in out.items()]
 
 
+def _normal(text: str, start: int, end: int, kind: int, generator: int) -> bool:
+    """Whether a proposal that the base patterns can't match is an address in another form: an email with its signs
+    spelled out or set apart, or a whole IPv6 address with a digit."""
+    part = text[start:end]
+    if generator == 0:
+        plain = _DOT.sub(".", _AT.sub("@", part))
+        return plain != part and base_spans(plain) == [(0, 0, len(plain))]
+    if generator == 2 and _DIGIT.search(part) and not any(c.isalnum() or c == ":" for c in text[max(0, start - 1) : start] + text[end : end + 1]):
+        try:
+            return ipaddress.ip_address(part).version == 6
+        except ValueError:
+            return False
+    return False
+
+
 def features(text: str, start: int, end: int, kind: int, generator: int) -> list[float]:
     """Format and context of a proposal."""
     part = text[start:end]
@@ -149,6 +174,7 @@ def features(text: str, start: int, end: int, kind: int, generator: int) -> list
         float(before[-1:].isalnum() or before[-1:] in tuple("+(.-/@")), float(after.isalnum() or after in tuple(")/@-")),
         float(bool(_SECRET_KEY.search(key))), float(next((i + 1 for i, c in enumerate(_CONTEXT) if c.search(before)), 0)),
         float(sum(c.isupper() for c in part)), float(part[-4:].count(".") > 0),
+        float(_normal(text, start, end, kind, generator)),
     ]
 
 
@@ -177,6 +203,8 @@ def _label(base: list[tuple[int, int, int]], text: str, proposal: tuple[int, int
     if kind == 4:
         key = text[start:end].partition("=")[0].partition(":")[0].strip()
         return float(generator == 3 and bool(_SECRET_KEY.search(key)) and bool(_DIGIT.search(text, start, end)))
+    if generator in (0, 2) and _normal(text, *proposal):
+        return float(all(end <= s or start >= e for s, _, e in base))
     return float((start, kind, end) in base)
 
 
@@ -212,33 +240,61 @@ def _arrays(tree) -> tuple[np.ndarray, ...]:
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = FIT_DOCS) -> Model | None:
     """A model from proposals in about ``most`` documents of at most FIT_BYTES, chosen by a hash of their ids among those
-    with a digit, an at sign or an equals sign; None where the proposals are all of one label."""
+    with a digit, an at sign (spelled out, too) or an equals sign; None where the proposals are all of one label. The
+    thresholds are taken over all documents that the trees didn't see."""
     spark = df.sparkSession
-    signs = df.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).where((F.octet_length("text") <= FIT_BYTES) & F.col("text").rlike("[0-9@=]"))
+    signs = df.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).where((F.octet_length("text") <= FIT_BYTES) & F.col("text").rlike(r"[0-9@=]|[\[(]at[\])]"))
     share = most / max(most, df.count())
-    docs = signs.where(F.expr("pmod(xxhash64(coalesce(id, ''), 3), 1000000)") < share * 1_000_000)
-    rows = docs.select(F.expr("cast(pmod(xxhash64(coalesce(id, ''), 5), 5) as int)").alias("fold"), "text").mapInArrow(_weak, "fold int, kind int, label double, x array<double>")
+    sampled = F.expr("pmod(xxhash64(coalesce(id, ''), 3), 1000000)") < share * 1_000_000
+    fold = F.expr("cast(pmod(xxhash64(coalesce(id, ''), 5), 5) as int)")
+    rows = signs.where(sampled & (fold != 0)).select(fold.alias("fold"), "text").mapInArrow(_weak, "fold int, kind int, label double, x array<double>")
     found = rows.toArrow()  # about thirty proposals of 200 bytes for each sampled document
-    labels, folds = found.column("label").to_numpy(), found.column("fold").to_numpy()
-    seen = folds != 0
-    if len(set(labels[seen])) < 2:
+    if len(set(found.column("label").to_pylist())) < 2:
         return None
-    frame = spark.createDataFrame(found).where("fold <> 0").select("label", array_to_vector("x").alias("x")).repartition(4, "x")
+    frame = spark.createDataFrame(found).select("label", array_to_vector("x").alias("x")).repartition(4, "x")
     trees = GBTClassifier(featuresCol="x", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(frame)
     model = Model([_arrays(t) for t in trees.trees], list(trees.treeWeights), {})
-    x = np.array(found.column("x").to_pylist())
-    p, kinds = model.probability(x), found.column("kind").to_numpy()
-    for kind in range(len(KINDS)):
-        model.thresholds[kind] = _threshold(p[~seen & (kinds == kind)], labels[~seen & (kinds == kind)])
+    unseen = df.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(~(sampled & (fold != 0) & (F.octet_length("text") <= FIT_BYTES)))
+    counted = unseen.select("text").mapInArrow(lambda batches: _counted(batches, model), "kind int, bin int, n long, positive long")
+    counts = np.zeros((len(KINDS), BINS, 2))
+    for row in counted.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).collect():
+        counts[row["kind"], row["bin"]] = row["n"], row["positive"]
+    model.thresholds = {kind: _threshold(counts[kind]) for kind in range(len(KINDS))}
     return model
 
 
-def _threshold(p: np.ndarray, labels: np.ndarray) -> float:
-    """The lowest probability from which precision stays; 0.95 where the fold has no positive of the kind."""
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(labels[order])
-    good = np.flatnonzero(right >= PRECISION * np.arange(1, len(p) + 1))
-    return max(0.5, float(p[order][good[-1]])) if len(good) and right[good[-1]] else 0.95
+def _counted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Proposals and positive ones by kind and bin of their probability."""
+    for batch in batches:
+        counts = np.zeros((len(KINDS), BINS, 2), np.int64)
+        rows: list[tuple[int, float, list[float]]] = []
+
+        def count() -> None:
+            if rows:
+                kinds, labels, x = (np.array(c) for c in zip(*rows))
+                bins = np.minimum((model.probability(x) * BINS).astype(np.int64), BINS - 1)
+                np.add.at(counts, (kinds, bins, 0), 1)
+                np.add.at(counts, (kinds, bins, 1), labels.astype(np.int64))
+                rows.clear()
+
+        for text in batch.column(0).to_pylist():
+            base = base_spans(text)
+            for p in proposals(text):
+                rows.append((p[2], _label(base, text, p), features(text, *p)))
+                if len(rows) == 8192:
+                    count()
+        count()
+        kind, bin_ = np.nonzero(counts[:, :, 0])
+        columns = [pa.array(kind, pa.int32()), pa.array(bin_, pa.int32()), pa.array(counts[kind, bin_, 0]), pa.array(counts[kind, bin_, 1])]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "bin", "n", "positive"])
+
+
+def _threshold(counts: np.ndarray) -> float:
+    """The lowest bin of (proposals, positive ones) by probability from which precision stays; 0.95 where no document has
+    a positive of the kind."""
+    n, right = counts[::-1].cumsum(axis=0).T
+    good = np.flatnonzero((right >= PRECISION * n) & (right > 0))
+    return max(0.5, 1 - (good[-1] + 1) / BINS) if len(good) else 0.95
 
 
 def find_spans(texts: list[str], model: Model | None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:

@@ -144,6 +144,19 @@ def test_cards_within_number_groups_are_redacted(spark):
     assert pii.redact(text, pii.find_spans([text], model)[0][1]) == "paid in 2023 [CARD] 05 on time"
 
 
+def test_other_forms_of_addresses_are_learnt(spark):
+    forms = (lambda i: f"joe{i} [at] mail{i % 5} [dot] com", lambda i: f"2001:db8:0:{i % 7}:1:2:3:{i}", lambda i: f"2001:db8::{i}:7", lambda i: f"at 10:{10 + i % 40}:{10 + i % 30} it is {10 + i % 90}:2b:3c:{i % 7}d:5e:{10 + i % 70}")
+    texts = [f"note {i} says {forms[i % 4](i)} and user{i}@mail{i % 5}.example.com. Then more" for i in range(800)]
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for text, want in (
+        ("so ann [at] mail [dot] org. Then more", "so [EMAIL]. Then more"),
+        ("so 2001:db8:0:9:8:7:6:5 and", "so [IP] and"),
+        ("so 2001:db8::77:3 and", "so [IP] and"),
+        ("so at 10:11:12 it is 14:2b:3c:4d:5e:60 and", "so at 10:11:12 it is 14:2b:3c:4d:5e:60 and"),
+    ):
+        assert pii.redact(text, pii.find_spans([text], model)[0][1]) == want
+
+
 def test_redact_joins_overlaps():
     assert pii.redact("abcdef", [(1, 0, 3), (2, 2, 5)]) == "a[EMAIL]f"
 
