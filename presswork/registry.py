@@ -472,19 +472,23 @@ register("promote_primary", lambda spark, sf_dir: _slim(spark, sf_dir, "title",
     select o.article_id, b.source_name, b.article_id as shown_id from o join b using (content_hash) where o.n = 1 and b.n = 1""")
 
 
-def hash_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories of equal title hashes: the primary of each group, and each row's place in it."""
-    stories = _slim(spark, sf_dir, "published_at", "tier", "source_count", "content_hash", "status")
-    order = F.struct("tier", (-F.col("source_count")).alias("n"), "published_at", "article_id")
-    groups = stories.groupBy("content_hash").agg(F.min(order)["article_id"].alias("primary_id"), F.count("*").alias("size")).where("size > 1")
-    return stories.join(groups, "content_hash", "left")
+def merge_plan(stories: DataFrame) -> DataFrame:
+    """Stories with the primary and the size of their cluster of exact duplicates; null where they have none."""
+    clusters = dedup.exact_clusters(stories)
+    groups = dedup.choose_primary(clusters.join(stories, "article_id"))
+    return stories.join(clusters.join(groups, "cluster_id"), "article_id", "left")
+
+
+def exact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan over stories that equal addresses or title hashes connect."""
+    return merge_plan(_slim(spark, sf_dir, "published_at", "clean_url", "tier", "source_count", "content_hash", "status"))
 
 
 _PLAN_SQL = f"""select *, first_value(article_id) over (partition by content_hash order by tier, -source_count, published_at, article_id) as primary_id,
     count(*) over (partition by content_hash) as size from ({STORIES_SQL})"""
-register("reconciliation_plan", lambda spark, sf_dir: hash_plan(spark, sf_dir).where("article_id <> primary_id").groupBy("primary_id", "size").agg(F.array_join(F.array_sort(F.collect_list("article_id")), ",").alias("duplicate_ids")), f"""
+register("reconciliation_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).where("article_id <> primary_id").groupBy("primary_id", "size").agg(F.array_join(F.array_sort(F.collect_list("article_id")), ",").alias("duplicate_ids")), f"""
     select primary_id, size, string_agg(cast(article_id as varchar), ',' order by article_id) as duplicate_ids from ({_PLAN_SQL}) where size > 1 and article_id <> primary_id group by 1, 2""")
-register("apply_plan", lambda spark, sf_dir: hash_plan(spark, sf_dir).selectExpr("article_id", "if(article_id <> primary_id, 'MERGED', status) as status", "if(article_id <> primary_id, primary_id, null) as merged_into_id").selectExpr("article_id", "status", "coalesce(cast(merged_into_id as string), '') as merged_into_id"), f"""
+register("apply_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).selectExpr("article_id", "if(article_id <> primary_id, 'MERGED', status) as status", "if(article_id <> primary_id, primary_id, null) as merged_into_id").selectExpr("article_id", "status", "coalesce(cast(merged_into_id as string), '') as merged_into_id"), f"""
     select article_id, case when size > 1 and article_id <> primary_id then 'MERGED' else status end as status, case when size > 1 and article_id <> primary_id then cast(primary_id as varchar) else '' end as merged_into_id from ({_PLAN_SQL})""")
 _NEXT = "2001-08-02 00:00:00"
 register("rescore", lambda spark, sf_dir: plan.stories(spark, sf_dir, _NEXT).select("article_id", "freshness_bonus", "staleness_multiplier", "final_score"), f"select article_id, freshness_bonus, staleness_multiplier, final_score from ({plan.stories_sql(_NEXT)})")

@@ -7,6 +7,7 @@ import difflib
 import random
 
 import pytest
+from presswork import registry
 from presswork.operators import dedup, feed
 from presswork.operators.components import connected_components
 from presswork.plans import stories as plan
@@ -78,6 +79,14 @@ def test_clusters(stories):
     assert {tuple(r) for r in clusters.collect()} == {tuple(r) for r in again.collect()}
 
 
+def test_plan_joins_address_and_hash(spark):
+    at = datetime.datetime(2001, 1, 1)
+    rows = [(i, at + datetime.timedelta(hours=i), u, h, t, 1, "NEW") for i, (u, h, t) in enumerate([("a", "x", 2), ("a", "y", 1), ("b", "y", 3), ("c", "z", 1)])]
+    frame = spark.createDataFrame(rows, "article_id long, published_at timestamp, clean_url string, content_hash string, tier int, source_count int, status string")
+    assert sorted((r.article_id, r.primary_id, r.size) for r in registry.merge_plan(frame).where("size > 1").collect()) == [(0, 1, 3), (1, 1, 3), (2, 1, 3)]
+    assert registry.merge_plan(frame).count() == 4
+
+
 def test_feed(spark):
     at = datetime.datetime(2001, 1, 1)
     rows = [(i, s, c, f, at + datetime.timedelta(hours=i), n) for i, (s, c, f, n) in enumerate([("NEW", "IPO", 80, 1), ("REJECTED", "IPO", 99, 1), ("FILTERED", "TECH", 20, 2), ("APPROVED", "TECH", 60, 3), ("MERGED", "IPO", 70, None)])]
