@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.batches import filled, slices
-from presswork.llm.tokens import BYTE_BPE, END, TOKEN_SLICE, with_end
+from presswork.llm.tokens import BYTE_BPE, END, TOKEN_SLICE, binaries, ragged, with_end
 
 LENGTH = 1024
 #: Open sequences of a part, and documents of a part on average.
@@ -35,23 +35,19 @@ def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end:
         for batch in batches:
             texts, keys = filled(batch.column(1)), batch.column(0)
             for low, high in slices(texts, TOKEN_SLICE):
-                owner, number, starts, sizes, sums, raw = [], [], [], [], [], []
-                for i, ids in enumerate(with_end(texts.slice(low, high - low), tokenizer, end, WORDS)):
-                    cut = (len(ids) - 1) % length + 1
-                    edges = [0, *range(cut, len(ids) + 1, length)]
-                    for k in range(len(edges) - 1):
-                        part = ids[edges[k] : edges[k + 1]].tobytes()
-                        owner.append(low + i)
-                        number.append(k)
-                        starts.append(edges[k])
-                        sizes.append(edges[k + 1] - edges[k])
-                        sums.append(zlib.crc32(part))
-                        if keep_ids:
-                            raw.append(part)
-                columns = [keys.take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, sizes, sums))]
+                flat, sizes = with_end(texts.slice(low, high - low), tokenizer, end, WORDS)
+                count = -(-sizes // length)
+                owner = np.repeat(np.arange(low, high), count)
+                number = ragged(np.zeros(len(count), np.int64), count)
+                first = np.repeat((sizes - 1) % length + 1, count)
+                starts = np.where(number == 0, 0, first + (number - 1) * length)
+                held = np.where(number == 0, first, length)
+                ids = binaries(flat, held)
+                sums = pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
+                columns = [keys.take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(starts), pa.array(held), sums]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    columns, names = [*columns, pa.array(raw, pa.binary())], [*names, "ids"]
+                    columns, names = [*columns, ids], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END = 2
 #: Bytes of text encoded at a time.
-TOKEN_SLICE = 2 << 20
+TOKEN_SLICE = 4 << 20
 #: Words kept in a worker (about 300 bytes each) unless a caller says otherwise, and the longest of them in characters.
 KEPT_WORDS, KEPT_CHARS = 400_000, 32
 
@@ -30,6 +31,8 @@ _ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enume
 #: Blanks as the vocabularies' patterns take them.
 _BLANK = r"[\x09-\x0D\x20\x{85}\p{Z}]"
 _CUT = "\0"
+#: The one letter whose lower case ends in a mark, which the word vocabulary joins to a stop behind it.
+_GROWING = r"\x{130}[.,;:!?]"
 
 
 class WordTokens:
@@ -54,26 +57,30 @@ class WordTokens:
     def _word(self, piece: str) -> bytes | None:
         """Ids of one word of Latin letters, which no pattern splits; None for other pieces."""
         word = piece[1:] if piece[:1] == " " else piece
-        if not word.isalpha() or max(word) > "\xff":
+        if not word.isalpha():
             return None
-        spelled = (piece if self.leading else word.lower()).encode().decode("latin-1").translate(_ALPHABET)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+        if piece.isascii():
+            spelled = (_ALPHABET[32] + word if word is not piece else word) if self.leading else word
+        elif max(word) > "\xff":
+            return None
+        else:
+            spelled = (piece if self.leading else word.lower()).encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
         newer, older, word = self.newer, self.older, self._word
-        found = [newer.get(p) for p in pieces]
+        found = list(map(newer.get, pieces))
         rest = []
-        for i, ids in enumerate(found):
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            piece = pieces[i]
+            ids = older.get(piece) or word(piece)
             if ids is None:
-                piece = pieces[i]
-                ids = older.get(piece) or word(piece)
-                if ids is None:
-                    rest.append(i)
-                else:
-                    found[i] = ids
-                    if len(piece) <= KEPT_CHARS:
-                        newer[piece] = ids
+                rest.append(i)
+            else:
+                found[i] = ids
+                if len(piece) <= KEPT_CHARS:
+                    newer[piece] = ids
         for i, ids in zip(rest, self.encode([pieces[i] for i in rest])):
             found[i] = ids
             if len(pieces[i]) <= KEPT_CHARS:
@@ -82,13 +89,10 @@ class WordTokens:
             self.newer, self.older = {}, newer
         return found
 
-    def __call__(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text."""
-        odd = pc.match_substring(texts, _CUT)
-        if self.leading:
-            odd = pc.or_(odd, pc.match_substring_regex(texts, _BLANK + "{2}"))
-        odd = odd.to_numpy(zero_copy_only=False)
-        cut = texts.filter(pa.array(~odd))
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each text's followed by ``end``; and the number of each text's."""
+        odd = pc.or_(pc.match_substring(texts, _CUT), pc.match_substring_regex(texts, (_BLANK + "{2}") if self.leading else _GROWING))
+        cut = pc.if_else(odd, "", texts)
         if self.leading:
             cut = pc.replace_substring(pc.replace_substring(cut, "\n", f"{_CUT}\n{_CUT}"), " ", f"{_CUT} ")
         else:
@@ -96,15 +100,17 @@ class WordTokens:
         cut = pc.replace_substring_regex(cut, r"(\p{L})([.,;:!?])", f"\\1{_CUT}\\2")
         lists = pc.split_pattern(cut, _CUT)
         coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         ids = self._ids(coded.dictionary.to_pylist())
-        parts = [ids[c] for c in coded.indices.to_numpy().tolist()]
-        out: list[bytes] = [b""] * len(texts)
-        for k, i in enumerate(np.flatnonzero(~odd)):
-            out[i] = b"".join(parts[offsets[k] : offsets[k + 1]])
-        odd = np.flatnonzero(odd)
-        for i, whole in zip(odd, self.encode(texts.take(pa.array(odd)).to_pylist())):
-            out[i] = whole
-        return out
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes[offsets[whole]] = len(ids) + np.arange(len(whole))
+        ids += self.encode(texts.take(pa.array(whole)).to_pylist())
+        codes = np.insert(codes, offsets[1:], len(ids))
+        ids.append(np.array([end], "<u4").tobytes())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        ends = np.cumsum(sizes[codes])[offsets[1:] + np.arange(len(texts))]
+        return flat[ragged(starts[codes], sizes[codes])], np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -113,7 +119,12 @@ def word_tokens(name: str, kept: int = KEPT_WORDS) -> WordTokens:
     return WordTokens(name if "/" in name else public_tokenizers.path(name), leading=not name.endswith(WORD_BPE), kept=kept)
 
 
-def with_end(texts: pa.Array, name: str, end: int = END, kept: int = KEPT_WORDS) -> list[np.ndarray]:
-    """The ids of each text, the end id after them."""
-    last = np.array([end], "<u4").tobytes()
-    return [np.frombuffer(ids + last, "<u4") for ids in word_tokens(name, kept)(texts)]
+def with_end(texts: pa.Array, name: str, end: int = END, kept: int = KEPT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, the end id after each text's; and the number of each text's."""
+    return word_tokens(name, kept)(texts, end) if len(texts) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+
+def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Bytes of consecutive runs of values."""
+    edges = np.concatenate([[0], np.cumsum(lengths)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])

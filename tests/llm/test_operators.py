@@ -7,9 +7,10 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
-from presswork.llm import mixing, packing, pii, quality, registry, simhash, substrings, tokenfiles, toxicity, vptree, warc
+from presswork.llm import mixing, packing, pii, quality, registry, simhash, substrings, tokenfiles, tokens, toxicity, vptree, warc
 from presswork.shared import shared_path
 
 
@@ -164,10 +165,20 @@ def test_redact_joins_overlaps():
 def test_tokens_match_the_library(docs):
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         got = tokenfiles.tokenized(docs, name).where("n_tokens > 0").select("doc_id", "ids").collect()
-        want = [(tokenfiles.NO_ID if i is None else i, np.array(brute.tokens(t, name), "<u2").tobytes()) for i, t in pairs(docs)]
+        want = [(i, np.array(brute.tokens(t, name), "<u2").tobytes()) for i, t in pairs(docs)]
         assert by_id((r.doc_id, bytes(r.ids)) for r in got) == by_id(want)
 
 
+def test_tokens_of_random_texts():
+    random = np.random.default_rng(17)
+    signs = [*"aAbzZ .,;:!?'\n\t-09_", "'s", "'LL", "  ", "\u0130", "\u0130.", "i\u0307", "I\u0307", "\u0307", "\u212a", "\u037e", "\u03a3", "\u00df", "\u1e9e", "\u00e9", "e\u0301", "\u00a0", "\u0085", "\u2028", "\u65e5", "\U0001f600", "\x00", "<|endoftext|>", "\ufb01", "\u01c5", "\u0149"]
+    texts = ["".join(signs[i] for i in random.integers(0, len(signs), random.integers(0, 14))) for _ in range(6000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        flat, lengths = tokens.with_end(pa.array(texts, pa.string()), name)
+        for text, ids in zip(texts, np.split(flat, np.cumsum(lengths)[:-1])):
+            assert ids.tolist() == brute.tokens(text, name), repr(text)
+
+
 def test_token_files(docs):
     got = [(r.doc_id, r.start, r.n_tokens, brute.crc(np.frombuffer(r.ids, "<u4"))) for r in tokenfiles.round_trip(docs).collect()]
     want, start = [], 0
@@ -178,11 +189,27 @@ def test_token_files(docs):
     assert by_id(got) == by_id(want)
 
 
+def test_token_files_split_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "PART_IDS", 64)
+    rows = [(None if i % 3 else tokenfiles.NO_ID if i % 2 else i, f"word {i} and more") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.start, r.doc_id, bytes(r.ids)) for r in tokenfiles.round_trip(frame).collect())
+    assert by_id((i, ids) for _, i, ids in got) == by_id((i, np.array(brute.tokens(t, "word_bpe_49k.json"), "<u4").tobytes()) for i, t in rows)
+    start = 0
+    for at, _, ids in got:
+        assert at == start
+        start += len(ids) // 4
+    order = [tokenfiles.NO_ID if i is None else i for _, i, _ in got]
+    assert order == sorted(order)
+    ranges = tokenfiles.Ranges([5, 5, 5, 9])
+    assert ranges.parts == 6 and ranges.part(np.array([4, 5, 5, 6, 10]), np.array([0, 0, (1 << 32) - 1, 7, 7])).tolist() == [0, 1, 3, 4, 5]
+
+
 def test_token_file_damage_is_told():
-    pieces = tokenfiles.encode_ranks(np.array([1, 300, 70_000, 20_000_000, 5]), np.array([3, 2]))
-    block = tokenfiles.encode_block([7, 9], [3, 2], b"".join(c for c, _ in pieces), b"".join(d for _, d in pieces), 11) + b"\n"
+    control, data = tokenfiles.encode_ranks(np.array([1, 300, 70_000, 20_000_000, 5]), np.array([3, 2]))
+    block = tokenfiles.encode_block([None, tokenfiles.NO_ID], [3, 2], b"".join(control.to_pylist()), b"".join(data.to_pylist()), 11) + b"\n"
     keys, lengths, ranks, base = next(tokenfiles.decode_blocks(block))
-    assert (keys.tolist(), lengths.tolist(), ranks.tolist(), base) == ([7, 9], [3, 2], [1, 300, 70_000, 20_000_000, 5], 11)
+    assert (keys.tolist(), lengths.tolist(), ranks.tolist(), base) == ([None, tokenfiles.NO_ID], [3, 2], [1, 300, 70_000, 20_000_000, 5], 11)
     with pytest.raises(ValueError):
         list(tokenfiles.decode_blocks(block[:-3] + b"x" + block[-2:]))
 
