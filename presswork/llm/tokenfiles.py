@@ -35,7 +35,7 @@ BLOCK_IDS, FILE_BYTES = 1 << 18, 128 << 20
 #: Ids of a range on average; a range is sorted and written by one task.
 PART_IDS = 1 << 24
 #: Words that a worker keeps with their ids.
-WORDS = 600_000
+WORDS = 400_000
 #: Where documents without an id stand: before all others.
 NO_ID, UNNAMED = -(1 << 63), 1 << 31
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END = 2
 #: Bytes of text encoded at a time.
-TOKEN_SLICE = 4 << 20
+TOKEN_SLICE = 2 << 20
 #: Words kept in a worker (about 300 bytes each) unless a caller says otherwise, and the longest of them in characters.
 KEPT_WORDS, KEPT_CHARS = 400_000, 32
 
@@ -102,7 +102,7 @@ class WordTokens:
         coded, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         ids = self._ids(coded.dictionary.to_pylist())
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False).copy()
         codes[offsets[whole]] = len(ids) + np.arange(len(whole))
         ids += self.encode(texts.take(pa.array(whole)).to_pylist())
         codes = np.insert(codes, offsets[1:], len(ids))
