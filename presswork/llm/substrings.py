@@ -1,16 +1,21 @@
-"""Removal of passages that earlier documents hold, by relative parsing against reference blocks.
+"""Removal of passages that earlier documents hold, by relative Lempel-Ziv parsing against reference blocks.
 
-The corpus is its own reference. A reference block holds, for one anchor, every distinct stretch of words around that
-anchor with the smallest document that has it. Anchors are minimizers: of each window of ``WINDOW`` words, the five
-words whose hash is least, so equal windows meet in one block, wherever they stand. Each document is cut at its
-anchors and its stretches are factored against their blocks: a factor is a greedy run of windows that an earlier
-document holds. Since each window belongs to exactly one stretch, those across the boundaries of factors are checked
-as all others, and factors that adjoin or overlap are joined into spans when the document is put together.
+The corpus is its own reference. A reference block holds, for one anchor, the windows of ``WINDOW`` words around that
+anchor, indexed by their hashes, each with the first place (least document, then least word) where it stands. Anchors
+are minimizers: of each window the five words whose hash is least. A window can only stand in the block of its own
+anchor, so to look there is to look in every block.
 
-Stretches that repeat within a slice of the input are combined before the shuffle, so the rows of a passage that most
-documents share grow with the slices and not with the documents. Blocks that would hold many windows, of a phrase that
+Each document is cut at its anchors, and its stretches are parsed against their blocks from left to right: a factor
+begins at a window that an earlier document holds and runs on as long as the text goes on alike at the factor's source.
+Factors of under thirteen words can't count, so windows are the parse's least unit. They overlap by twelve words, so the
+windows that cross from one factor to the next are looked up as all others: these are the checks at the boundaries. When
+a document is put together, factors whose sources adjoin are joined, and the words under all factors are removed.
+
+Stretches that repeat within a slice of the input are factored there, so what a passage that most documents share adds
+to a shuffle grows with the slices and not with the documents. Blocks that would hold many windows, of a phrase that
 stands in many surroundings, are told beforehand by a sample; their stretches are cut into single windows, each of which
-makes a block of its own. A block that the sample misses gives the same result, in one larger block.
+makes a block of its own. A block that the sample misses gives the same result, in one larger block. Stretches travel
+packed by buckets of blocks; a bucket is about BUCKET_WINDOWS windows and is parsed by one task.
 """
 
 from __future__ import annotations
@@ -20,19 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.batches import filled, slices, words_of
+from presswork.llm.tokens import ragged
+from presswork.shared import written
 
 WINDOW, ANCHOR = 13, 5
 #: Windows of a stretch at most; longer ones, of text that repeats itself, are cut.
 STRETCH = 255
 #: Windows in a block from which it is cut into single windows, and the share of the stretches (1 in so many) that tells.
 HOT_WINDOWS, SAMPLE = 1 << 18, 64
+#: Windows of a bucket, about (a window takes some 60 bytes while its bucket is parsed).
+BUCKET_WINDOWS = 2_000_000
+#: Bytes of a window's hash that travel, beside the eight of its anchor's.
+HASH_BYTES = 6
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+FACTOR = "struct<start: long, windows: long, source_id: long, source_start: long>"
 
 
 def _rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -45,10 +56,9 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array, hot: np.ndarray) -> pa.RecordBatch | None:
-    """Stretches of a slice: ``anchor, doc_id, place`` (start << 32 | check << 8 | windows) and the windows' hashes;
-    without hashes if an earlier document of the slice has the same stretch. Those around ``hot`` anchors are single
-    windows, with an anchor of their own; neighbours without hashes are joined again."""
+def _runs(texts: pa.Array, hot: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Stretches of texts: where their windows begin in ``windows``, how many they are, their text, their place in it,
+    their anchor, the stretch they were cut from, a hash of the whole; and the hashes of all windows."""
     n, codes, vocabulary = words_of(texts)
     if len(codes) < WINDOW:
         return None
@@ -57,9 +67,8 @@ def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array, hot: np
     windows = _rolled(hashes, WINDOW)
     count = len(windows)
     low = _rolled(hashes, ANCHOR)
-    span = WINDOW - ANCHOR + 1
     anchors = low[:count].copy()
-    for j in range(1, span):
+    for j in range(1, WINDOW - ANCHOR + 1):
         np.minimum(anchors, low[j : j + count], out=anchors)
     at = np.flatnonzero(owner[:count] == owner[WINDOW - 1 :])
     if not len(at):
@@ -67,112 +76,166 @@ def _stretches(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array, hot: np
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (anchors[at[1:]] != anchors[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
     first = np.flatnonzero(new)
-    index = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    new |= index % STRETCH == 0
+    new |= (np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % STRETCH == 0
     stretch = np.cumsum(new)
     single = np.isin(anchors[at], hot)
     new |= single
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
     index = np.arange(len(at)) - np.repeat(first, size)
-    run_owner = owner[at[first]]
-    docs, anchor = doc_ids[run_owner], anchors[at[first]]
+    anchor = anchors[at[first]]
     whole = np.add.reduceat(windows[at] * (_MIX + np.uint64(2) * index.astype(np.uint64)), first) ^ anchor
     anchor = np.where(single[first], anchor ^ windows[at[first]] * _MIX, anchor)
-    order = np.lexsort((docs, whole))
+    text = owner[at[first]]
+    return at[first], size, text, at[first] - (np.cumsum(n) - n)[text], anchor, stretch[first], whole, windows
+
+
+def _spread(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h * _ODD >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+#: What is packed of a stretch: ``key`` is its anchor, or the source's document where it is a copy within its slice;
+#: ``source`` is the source's place then. A copy travels without hashes.
+PACKED = np.dtype([("key", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("start", "<u4"), ("source", "<u4"), ("size", "u1"), ("copy", "u1")])
+
+
+def _pack(rows: np.ndarray, windows: np.ndarray) -> bytes:
+    """Stretches and their hashes; fields are stored byte by byte, so that what is alike stands together."""
+    fields = [np.ascontiguousarray(rows[name]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for name in PACKED.names]
+    return len(rows).to_bytes(4, "little") + b"".join(fields) + np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+
+
+def _unpack(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, at = int.from_bytes(content[:4], "little"), 4
+    rows = np.empty(n, PACKED)
+    for name in PACKED.names:
+        width = PACKED[name].itemsize
+        rows[name] = np.ascontiguousarray(np.frombuffer(content, np.uint8, n * width, at).reshape(width, n).T).view(PACKED[name])[:, 0]
+        at += n * width
+    windows = np.zeros(((len(content) - at) // HASH_BYTES, 8), np.uint8)
+    windows[:, :HASH_BYTES] = np.frombuffer(content, np.uint8, -1, at).reshape(-1, HASH_BYTES)
+    return rows, windows.view("<u8")[:, 0]
+
+
+def _packed(doc_ids: np.ndarray, checks: np.ndarray, texts: pa.Array, hot: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+    """Stretches of a slice, packed by buckets. Copied single windows that adjoin, and whose sources do, are joined."""
+    found = _runs(texts, hot)
+    if found is None:
+        return None
+    at, size, text, start, anchor, stretch, whole, windows = found
+    docs = doc_ids[text]
+    order = np.lexsort((start, docs, whole))
     lead = np.ones(len(order), bool)
     lead[1:] = whole[order[1:]] != whole[order[:-1]]
-    least = np.empty(len(order), np.int64)
-    least[order] = docs[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
-    copied = docs > least
-    start = np.ones(len(first), bool)
-    start[1:] = ~(copied[1:] & copied[:-1] & (stretch[first[1:]] == stretch[first[:-1]]))
-    size = np.add.reduceat(size, np.flatnonzero(start))
-    first, run_owner, docs, anchor, copied = (x[start] for x in (first, run_owner, docs, anchor, copied))
-    begins = np.concatenate([[0], np.cumsum(n)[:-1]])
-    place = (at[first] - begins[run_owner]) << 32 | checks[run_owner] << 8 | size
-    content = windows[at].astype("<u8").tobytes()
-    ends = np.cumsum(size) * 8
-    raw = [b"" if c else content[e - 8 * s : e] for c, e, s in zip(copied.tolist(), ends.tolist(), size.tolist())]
-    # Copied stretches need no block; a hash of their own deals them out evenly.
-    anchor = np.where(copied, (docs.astype(np.uint64) + place.astype(np.uint64)) * _ODD, anchor)
-    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(docs), pa.array(place), pa.array(raw, pa.binary())], ["anchor", "doc_id", "place", "windows"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    source = np.empty(len(order), np.int64)
+    source[order] = order[lead][np.cumsum(lead) - 1]
+    copied = docs > docs[source]
+    joined = copied[1:] & copied[:-1] & (stretch[1:] == stretch[:-1]) & (docs[source][1:] == docs[source][:-1]) & (np.diff(start[source]) == size[:-1])
+    begin = np.flatnonzero(np.append(True, ~joined))
+    rows = np.empty(len(begin), PACKED)
+    rows["size"] = np.add.reduceat(size, begin)
+    at, text, source, copied = at[begin], text[begin], source[begin], copied[begin]
+    rows["doc"], rows["check"], rows["start"], rows["copy"] = docs[begin], checks[text], start[begin], copied
+    rows["key"] = np.where(copied, docs[source].view(np.uint64), anchor[begin])
+    rows["source"] = np.where(copied, start[source], 0)
+    bucket = _spread(np.where(copied, (rows["doc"].view(np.uint64) ^ rows["start"].astype(np.uint64) << np.uint64(40)) * _MIX, rows["key"] * _MIX), buckets)
+    order = np.argsort(bucket, kind="stable")
+    rows, at, bucket = rows[order], at[order], bucket[order]
+    known = np.where(rows["copy"], 0, rows["size"]).astype(np.int64)
+    hashes = windows[ragged(at, known)]
+    edges = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+    ends = np.append(edges[1:], len(rows))
+    sums = np.concatenate([[0], np.cumsum(known)])
+    content = [_pack(rows[a:b], hashes[sums[a] : sums[b]]) for a, b in zip(edges.tolist(), ends.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(content, pa.binary())], ["bucket", "stretches"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = filled(batch.column("text"))
         ids, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "check"))
         for low, high in slices(texts):
-            if (made := _stretches(ids[low:high], checks[low:high], texts.slice(low, high - low), hot)) is not None:
+            if (made := _packed(ids[low:high], checks[low:high], texts.slice(low, high - low), hot, buckets)) is not None:
                 yield made
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """``(anchor, windows)`` of one in ``share`` stretches that have hashes."""
-    for cut in _cut(batches, np.empty(0, np.uint64)):
-        anchor, docs, place = (cut.column(c).to_numpy() for c in ("anchor", "doc_id", "place"))
-        drawn = (((docs.astype(np.uint64) * _ODD) ^ place.astype(np.uint64)) * _MIX) >> np.uint64(40)
-        chosen = (drawn % np.uint64(share) == 0) & (pc.binary_length(cut.column("windows")).to_numpy() > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[chosen]), pa.array(place[chosen] & 0xFF)], ["anchor", "windows"])
+    """``(anchor, windows)`` of one in ``share`` stretches, those that repeat within a slice taken once."""
+    for batch in batches:
+        texts, ids = filled(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for low, high in slices(texts):
+            if (found := _runs(texts.slice(low, high - low), np.empty(0, np.uint64))) is not None:
+                _, size, text, start, anchor, _, whole, _ = found
+                once = np.unique(whole, return_index=True)[1]
+                drawn = ((ids[low:high][text[once]].astype(np.uint64) * _ODD ^ start[once].astype(np.uint64)) * _MIX) >> np.uint64(40)
+                chosen = once[drawn % np.uint64(share) == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[chosen].view(np.int64)), pa.array(size[chosen])], ["anchor", "windows"])
 
 
-def _hot_anchors(rows: DataFrame) -> np.ndarray:
-    """Anchors whose blocks hold HOT_WINDOWS windows or more, by a sample."""
+def _measured(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Anchors whose blocks hold HOT_WINDOWS windows or more, by a sample; and the number of all windows, about."""
     share = SAMPLE
-    drawn = rows.mapInArrow(lambda batches: _sampled(batches, share), "anchor long, windows long")
+    drawn = written(rows.mapInArrow(lambda batches: _sampled(batches, share), "anchor long, windows long"), "anchor-sample")
     sums = drawn.groupBy("anchor").agg(F.sum("windows").alias("windows")).where(F.col("windows") * share >= HOT_WINDOWS)
-    return np.sort(sums.select("anchor").toArrow().column(0).to_numpy().view(np.uint64))
+    hot = np.sort(sums.select("anchor").toArrow().column(0).to_numpy().view(np.uint64))
+    return hot, share * (drawn.agg(F.sum("windows")).first()[0] or 0)
 
 
-def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Factors of sorted stretches: ``doc_id, check, factor`` (start << 32 | windows).
+def _parse(rows: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    """Factors of a bucket's stretches against the blocks of the bucket: ``doc_id, check, factor``."""
+    order = np.lexsort((rows["start"], rows["doc"]))
+    known = np.where(rows["copy"], 0, rows["size"]).astype(np.int64)
+    begins = (np.cumsum(known) - known)[order]
+    rows, known = rows[order], known[order]
+    windows = windows[ragged(begins, known)]
+    row = np.repeat(np.arange(len(rows)), known)
+    index = np.arange(len(row)) - np.repeat(np.cumsum(known) - known, known)
+    place = rows["start"][row].astype(np.int64) + index
+    # The index of the blocks: equal windows stand together, the first place before the others.
+    mixed = (rows["key"][row] ^ windows * _ODD) * _MIX
+    order = np.argsort(mixed, kind="stable")
+    key, sorted_windows = rows["key"][row[order]], windows[order]
+    lead = np.ones(len(order), bool)
+    lead[1:] = (key[1:] != key[:-1]) | (sorted_windows[1:] != sorted_windows[:-1])
+    source = np.empty(len(order), np.int64)
+    source[order] = order[lead][np.cumsum(lead) - 1]
+    docs = rows["doc"][row]
+    hit = np.flatnonzero(docs > docs[source])
+    # A factor runs on while the next window's source is the next window of its source.
+    origin, at = docs[source[hit]], place[source[hit]]
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]]) | (origin[1:] != origin[:-1]) | (np.diff(at) != 1)
+    begin = np.flatnonzero(new)
+    copies = np.flatnonzero(rows["copy"])
+    owner = np.concatenate([row[hit[begin]], copies])
+    parts = (
+        np.concatenate([place[hit[begin]], rows["start"][copies]]),
+        np.concatenate([np.diff(np.append(begin, len(hit))), rows["size"][copies]]),
+        np.concatenate([origin[begin], rows["key"][copies].view(np.int64)]),
+        np.concatenate([at[begin], rows["source"][copies]]),
+    )
+    factor = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in parts], ["start", "windows", "source_id", "source_start"])
+    return pa.RecordBatch.from_arrays([pa.array(rows["doc"][owner]), pa.array(rows["check"][owner].astype(np.int64)), factor], ["doc_id", "check", "factor"])
 
-    Blocks come one after another, each in the order of document ids, so a window that was met before in its block
-    was met in a document with a smaller id or in this one. Of an open block, only its distinct windows are carried
-    on to the next batch.
-    """
-    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))  # anchor, document, window
-    for batch in batches:
-        anchor, docs, place = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "place"))
-        content = batch.column("windows")
-        known = np.diff(np.frombuffer(content.buffers()[1], np.int32, len(content) + 1, 4 * content.offset)) // 8
-        size = place & 0xFF
-        hashes = np.frombuffer(b"".join(content.to_pylist()), "<u8")
-        row = np.repeat(np.arange(len(place)), known)
-        a, d, w = (np.concatenate(x) for x in zip(held, (anchor[row], docs[row], hashes)))
-        order = np.lexsort((d, w, a))
-        lead = np.ones(len(order), bool)
-        lead[1:] = (a[order[1:]] != a[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
-        least = np.empty(len(order), np.int64)
-        least[order] = d[order][np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        found = (d > least)[len(held[0]) :]
-        if len(a):
-            firsts = order[lead]
-            firsts = firsts[a[firsts] == a[-1]]
-            held = (a[firsts], d[firsts], w[firsts])
-        # Runs of found windows within a stretch, and whole copied stretches.
-        index = np.arange(len(row)) - np.repeat(np.cumsum(known) - known, known)
-        hit = np.flatnonzero(found)
-        new = np.ones(len(hit), bool)
-        new[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]])
-        begin = hit[new]
-        length = np.diff(np.append(np.flatnonzero(new), len(hit)))
-        whole = np.flatnonzero(known == 0)
-        rows = np.concatenate([row[begin], whole])
-        start = (place[rows] >> 32) + np.concatenate([index[begin], np.zeros(len(whole), np.int64)])
-        factor = start << 32 | np.concatenate([length, size[whole]])
-        yield pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(place[rows] >> 8 & 0xFFFFFF), pa.array(factor)], ["doc_id", "check", "factor"])
+
+def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Factors of a task's bucket."""
+    held = [_unpack(content.as_buffer().to_pybytes()) for batch in batches for content in batch.column("stretches")]
+    if held:
+        found = _parse(np.concatenate([rows for rows, _ in held]), np.concatenate([windows for _, windows in held]))
+        for low in range(0, found.num_rows, 1 << 16):
+            yield found.slice(low, 1 << 16)
 
 
 def factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, check, factors)``: of each document with windows that a smaller id has, where they stand (array of
-    start << 32 | windows). ``check`` is 24 bits of a hash of the text and tells rows with one id apart."""
+    """``(doc_id, check, factors)``: of each document with factors, their starts, lengths in windows, and sources (array
+    of FACTOR; a factor of n windows is n + 12 words). ``check`` is 24 bits of a hash of the text and tells rows with one
+    id apart."""
     rows = _keyed(df, doc_id, text).where("doc_id is not null").select("doc_id", "check", "text")
-    hot = _hot_anchors(rows)
-    cut = rows.mapInArrow(lambda batches: _cut(batches, hot), "anchor long, doc_id long, place long, windows binary")
-    blocks = cut.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    found = blocks.mapInArrow(_factor, "doc_id long, check long, factor long")
+    hot, windows = _measured(rows)
+    buckets = max(1, df.sparkSession.sparkContext.defaultParallelism, -(-windows // BUCKET_WINDOWS))
+    cut = rows.mapInArrow(lambda batches: _cut(batches, hot, buckets), "bucket int, stretches binary")
+    found = cut.repartitionById(buckets, "bucket").select("stretches").mapInArrow(_factor, f"doc_id long, check long, factor {FACTOR}")
     return found.groupBy("doc_id", "check").agg(F.collect_list("factor").alias("factors"))
 
 
@@ -181,14 +244,25 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).bitwiseAND(F.lit(0xFFFFFF)).alias("check"), whole.alias("text"))
 
 
-def covered(n: int, found: list[int] | None) -> np.ndarray:
-    """Which of n words the factors' windows cover."""
-    edge = np.zeros(n + 1, np.int64)
-    factor = np.array(found or [], np.int64)
-    start = factor >> 32
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + (factor & 0xFFFFFFFF) + WINDOW - 1, -1)
-    return np.cumsum(edge)[:-1] > 0
+def joined(found: list[dict]) -> list[tuple[int, int, int, int]]:
+    """Factors in order, those joined whose sources adjoin as they do: ``(start, words, source_id, source_start)``."""
+    out: list[list[int]] = []
+    for f in sorted(found, key=lambda f: f["start"]):
+        start, words = f["start"], f["windows"] + WINDOW - 1
+        last = out[-1] if out else None
+        if last and start == last[0] + last[1] - WINDOW + 1 and (f["source_id"], f["source_start"] - start) == (last[2], last[3] - last[0]):
+            last[1] = start + words - last[0]
+        else:
+            out.append([start, words, f["source_id"], f["source_start"]])
+    return [tuple(f) for f in out]
+
+
+def covered(n: int, found: list[dict] | None) -> np.ndarray:
+    """Which of n words the factors cover."""
+    out = np.zeros(n, bool)
+    for start, words, _, _ in joined(found or []):
+        out[start : start + words] = True
+    return out
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -245,7 +245,15 @@ def test_repeats(docs):
     assert got == brute.repeats(dict(rows).items())
 
 
-def test_repeats_tell_windows_of_equal_low_bits_apart(spark):
+def test_factors_have_their_sources(spark):
+    shared, other = [f"s{i}" for i in range(40)], [f"o{i}" for i in range(30)]
+    texts = {1: ["a"] * 3 + shared, 2: other + ["b"], 3: [f"x{i}" for i in range(9)] + shared[5:] + other[:20] + ["y"], 4: shared[:12] + other[:12]}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: substrings.joined([f.asDict() for f in r.factors]) for r in substrings.factors(frame).collect()}
+    assert found == {3: [(9, 35, 1, 8), (44, 20, 2, 0)]}
+
+
+def test_windows_of_one_block_are_told_apart_by_all_their_bytes(spark):
     random = np.random.default_rng(11)
     names = [f"w{i}" for i in range(2000)]
     codes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in names], np.uint64)
@@ -267,16 +275,16 @@ def test_repeats_cut_hot_blocks(spark, odd, documents, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     monkeypatch.setattr(substrings, "HOT_WINDOWS", 256)
     monkeypatch.setattr(substrings, "SAMPLE", 2)
-    hot = substrings._hot_anchors(substrings._keyed(frame, "doc_id", "text"))
-    assert len(hot)
-    rows = substrings._keyed(frame, "doc_id", "text").select("doc_id", "check", "text")
-    schema = "anchor long, doc_id long, place long, windows binary"
-    longest = [rows.mapInArrow(lambda b, h=h: substrings._cut(b, h), schema).where("length(windows) > 0").groupBy("anchor").count().agg({"count": "max"}).first()[0] for h in (hot[:0], hot)]
+    hot, windows = substrings._measured(substrings._keyed(frame, "doc_id", "text"))
+    assert len(hot) and 0.5 * 2000 * 9 < windows < 1.5 * 2000 * 9
+    column = pa.array(texts)
+    longest = [max(np.bincount(np.unique(substrings._runs(column, h)[4], return_inverse=True)[1])) for h in (hot[:0], hot)]
     assert longest[1] < longest[0] / 4
     for table in (frame, odd, documents):
         want = brute.repeats(dict((i, t) for i, t in pairs(table) if i is not None).items())
-        for least in (1, 256):
+        for least, bucket in ((1, 2_000_000), (256, 5000)):
             monkeypatch.setattr(substrings, "HOT_WINDOWS", least)
+            monkeypatch.setattr(substrings, "BUCKET_WINDOWS", bucket)
             got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table).collect() if r.doc_id is not None}
             assert got == want
 
