@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text: one of ordinary windows, and one that also holds the word
-beginnings which set toxic text apart, by how many different words they follow there and in ordinary text. (Copies of
-one text add no new contexts, so they don't pass for evidence.) The ordinary one is padded to the same length, so that
-all else costs the same. Every window of a text is compressed with both; where the toxic dictionary makes it shorter,
-it resembles toxic text. A logistic curve, fitted and then shifted to the best threshold on labelled rows, turns a
-document's differences into a score.
+Two zstandard dictionaries are trained, one on windows of toxic text and one on windows of ordinary text. Most of toxic
+text is ordinary too, so the toxic dictionary is pruned to what sets it apart: of its words, the beginnings that follow
+many more different words in toxic than in ordinary text. (Copies of one text add no new contexts, so they don't pass for
+evidence.) The toxic side compresses with the ordinary dictionary and the pruned one behind it, the other side with the
+ordinary one padded to the same length, so that all else costs the same. Every window of a text is compressed on both
+sides; where the toxic side is shorter, it resembles toxic text. A logistic curve, fitted and then shifted to the best
+threshold on labelled rows, turns a document's differences into a score.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from presswork.llm.batches import filled
 
-#: Bytes of a window, cut after a word, and of the dictionaries' parts.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 8_000, 4_000
+#: Bytes of a window, cut after a word, of the dictionaries as they are trained, and of the toxic one when pruned.
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, PRUNED_BYTES = 64, 8_000, 32_000, 4_000
+#: Of each training: bytes of a segment, and of the pieces that segments are chosen by.
+ORDINARY_COVER, TOXIC_COVER = (128, 6), (16, 6)
 #: Labelled rows of each class that are fitted on (about; taken by a hash of their ids), and their longest texts.
 FIT_ROWS, FIT_BYTES = 2000, 1 << 16
 #: A difference in bytes that counts as a toxic window.
@@ -52,33 +55,35 @@ def windows(text: str, shift: int = 0) -> list[bytes]:
     return out
 
 
-def _trained(samples: list[bytes]) -> bytes:
-    """The content of a dictionary trained on ordinary windows."""
+def _trained(samples: list[bytes], size: int, cover: tuple[int, int]) -> bytes:
+    """The content of a dictionary trained on windows."""
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples, k=128, d=6).as_bytes()[-ORDINARY_BYTES:]
+        return zstandard.train_dictionary(size, samples, k=cover[0], d=cover[1]).as_bytes()[-size:]
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        return b" ".join(samples)[-ORDINARY_BYTES:]
+        return b" ".join(samples)[-size:]
 
 
-def _contexts(texts: list[str], only: set[str] | None = None) -> dict[str, set[str]]:
-    """The words that each word beginning, or each one of ``only``, follows."""
+def _contexts(texts: list[str], only: set[str]) -> dict[str, set[str]]:
+    """The words that each of some word beginnings follows."""
     out: dict[str, set[str]] = {}
     for text in texts:
         words = text.lower().split()
         for before, word in zip(["", *words], words):
             for n in STEMS:
-                if len(word) >= n and (only is None or word[:n] in only):
+                if len(word) >= n and word[:n] in only:
                     out.setdefault(word[:n], set()).add(before)
     return out
 
 
-def _contrasted(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Word beginnings of toxic text, the most frequent last, where references to them are shortest."""
+def _pruned(dictionary: bytes, toxic: list[str], ordinary: list[str]) -> bytes:
+    """Beginnings of a dictionary's words that set toxic text apart, the most frequent last, where references to them
+    are shortest."""
+    held = {word[:n] for word in dictionary.decode("utf-8", "ignore").split() for n in STEMS if len(word) >= n}
     least = max(STEM_CONTEXTS, STEM_SHARE * len(toxic))
-    mine = {s: c for s, c in _contexts(toxic).items() if len(c) >= least}
+    mine = {s: c for s, c in _contexts(toxic, held).items() if len(c) >= least}
     theirs = _contexts(ordinary, set(mine))
     marked = [s for s, c in mine.items() if len(c) / len(toxic) >= STEM_RATIO * (len(theirs.get(s, ())) + 0.5) / len(ordinary)]
-    return "".join(f" {s}" for s in sorted(marked, key=lambda s: (len(mine[s]), s))).encode()[-TOXIC_BYTES:]
+    return "".join(f" {s}" for s in sorted(marked, key=lambda s: (len(mine[s]), s))).encode()[-PRUNED_BYTES:]
 
 
 class Scorer:
@@ -130,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not toxic or not ordinary:
         return None
     plain = [w for t in ordinary for w in windows(t)]
-    model = Model(_contrasted(toxic, ordinary), _trained(plain[:: 1 + len(plain) // 8000]), ())
+    marked = _trained(sorted({w for t in toxic for w in windows(t)}), TOXIC_BYTES, TOXIC_COVER)
+    model = Model(_pruned(marked, toxic, ordinary), _trained(plain[:: 1 + len(plain) // 8000], ORDINARY_BYTES, ORDINARY_COVER), ())
     scorer = Scorer(model.toxic, model.ordinary)
     x = np.array([scorer.features(t) for t in toxic + ordinary])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
