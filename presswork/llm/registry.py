@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from presswork.llm import mixing, packing, pii, quality, simhash, substrings, tokenfiles, toxicity, vptree, warc
 from presswork.llm.sql import ORACLES
+from presswork.shared import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,18 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def warc_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is salvaged of the pages' archives when two records of ten are damaged, and the log of the gaps."""
+    path = shared_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, False, warc.damaged).select("kind", "page_id", "record_type", "length", "reason")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strict policy rejects, alone and beside others, by the ledger's bits."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)), "strict-1")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,6 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vantage_point_neighbours, op2_pii_boosting, op3_quality_rules, op4_warc_salvage, op5_token_files,
-        op6_compression_toxicity, op7_best_fit_packing, op8_relative_parsing, op9_simhash_near_dedup, op10_poisson_mixing,
+        op6_compression_toxicity, op7_best_fit_packing, op8_relative_parsing, op9_simhash_near_dedup, op10_poisson_mixing, warc_damaged, quality_ablations,
     )
 }

@@ -3,15 +3,17 @@
 The writer makes records of WARC 1.1 as plain column expressions; a record's end mark is the writer's line separator,
 so part files are archives as they are. The reader checks every record's lengths, end mark and block digest. After a
 failed check it looks for the next gzip member or version line whose record passes, goes on there, and reports the
-bytes between as a quarantined gap.
+bytes between as a quarantined gap. Members are inflated piece by piece up to a bound, so the work grows with the archive.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +23,15 @@ from presswork.shared import shared_path, written
 
 #: Payloads from so many bytes on are stored once.
 REVISIT_BYTES = 1000
-#: Records in a file, and owners of payloads that may be broadcast (about 100 bytes each); more are joined by a shuffle.
-FILE_RECORDS, BROADCAST_OWNERS = 1000, 100_000
+#: Records in a file, bytes of a file, about, and owners of payloads that may be broadcast (about 150 bytes each); more are
+#: joined by a shuffle. A payload of over FILE_BYTES / FILE_RECORDS goes to files of fewer records.
+FILE_RECORDS, FILE_BYTES, BROADCAST_OWNERS = 1000, 256 << 20, 100_000
+#: Bytes that a gzip member may inflate to; a larger one is reported as a gap. And bytes that are inflated at a time.
+MEMBER_BYTES, PIECE = 128 << 20, 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 END_MARK = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ROWS = "kind string, file string, offset long, length long, page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary, reason string"
+ROWS = "kind string, file string, offset long, length long, record_id string, page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long, payload binary, reason string"
 
 
 def _header(*lines: tuple[str, Column]) -> Column:
@@ -42,21 +47,22 @@ def plan_records(df: DataFrame, page_id: str = "page_id", url: str = "url", html
     """``page_id, url, payload, payload_bytes, payload_digest, refers_to``, one row for each row of ``df``.
 
     Of equal payloads of REVISIT_BYTES and more, the rows of the largest id are stored and all others refer to it; a
-    null id is less than any other, and where all ids are null all are stored. Repeated rows of the largest id are
+    null id is less than any other, and where all ids are null all are stored. Payloads are told apart by SHA-256. Repeated rows of the largest id are
     each stored. A null page is an empty payload.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = df.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"),
+        F.when(F.octet_length(payload) >= REVISIT_BYTES, F.sha2(payload.cast("binary"), 256)).alias("same"),
     )
-    large = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes")
+    large = rows.where("same is not null").groupBy("same")
     owners = written(large.agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null").drop("n"), "payload-owners")
     if owners.count() <= BROADCAST_OWNERS:
         owners = F.broadcast(owners)
-    owned = rows.join(owners, ["payload_digest", "payload_bytes"], "left")
+    owned = rows.join(owners, "same", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    return owned.withColumn("refers_to", refers).drop("owner")
+    return owned.withColumn("refers_to", refers).drop("owner", "same")
 
 
 def write_archives(df: DataFrame, path: str, date: str = DATE, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -90,12 +96,27 @@ def write_archives(df: DataFrame, path: str, date: str = DATE, page_id: str = "p
         ),
         F.lit("\r\n"),
     )
-    records = rows.select(F.concat(head, block).alias("value"))
-    records.write.option("lineSep", END_MARK.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    small = FILE_BYTES // FILE_RECORDS
+    largest = df.agg(F.max(F.octet_length(html))).first()[0] or 1
+    tiers = [(F.col("payload_bytes") <= small, FILE_RECORDS)] + [(F.col("payload_bytes") > small, max(1, FILE_BYTES // largest))] * (largest > small)
+    for tier, most in tiers:
+        records = rows.where(tier).select(F.concat(head, block).alias("value"))
+        records.write.mode("append").option("lineSep", END_MARK.decode()).option("maxRecordsPerFile", most).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+_START = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+
+
+def _agrees(digest: str, block: bytes) -> bool:
+    """Whether a labelled digest, in hexadecimal or Base32, is the block's. Labels of unknown algorithms aren't checked."""
+    name, _, value = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    own = hashlib.new(name, block).digest()
+    value = value.strip()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
 
 
 def _record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
@@ -122,29 +143,37 @@ def _record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
         return "no end mark after the block"
     block = data[begin:end]
     digest = headers.get("warc-block-digest")
-    if digest is not None and digest.lower() != "sha1:" + hashlib.sha1(block).hexdigest():
+    if digest is not None and not _agrees(digest, block):
         return "block digest differs"
     return end + len(END_MARK), headers, block
 
 
 def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
     """The end and content of the gzip member at a place, or why there is none."""
-    unpack = zlib.decompressobj(31)
+    unpack, out, size = zlib.decompressobj(31), [], 0
+    fed = at
     try:
-        content = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and (unpack.unconsumed_tail or fed < len(data)):
+            piece = unpack.unconsumed_tail or data[fed : fed + PIECE]
+            fed += 0 if unpack.unconsumed_tail else len(piece)
+            out.append(unpack.decompress(piece, MEMBER_BYTES - size + 1))
+            size += len(out[-1])
+            if size > MEMBER_BYTES:
+                return "member inflates beyond the bound"
     except zlib.error as e:
         return f"bad member: {e}"
-    return (len(data) - len(unpack.unused_data), content) if unpack.eof else "member without an end"
+    return (fed - len(unpack.unused_data), b"".join(out)) if unpack.eof else "member without an end"
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
     """``(kind, offset, length, headers, block, reason)`` of an archive: records in order, and gaps between them.
 
-    Places within a gzip member are those of the member.
+    Places within a gzip member are those of the member; ``members``: whether there may be any, as within one there are
+    none.
     """
     at, gap, why = 0, -1, ""
     while at < len(data):
-        packed = data[at : at + 2] == b"\x1f\x8b"
+        packed = members and data[at : at + 2] == b"\x1f\x8b"
         found = _member(data, at) if packed else _record(data, at)
         if isinstance(found, str):
             if gap < 0:
@@ -156,7 +185,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes,
             yield "gap", gap, at - gap, {}, b"", why
             gap = -1
         if packed:
-            for kind, _, _, headers, block, reason in salvage(found[1]):
+            for kind, _, _, headers, block, reason in salvage(found[1], False):
                 yield kind, at, found[0] - at, headers, block, reason
         else:
             yield "record", at, found[0] - at, found[1], found[2], ""
@@ -170,9 +199,11 @@ def _page(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """All records and gaps of the archives in a folder (columns ROWS).
+def read_archives(spark: SparkSession, path: str, keep_payload: bool = True, spoil: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """All records and gaps of the archives in a folder (columns ROWS), of what ``spoil`` makes of them if it is given.
 
+    ``record_id`` and ``refers_to_id`` are as the headers have them; ``page_id`` and ``refers_to`` are the pages that this
+    writer's ids name.
     A response's digest and length are those of the payload that was read; a revisit has those of the full payload
     from its headers. ``kind`` is record or gap; a gap has its place, length and reason only. Files are read whole,
     each by one task; the writer bounds the records of a file.
@@ -181,26 +212,28 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows = [_row(name, *item) for item in salvage(content.as_py())]
-                for low in range(0, len(rows), 256):
-                    columns = list(zip(*rows[low : low + 256]))
+                whole = content.as_buffer().to_pybytes() if spoil is None else spoil(content.as_py())
+                items = salvage(whole)
+                while rows := [_row(name, *item) for item in islice(items, 256)]:
+                    columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
     def _row(name: str, kind: str, offset: int, length: int, headers: dict[str, str], block: bytes, reason: str) -> tuple:
         if kind == "gap":
-            return (kind, name, offset, length, None, None, None, None, None, None, None, reason)
+            return (kind, name, offset, length, *[None] * 9, reason)
         record_type = headers.get("warc-type")
         http, payload = {}, block
         if headers.get("content-type", "").startswith("application/http"):
             top, _, payload = block.partition(END_MARK)
             http = dict(line.lower().split(": ", 1) for line in top.decode("latin-1").split("\r\n")[1:] if ": " in line)
         if record_type == "revisit":
-            digest, size = headers.get("warc-payload-digest", "").removeprefix("sha1:"), int(http.get("content-length", 0))
+            stated = http.get("content-length", "")
+            digest, size = headers.get("warc-payload-digest", "").removeprefix("sha1:"), int(stated) if re.fullmatch("[0-9]{1,18}", stated) else 0
         else:
             digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
         return (
-            kind, name, offset, length, _page(headers.get("warc-record-id")), record_type, headers.get("warc-target-uri"),
-            digest, size, _page(headers.get("warc-refers-to")), payload if keep_payload else None, None,
+            kind, name, offset, length, headers.get("warc-record-id"), _page(headers.get("warc-record-id")), record_type, headers.get("warc-target-uri"),
+            digest, size, headers.get("warc-refers-to"), _page(headers.get("warc-refers-to")), payload if keep_payload else None, None,
         )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -216,3 +249,10 @@ def round_trip(df: DataFrame, keep_payload: bool = True) -> DataFrame:
     path = shared_path(df.sparkSession, "archives")
     write_archives(df, path)
     return read_archives(df.sparkSession, path, keep_payload)
+
+
+def damaged(archive: bytes) -> bytes:
+    """An archive with known damage: the version lines of pages whose ids end in 3 are overwritten, and the block lengths
+    of those whose ids end in 7 are wrong."""
+    archive = re.sub(rb"WARC/1\.1(\r\nWARC-Type: \w+\r\nWARC-Record-ID: <urn:page:[0-9]*3>)", rb"\0\0\0\0/1.1\1", archive)
+    return re.sub(rb"(WARC-Record-ID: <urn:page:[0-9]*7>\r\n(?:[^\r\n]+\r\n)*?Content-Length: )", rb"\g<1>9", archive)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
+import time
 from collections import defaultdict
 
 import brute
@@ -310,8 +313,6 @@ def test_warc_round_trip(spark, data):
 
 
 def test_warc_salvage(spark):
-    import gzip
-
     path = shared_path(spark, "warc-test")
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i} " + "x" * 50 + "</p>") for i in range(20)], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(pages, path)
@@ -332,6 +333,57 @@ def test_warc_salvage(spark):
     assert ids(found) == [i for i in range(20) if i != 3] and sum(x[0] == "gap" for x in found) == 3
 
 
+def test_warc_of_other_writers():
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+
+    def record(name, digest=None, body=block):
+        line = f"WARC-Block-Digest: {digest}\r\n" if digest else ""
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{name}>\r\n{line}Content-Type: application/http\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    own = hashlib.sha1(block)
+    good = ["sha1:" + base64.b32encode(own.digest()).decode(), "SHA1:" + own.hexdigest().upper(), "sha256:" + hashlib.sha256(block).hexdigest(), "blake3:xyz", None]
+    data = b"".join(record(i, d) for i, d in enumerate(good)) + record("bad", "sha1:" + base64.b32encode(b"x" * 20).decode())
+    found = list(warc.salvage(data))
+    assert [f[3].get("warc-record-id") for f in found if f[0] == "record"] == [f"<urn:uuid:{i}>" for i in range(len(good))]
+    assert [f[5] for f in found if f[0] == "gap"] == ["block digest differs"]
+
+
+def test_warc_members_take_time_in_proportion(monkeypatch):
+    random = np.random.default_rng(2)
+    body = random.bytes(20_000).hex().encode()
+    one = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:a:b>\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n", 1)
+    took = []
+    for n in (500, 4000):
+        began = time.process_time()
+        assert sum(kind == "record" for kind, *_ in warc.salvage(one * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    found = list(warc.salvage(gzip.compress(bytes(50 << 20)) + one))
+    assert [f[0] for f in found] == ["gap", "record"] and found[0][5] == "member inflates beyond the bound"
+    assert [f[0] for f in warc.salvage(gzip.compress(one))] == ["gap"]
+
+
+def test_warc_damaged(spark, data):
+    rows = registry.warc_damaged(spark, data).collect()
+    ids = {r.page_id for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id").collect()}
+    spoiled = {i for i in ids if i % 10 in (3, 7)}
+    assert sorted(r.page_id for r in rows if r.kind == "record") == sorted(ids - spoiled)
+    gaps = [r for r in rows if r.kind == "gap"]
+    assert 0 < len(gaps) <= len(spoiled) and {r.reason for r in gaps} == {"no version line", "no end mark after the block"}
+
+
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 10)
+    pages = spark.createDataFrame([(i, None, f"{i} " + "x" * (30_000 if i % 5 == 0 else 100)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = shared_path(spark, "bounded")
+    warc.write_archives(pages, path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert max(sizes) < 110_000 and len(sizes) >= 7
+    assert sorted(r.page_id for r in warc.read_archives(spark, path).collect()) == list(range(40))
+
+
 def test_neighbours(spark, data):
     rows = spark.read.parquet(f"{data}/embeddings.parquet").limit(400)
     held = [(r.vec_id, r.embedding) for r in rows.collect()]
