@@ -1,9 +1,11 @@
-"""Packing of tokenized documents into sequences by bounded-space best fit.
-
-Documents are cut into pieces of at most a sequence's length, the first piece taking what is over, and dealt by a hash
-into parts that are packed independently. A part holds a fixed number of open sequences in a bitset keyed by free
-space: the lowest set bit at or above a piece's length is the best fit. When too many are open, the fullest closes.
-Pieces arrive longest first, which leaves the short ones to fill what the long ones leave.
+"""Packing of tokenized documents into sequences by bounded-space online best fit.
+
+Documents are cut into pieces of at most a sequence's length, the first piece taking what is over. Every partition packs
+its pieces as they arrive, in one pass and without a shuffle. It holds a fixed number of open sequences in a bitset
+keyed by free space: the lowest set bit at or above a piece's length is the best fit. A piece that fits nowhere opens a
+sequence; if that is one too many, the fullest closes. Pieces are taken in runs of RUN as they arrive, the longest of a run
+first, so that the short ones fill what the long ones leave. (Lengths of sf0.1's documents, three times: 1.001 of the lower
+bound, 5,679 of 29,650 sequences closed by the bound; 1.010 without runs.)
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +23,22 @@ from presswork.llm.batches import filled, slices
 from presswork.llm.tokens import BYTE_BPE, END, TOKEN_SLICE, binaries, ragged, with_end
 
 LENGTH = 1024
-#: Open sequences of a part, and documents of a part on average.
-OPEN, PART_DOCS = 16_384, 32_768
+#: Open sequences of a partition, and pieces of a run.
+OPEN, RUN = 1024, 1000
 #: Words that a worker keeps with their ids.
 WORDS = 1_000_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
+#: Numbers of rows and sequences begin anew in each partition, so far apart.
+APART = 1 << 36
 
 
 def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end: int = END, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """The pieces of every row's ids: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` (binary,
-    little-endian unsigned 32-bit). Null texts are empty, and an empty text is the end id alone."""
+    """The pieces of every row's ids: ``doc_id, piece, start, length, ids_crc32, row`` and, if asked for, ``ids`` (binary,
+    little-endian unsigned 32-bit). ``row`` numbers the rows and tells copies apart. Null texts are empty, and an empty
+    text is the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = TaskContext.get().partitionId() * APART
         for batch in batches:
             texts, keys = filled(batch.column(1)), batch.column(0)
             for low, high in slices(texts, TOKEN_SLICE):
@@ -44,11 +51,12 @@ def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end:
                 held = np.where(number == 0, first, length)
                 ids = binaries(flat, held)
                 sums = pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
-                columns = [keys.take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(starts), pa.array(held), sums]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                columns = [keys.take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(starts), pa.array(held), sums, pa.array(seen + owner)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
                 if keep_ids:
                     columns, names = [*columns, ids], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            seen += batch.num_rows
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
@@ -88,40 +96,33 @@ class OpenBins:
         return bin_id
 
 
-def pack(rows: DataFrame, length: int = LENGTH, parts: int = 1, most_open: int = OPEN) -> DataFrame:
-    """Add ``sequence_id`` (long) and ``offset`` (long) to pieces.
+def pack(rows: DataFrame, length: int = LENGTH, most_open: int = OPEN) -> DataFrame:
+    """Add ``sequence_id`` (long) and ``offset`` (long) to pieces, by the order and in the partitions in which they are.
 
-    Rows are taken as they are: repeated ones are placed each, ties are placed in the order of id and piece, null ids
-    first, and no rows give no rows. Sequence ids are unique, not gapless. Every part must fit its lengths, not its
-    ids, in a task; choose ``parts`` by the number of documents.
+    Rows are taken as they are: repeated ones are placed each, and no rows give no rows. Columns of these names are
+    replaced. Sequence ids are unique, not gapless. A partition ends its open sequences with itself, so very small ones
+    waste space; a task holds ``most_open`` of them, whatever the partition's size.
     """
-    shift = 1 << 36
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bins = None, None
+        bins, first = OpenBins(length, most_open), TaskContext.get().partitionId() * APART
         for batch in batches:
-            ids, offsets = [], []
-            for p, size in zip(batch.column("__part").to_pylist(), batch.column("length").to_pylist()):
-                if p != part:
-                    part, bins = p, OpenBins(length, most_open)
-                bin_id, offset = bins.place(size)
-                ids.append(p * shift + bin_id)
-                offsets.append(offset)
-            columns = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
-
-    names = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+            sizes = batch.column("length").to_numpy()
+            ids, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+            for low in range(0, len(sizes), RUN):
+                for i in (low + np.argsort(-sizes[low : low + RUN], kind="stable")).tolist():
+                    ids[i], offsets[i] = bins.place(int(sizes[i]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(first + ids), pa.array(offsets)], [*names, "sequence_id", "offset"])
+
+    names = [c for c in rows.columns if c.lower() not in ("sequence_id", "offset")]
     kept = rows.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    dealt = kept.withColumn("__part", F.expr(f"cast(pmod(xxhash64(doc_id, piece, start), {parts}) as long)"))
-    placed = dealt.repartition("__part").sortWithinPartitions("__part", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return placed.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return kept.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their places; see pieces and pack."""
-    parts = max(1, round(df.count() / PART_DOCS))
-    return pack(pieces(df, length, tokenizer, END, doc_id, text, keep_ids), length, parts)
+    """Pieces of all documents with their places, in the documents' own order; see pieces and pack."""
+    return pack(pieces(df, length, tokenizer, END, doc_id, text, keep_ids), length)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

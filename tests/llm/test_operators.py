@@ -233,13 +233,41 @@ def test_packing(docs):
         placed.sort()
         assert placed[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(placed, placed[1:])) and sum(placed[-1]) <= 1024
     total = sum(len(brute.tokens(t, "byte_bpe_50k.json")) for _, t in pairs(docs))
-    assert len(bins) <= 1.02 * total / 1024 + 1
+    parts = len({r.sequence_id // packing.APART for r in rows.collect()})
+    assert len(bins) <= 1.02 * total / 1024 + parts
     assert sum(len(r.ids) // 4 for r in packing.sequences(rows).collect()) == total
 
 
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
-    assert [bins.place(n) for n in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (3, 0), (0, 6)] or bins.count <= 2
+    assert [bins.place(n) for n in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
+
+
+def test_open_bins_match_a_plain_best_fit():
+    random = np.random.default_rng(9)
+    for most in (1, 3, 40, 1000):
+        bins, used, closed, made = packing.OpenBins(100, most), [], 0, 0
+        for size in random.integers(1, 101, 3000).tolist():
+            fitting = [u for u in used if u + size <= 100]
+            at = max(fitting, default=0)
+            if fitting:
+                used.remove(at)
+            else:
+                if len(used) == most:
+                    used.remove(max(used))
+                    closed += 1
+                made += 1
+            if at + size < 100:
+                used.append(at + size)
+            assert bins.place(size)[1] == at
+        assert bins.made == made and bins.count == len(used) and (closed > 0) == (most < 1000)
+
+
+def test_packing_keeps_the_order_of_arrival(spark):
+    frame = spark.createDataFrame([(i % 7, "word " * (i * 37 % 900)) for i in range(300)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack_documents(frame, keep_ids=True).collect()
+    assert [r.row for r in rows if r.piece == 0] == sorted({r.row for r in rows}) and len({r.row for r in rows}) == 300
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
 
 
 def test_repeats(docs):
