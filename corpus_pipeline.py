@@ -30,8 +30,8 @@ def poisson_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of 1024 ids."""
-    return packing.pack_documents(docs)
+    """All pieces with their ids and their places in sequences of 1024 ids; packed in the order of the mixture."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
