@@ -3,8 +3,9 @@
 The base patterns (email, ip, card, phone) are always redacted. Beside them, generators of high recall propose
 overlapping spans: number groups and their parts, addresses with spelled-out signs, keyed values. Gradient-boosted trees
 score a proposal by its format and its context. They are fitted on proposals from a bounded sample of documents that
-the base patterns and secret-like keys label weakly, and each kind's threshold is the lowest that keeps its precision
-on proposals that the fit did not see.
+the base patterns and secret-like keys label weakly, and on altered copies of these documents, in which the base spans are
+spelled in ways that the base patterns miss (signs of an email written out or set apart, phones without their country). Each
+kind's threshold is the lowest that keeps its precision on proposals, plain and altered, that the fit did not see.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: Documents that are fitted on, about, their longest texts in bytes, and the precision that thresholds keep on unseen
 #: proposals.
 FIT_DOCS, FIT_BYTES, PRECISION = 4000, 1 << 16, 0.99
+#: Proposals of a fitted document at most, taken evenly.
+FIT_PROPOSALS = 128
 TREES, DEPTH = 15, 4
 #: Bins of probability in which thresholds are counted.
 BINS = 1024
@@ -47,7 +50,8 @@ _DIGIT = re.compile(r"[0-9]")
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9 ()./-]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,40} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,20}){1,4}")
-_KEYED = re.compile(r"[A-Za-z_-]{2,24} ?[=:] ?([A-Za-z0-9+/_.-]{6,})")
+_KEYED = re.compile(r"[A-Za-z_-]{2,24}[\"']? ?[=:] ?(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([A-Za-z0-9+/_.=~-]{6,}))")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[ .-]?(?=[(0-9])")
 _SIX = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")
 _SHORT_SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
 _AT, _DOT = re.compile(r" ?(?:\[at\]|\(at\)) ?| @ "), re.compile(r" ?(?:\[dot\]|\(dot\)) ?| \. ")
@@ -137,7 +141,7 @@ def proposals(text: str) -> list[tuple[int, int, int, int]]:
     if "=" in text or ":" in text:
         for m in _KEYED.finditer(text):
             out.setdefault((m.start(), m.end(), 4), 3)
-            out.setdefault((m.start(1), m.end(1), 4), 4)
+            out.setdefault((*m.span(m.lastindex), 4), 4)
     return [(s, e, k, g) for (s, e, k), g in out.items()]
 
 
@@ -156,6 +160,11 @@ def _normal(text: str, start: int, end: int, kind: int, generator: int) -> bool:
     return False
 
 
+def _key(part: str) -> str:
+    """The key of a keyed value."""
+    return part.partition("=")[0].partition(":")[0].strip(" \"'")
+
+
 def features(text: str, start: int, end: int, kind: int, generator: int) -> list[float]:
     """Format and context of a proposal."""
     part = text[start:end]
@@ -164,7 +173,7 @@ def features(text: str, start: int, end: int, kind: int, generator: int) -> list
     counts = Counter(part)
     entropy = -sum(n / len(part) * math.log2(n / len(part)) for n in counts.values())
     before, after = text[max(0, start - 24) : start], text[end : end + 1]
-    key = part.partition("=")[0].partition(":")[0].strip() if generator == 3 else before.rstrip(" =:").rpartition(" ")[2]
+    key = _key(part) if generator == 3 else before.rstrip(" =:\"'").rpartition(" ")[2]
     return [
         float(kind), float(generator), float(len(part)), float(len(digits)), float(sum(c.isalpha() for c in part)),
         float(len(groups)), float(max(map(len, groups), default=0)), float(part.count(".")), float(part.count("-")),
@@ -199,24 +208,61 @@ class Model:
 
 
 def _label(base: list[tuple[int, int, int]], text: str, proposal: tuple[int, int, int, int]) -> float:
+    """Whether a proposal is one of the spans, an address in another form, or a value of a secret-like key with a digit."""
     start, end, kind, generator = proposal
     if kind == 4:
-        key = text[start:end].partition("=")[0].partition(":")[0].strip()
-        return float(generator == 3 and bool(_SECRET_KEY.search(key)) and bool(_DIGIT.search(text, start, end)))
-    if generator in (0, 2) and _normal(text, *proposal):
-        return float(all(end <= s or start >= e for s, _, e in base))
-    return float((start, kind, end) in base)
+        return float(generator == 3 and bool(_SECRET_KEY.search(_key(text[start:end]))) and bool(_DIGIT.search(text, start, end)))
+    if (start, kind, end) in base:
+        return 1.0
+    return float(generator in (0, 2) and _normal(text, *proposal) and all(end <= s or start >= e for s, _, e in base))
+
+
+def altered(text: str, base: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text whose base emails and phones are spelled otherwise, and where the base spans stand then. Spans that overlap
+    an earlier one stay as they are and aren't listed."""
+    out, spans, at, size = [], [], 0, 0
+    for start, kind, end in base:
+        if start < at:
+            continue
+        part = text[start:end]
+        if kind == 0:
+            at_sign, dot = ((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" @ ", "."))[len(part) % 3]
+            name, _, host = part.partition("@")
+            part = f"{name}{at_sign}{host.replace('.', dot)}"
+        elif kind == 3:
+            bare = _COUNTRY.sub("", part, count=1)
+            part = bare if sum(c.isdigit() for c in bare) >= LEAST_DIGITS else part
+        out += [text[at:start], part]
+        size += start - at
+        spans.append((size, kind, size + len(part)))
+        size, at = size + len(part), end
+    return "".join([*out, text[at:]]), spans
+
+
+def _forms(text: str) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    """A text with its spans, and altered if it has emails or phones."""
+    base = base_spans(text)
+    yield text, base
+    if any(kind in (0, 3) for _, kind, _ in base):
+        yield altered(text, base)
+
+
+def _labelled(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[float, tuple[int, int, int, int]]]:
+    """Proposals with their labels, but for those that overlap a base span without being it, which are never chosen."""
+    base = base_spans(text)
+    found = [p for p in proposals(text) if (p[0], p[2], p[1]) in base or all(p[1] <= s or p[0] >= e for s, _, e in base)]
+    return [(_label(spans, text, p), p) for p in found]
 
 
 def _weak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            base = base_spans(text)
-            rows += [(fold, p[2], _label(base, text, p), features(text, *p)) for p in proposals(text)]
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        types = (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["fold", "kind", "label", "x"])
+        for whole in batch.column(0).to_pylist():
+            for text, spans in _forms(whole):
+                found = _labelled(text, spans)
+                rows += [(label, features(text, *p)) for label, p in found[:: 1 + len(found) // FIT_PROPOSALS]]
+        columns = list(zip(*rows)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.list_(pa.float64())))], ["label", "x"])
 
 
 def _arrays(tree) -> tuple[np.ndarray, ...]:
@@ -247,8 +293,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = F
     share = most / max(most, df.count())
     sampled = F.expr("pmod(xxhash64(coalesce(id, ''), 3), 1000000)") < share * 1_000_000
     fold = F.expr("cast(pmod(xxhash64(coalesce(id, ''), 5), 5) as int)")
-    rows = signs.where(sampled & (fold != 0)).select(fold.alias("fold"), "text").mapInArrow(_weak, "fold int, kind int, label double, x array<double>")
-    found = rows.toArrow()  # about thirty proposals of 200 bytes for each sampled document
+    found = signs.where(sampled & (fold != 0)).select("text").mapInArrow(_weak, "label double, x array<double>").toArrow()  # 200 bytes a proposal
     if len(set(found.column("label").to_pylist())) < 2:
         return None
     frame = spark.createDataFrame(found).select("label", array_to_vector("x").alias("x")).repartition(4, "x")
@@ -277,12 +322,12 @@ def _counted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
                 np.add.at(counts, (kinds, bins, 1), labels.astype(np.int64))
                 rows.clear()
 
-        for text in batch.column(0).to_pylist():
-            base = base_spans(text)
-            for p in proposals(text):
-                rows.append((p[2], _label(base, text, p), features(text, *p)))
-                if len(rows) == 8192:
-                    count()
+        for whole in batch.column(0).to_pylist():
+            for text, spans in _forms(whole):
+                for label, p in _labelled(text, spans):
+                    rows.append((p[2], label, features(text, *p)))
+                    if len(rows) == 8192:
+                        count()
         count()
         kind, bin_ = np.nonzero(counts[:, :, 0])
         columns = [pa.array(kind, pa.int32()), pa.array(bin_, pa.int32()), pa.array(counts[kind, bin_, 0]), pa.array(counts[kind, bin_, 1])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import time
 from collections import defaultdict
 
@@ -15,6 +16,8 @@ import pytest
 import xxhash
 from presswork.llm import mixing, packing, pii, quality, registry, simhash, substrings, tokenfiles, tokens, toxicity, vptree, warc
 from presswork.shared import shared_path
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.linalg import Vectors
 
 
 def by_id(rows):
@@ -161,6 +164,41 @@ def test_other_forms_of_addresses_are_learnt(spark):
         assert pii.redact(text, pii.find_spans([text], model)[0][1]) == want
 
 
+def test_trees_give_the_probabilities_of_the_library(spark):
+    random = np.random.default_rng(4)
+    x = random.normal(size=(600, 4)).round(2)
+    rows = [(Vectors.dense(v), float(v[0] + v[1] * v[2] > 0.3)) for v in x.tolist()]
+    frame = spark.createDataFrame(rows, ["x", "label"])
+    trees = GBTClassifier(featuresCol="x", maxIter=6, maxDepth=pii.DEPTH, seed=1).fit(frame)
+    model = pii.Model([pii._arrays(t) for t in trees.trees], list(trees.treeWeights), {})
+    want = [r.probability[1] for r in trees.transform(frame).collect()]
+    assert np.allclose(model.probability(x), want)
+
+
+def test_planted_secrets_are_found_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    planted = found = 0
+    for r in pii.detect(docs, model).collect():
+        spans = [s.split(":") for s in r.spans.split(",") if s.startswith("secret:")]
+        for m in re.finditer(r'(?i)token = "[0-9a-f]{40}"', r.text or ""):
+            planted += 1
+            found += any(int(s) <= m.start() and int(e) >= m.end() for _, s, e in spans)
+    assert planted >= 10 and found == planted
+
+
+def test_altered_forms_are_learnt(spark):
+    def phone(i):
+        return f"+1 ({200 + i % 700}) 555-{1000 + i * 7 % 9000}"
+
+    texts = [f"note {i} call {phone(i)} or write {('user%d' % i, 'ann.lee')[i % 2]}@{('mail%d.example.com' % (i % 5), 'post.org')[i // 2 % 2]} by 2019-0{1 + i % 9}-1{i % 10} on {i * 37 % 9000} 12 {i % 100}" for i in range(900)]
+    text, spans = pii.altered(texts[5], pii.base_spans(texts[5]))
+    assert [text[s:e] for s, _, e in spans] == ["(205) 555-1035", "ann.lee (at) mail0 (dot) example (dot) com"]
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for text, want in (("so call (212) 555-0100 now", "so call [PHONE] now"), ("so joe.b [at] mail [dot] com on 2019-04-12", "so [EMAIL] on 2019-04-12")):
+        assert pii.redact(text, pii.find_spans([text], model)[0][1]) == want
+
+
 def test_redact_joins_overlaps():
     assert pii.redact("abcdef", [(1, 0, 3), (2, 2, 5)]) == "a[EMAIL]f"
 
