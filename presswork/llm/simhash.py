@@ -25,6 +25,8 @@ from presswork.shared import written
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints compared as one block, and in how many rows at a time.
 BLOCK, TILE = 4096, 256
+#: Fingerprints that a bucket may hold on average before more bands are taken, and bands at most.
+BUCKET_MEAN, MOST_BANDS = 16, 8
 
 
 def fingerprints(texts: pa.Array) -> list[np.ndarray]:
@@ -125,6 +127,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(held)
 
 
+def bands_for(n: int) -> int:
+    """Bands for ``n`` distinct fingerprints: as few as keep the buckets small (4 bands have keys of 16 bits, 6 of 32)."""
+    return next((b for b in range(RADIUS + 1, MOST_BANDS) if n <= BUCKET_MEAN << BITS * (b - RADIUS) // b), MOST_BANDS)
+
+
 def link_edges(prints: DataFrame, bands: int = RADIUS + 1, most: int = BLOCK // 2) -> DataFrame:
     """Edges ``(a, b)`` between rows of ``prints(node, print)``, distinct prints, that connect all within the radius.
 
@@ -151,8 +158,8 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     none; where all ids that are reached are null, it is null. An empty table stays empty. A column of the table named
     ``component_id`` is replaced. ``df`` is read more than once; hand in a written table.
     """
-    nodes = df.groupBy(F.col("simhash").alias("print")).agg(F.min(doc_id).alias("node"))
-    found = connected_components(link_edges(nodes.where("node is not null"))).withColumnRenamed("node", "member")
+    nodes = written(df.groupBy(F.col("simhash").alias("print")).agg(F.min(doc_id).alias("node")), "prints")
+    found = connected_components(link_edges(nodes.where("node is not null"), bands_for(nodes.count()))).withColumnRenamed("node", "member")
     known = nodes.join(found, nodes.node == found.member, "left").select(F.col("print").alias("simhash"), F.coalesce("component", "node").alias("component_id"))
     return df.drop("component_id").join(known, "simhash", "left")
 
@@ -165,8 +172,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row, with its own columns, of every group of near copies: that of the smallest id.
 
-    Of repeated rows with that id, one stays. Rows without an id stay, as nothing names them.
+    Of rows with that id, the one stays whose text has the least hash. Rows without an id stay, as nothing names them.
     """
     first = near_duplicates(df, text, doc_id).where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    named = df.join(first, doc_id, "left_semi").dropDuplicates([doc_id])
+    same = df.join(first, doc_id, "left_semi").groupBy(F.col(doc_id).alias("__id"))
+    named = same.agg(F.min_by(F.struct(*df.columns), F.xxhash64(F.coalesce(text, F.lit("")))).alias("__row")).select("__row.*")
     return named.unionByName(df.where(F.col(doc_id).isNull()))
