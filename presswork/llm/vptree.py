@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEAF = 64
-#: Vectors of a shard on average.
-SHARD_ROWS = 8192
+#: Bytes of a shard's vectors as doubles, about (its tree takes three times as much), and vectors that are worth a shard.
+SHARD_BYTES, SHARD_ROWS = 128 << 20, 4096
 #: Rounding that a bound may have.
 SLACK = 1e-9
 
@@ -130,7 +130,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, factor: float, shards:
     """``(query_id, rank, vec_id, score)``: of each query the k largest inner products with vectors of its length.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and those without an id take no part. A
-    row with the query's id is no candidate. Repeated queries are answered once; a repeated candidate counts each time
+    row with the query's id is no candidate. Of queries with one id, the least vector is answered; a repeated candidate counts each time
     it is stored. Ties go to the smaller id; a query without candidates gets no rows; no rows give no rows. The
     queries are dealt to every shard and stream past its tree, so a task holds one shard.
     """
@@ -165,7 +165,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, factor: float, shards:
                     yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(found[some]), pa.array(best[some])], ["query_id", "vec_id", "score"])
 
     stored = valid(index).select("*", F.lit(0).alias("query"), F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)").alias("shard"))
-    asked = valid(queries).dropDuplicates(["id"]).select("*", F.lit(1).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = valid(queries).groupBy("id").agg(F.min("vector").alias("vector")).select("*", F.lit(1).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     rows = stored.unionByName(asked).withColumn("dim", F.size("vector"))
     dealt = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query", "id")
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
@@ -173,5 +173,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, factor: float, shards:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def shards_for(index: DataFrame) -> int:
-    return max(1, round(index.count() / SHARD_ROWS))
+def shards_for(index: DataFrame, vector: str = "embedding") -> int:
+    """As few shards as fit a task, since every query goes to each; of a small table, one for each core."""
+    n, components = index.agg(F.count("*"), F.sum(F.size(vector).cast("long"))).first()
+    fitting = -(-8 * max(0, components or 0) // SHARD_BYTES)
+    return max(1, fitting, min(index.sparkSession.sparkContext.defaultParallelism, n // SHARD_ROWS))
