@@ -6,16 +6,17 @@ ORACLES["op10_poisson_mixing"] = """
 with sizes as (select coalesce(source, '') as source, sum(length(coalesce(text, ''))) as size from documents group by 1),
 totals as (select sum(size) as all_size, count(*)::double as all_weight from sizes),
 means as (select source, case when size = 0 then 1.0::double
-    else least(16.0::double, (1.0::double / all_weight) / (size::double / all_size::double)) end as mean from sizes, totals),
-drawn as (select d.*, mean,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0 as u
-    from documents d join means m on m.source = coalesce(d.source, '')),
-steps as (select k from range(0, 65) t(k)),
-terms as (select source, mean, list_transform(range(0, 65), lambda k: exp(k * ln(mean) - mean - lgamma(k + 1.0))) as p from means),
-sums as (select source, list_transform(range(1, 66), lambda i: list_sum(p[1:i])) as cdf from terms),
-copies as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, len(list_filter(s.cdf, lambda c: c <= d.u)) as n
-    from drawn d join sums s on s.source = coalesce(d.source, '')),
-dealt as (select doc_id, text, lang, source, n_chars, unnest(range(0, n))::int as mix_copy from copies where n > 0)
+    else (1.0::double / all_weight) / (size::double / all_size::double) end as whole from sizes, totals),
+parted as (select source, greatest(1, ceil(whole / 16.0::double)::int) as draws, whole / greatest(1, ceil(whole / 16.0::double)::int) as mean from means),
+terms as (select source, draws, list_transform(range(0, 65), lambda k: exp(k * ln(mean) - mean - lgamma(k + 1.0))) as p from parted),
+sums as (select source, draws, list_transform(range(1, 66), lambda i: list_sum(p[1:i])) as cdf from terms),
+drawn as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, unnest(range(0, draws)) as draw, draws, cdf
+    from documents d join sums s on s.source = coalesce(d.source, '')),
+counted as (select * exclude (cdf, draw), len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('mix-1:' ||
+    case when draw = 0 then '' else 'draw:' || draw || ':' end || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0)) as n from drawn),
+once as (select doc_id, text, lang, source, n_chars, (sum(n) / (count(*) / max(draws)))::bigint as n, count(*) / max(draws) as rows from counted group by all),
+each as (select * exclude (rows), unnest(range(0, rows::bigint)) as row from once),
+dealt as (select doc_id, text, lang, source, n_chars, unnest(range(0, n))::int as mix_copy from each where n > 0)
 select *, md5('mix-1:order:' || coalesce(doc_id::varchar, '') || ':' || mix_copy::varchar) as mix_key from dealt
 """
 
