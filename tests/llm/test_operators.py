@@ -10,11 +10,13 @@ import time
 from collections import defaultdict
 
 import brute
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from presswork.llm import mixing, packing, pii, quality, registry, simhash, substrings, tokenfiles, tokens, toxicity, vptree, warc
+from presswork.operators.components import connected_components
 from presswork.shared import shared_path
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.linalg import Vectors
@@ -94,6 +96,22 @@ def test_link_edges_split_hot_buckets(spark):
     assert len({find(i) for i in root}) == len({seek(i) for i in want})
 
 
+def test_bands_grow_with_the_prints(spark):
+    assert [simhash.bands_for(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 29, 1 << 30, 10**13)] == [4, 4, 5, 5, 6, 8]
+    random = np.random.default_rng(6)
+    base = random.integers(0, 1 << 63, 40, dtype=np.uint64)
+    prints = np.unique(base[random.integers(0, 40, 500)] ^ (np.uint64(1) << random.integers(0, 64, 500, dtype=np.uint64)))
+    frame = spark.createDataFrame([(i, int(p)) for i, p in enumerate(prints.view(np.int64))], "node long, print long")
+    found = [sorted(map(tuple, connected_components(simhash.link_edges(frame, bands, 64)).collect())) for bands in (4, 5, 6)]
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_keep_one_of_an_id_by_its_text(spark):
+    rows = spark.createDataFrame([(1, "one text of words"), (1, "quite another text of words")], "doc_id long, text string")
+    kept = {tuple(simhash.keep_one(rows.repartition(n)).collect()) for n in (1, 2, 3)}
+    assert len(kept) == 1 and len(kept.pop()) == 1
+
+
 def test_keep_one(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
@@ -500,6 +518,9 @@ def test_toxicity(spark):
 
 def test_mixing(odd, documents):
     means = {r.source: r.mean for r in mixing.source_means(documents).collect()}
+    many = mixing.replicate(documents, epochs=300.0).selectExpr("source", "length(text) as n").groupBy("source").agg({"n": "sum"}).collect()
+    total = sum(r[1] for r in many)
+    assert all(abs(r[1] / total * len(means) - 1) < 0.05 for r in many) and len(many) == len(means)
     got = mixing.replicate(documents, epochs=3.0)
     assert got.columns == [*documents.columns, "mix_copy", "mix_key"]
     sizes = {r.source: r.n for r in got.groupBy("source").agg({"n_chars": "sum"}).withColumnRenamed("sum(n_chars)", "n").collect()}
@@ -521,6 +542,15 @@ def test_mixing_brings_rare_sources_to_their_weight(spark):
     assert 50 < np.var(counts) < 170
 
 
+def test_mixing_sql(spark, odd):
+    rare = [(1000 + i, "x" * 300, "en", "c", 1) for i in range(400)] + [(2000 + i, "xyz", "en", "rare", 1) for i in range(20)]
+    frame = odd.where("doc_id <> 13 or doc_id is null").unionByName(spark.createDataFrame(rare, odd.schema))
+    documents = frame.toArrow()  # noqa: F841
+    want = duckdb.sql(registry.ORACLES["op10_poisson_mixing"]).fetchall()
+    got = mixing.replicate(frame)
+    assert by_id(want) == by_id(got.collect()) and got.where("source = 'rare'").agg({"mix_copy": "max"}).first()[0] > 64
+
+
 def test_empty_tables(spark, none):
     assert quality.ledger(none).count() == simhash.near_duplicates(none).count() == pii.detect(none, None).count() == 0
     assert tokenfiles.round_trip(none).count() == packing.pack_documents(none).count() == substrings.remove_repeats(none).count() == 0
