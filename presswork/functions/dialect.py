@@ -28,6 +28,11 @@ class Dialect:
         return "(" + " or ".join(parts) + ")"
 
     def bounded(self, x: str, words: Iterable[str]) -> str:
+        """Any of the words between word boundaries; few texts hold one as a substring, and only these meet the pattern."""
+        words = list(words)
+        return f"({self.has(x, words)} and {self._bounded(x, words)})"
+
+    def _bounded(self, x: str, words: list[str]) -> str:
         return self.matches(x, r"\b(?:" + "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\&", "&").replace(r"\-", "-") for w in words) + r")\b")
 
     def extract(self, x: str, pattern: str, group: int = 1) -> str:
@@ -111,6 +116,9 @@ class Duck(Dialect):
     def lit(self, value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
+    def bounded(self, x: str, words: Iterable[str]) -> str:
+        return self._bounded(x, list(words))
+
     def matches(self, x: str, *patterns: str, ignore_case: bool = False) -> str:
         joined = "|".join(f"(?:{p})" for p in patterns)
         return f"regexp_matches({x}, '{'(?i)' * ignore_case}{joined}')"

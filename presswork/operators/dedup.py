@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from presswork.functions.rules import CLUSTERABLE
 from presswork.operators.components import connected_components
+from presswork.shared import written
 
 LOOKBACK_DAYS, POOL_ROWS, SIMILAR = 7, 500, 0.8
 DAY = 86_400
@@ -116,6 +117,42 @@ def find_duplicates(df: DataFrame) -> DataFrame:
     return every.groupBy("article_id").agg(F.min_by("match_id", "level").alias("match_id"), F.min("level").alias("level"))
 
 
+def assign_events(df: DataFrame) -> DataFrame:
+    """``(article_id, event_id, level)``: each article joins the event of the earlier article that it matches (see
+    find_duplicates), or begins one, whose id is its own (level null).
+
+    Every article has one match at most, and an earlier one, so each chain of matches ends in one article.
+    """
+    found = written(find_duplicates(df), "matches")
+    grouped = connected_components(found.selectExpr("article_id as a", "match_id as b"))
+    heads = grouped.join(found, grouped.node == found.article_id, "left_anti").select("component", F.col("node").alias("event_id"))
+    placed = grouped.join(heads, "component").select(F.col("node").alias("article_id"), "event_id")
+    return df.select("article_id").join(placed, "article_id", "left").join(found.select("article_id", "level"), "article_id", "left").select("article_id", F.coalesce("event_id", "article_id").alias("event_id"), "level")
+
+
+EXCLUDED = ("REJECTED", "MERGED")
+
+
+def reconcile_pairs(df: DataFrame) -> DataFrame:
+    """``(article_id, earlier_id, reason)`` between stories that aren't in EXCLUDED: links that connect what equal addresses,
+    equal title hashes, similar titles and event fingerprints connect within the window, conflicting companies never.
+
+    Of a group of equals each links to its first story, of events to the one before it, so no group gives all its pairs.
+    An article with several reasons for one link has the first of: url, hash, similar, event.
+    """
+    rows = df.where(~F.col("status").isin(*EXCLUDED))
+    legs = [first_of(rows, "clean_url"), first_of(rows, "content_hash"), similar_links(rows), event_links(rows)]
+    names = ("url", "hash", "similar", "event")
+    every = None
+    for place, (leg, name) in enumerate(zip(legs, names)):
+        leg = leg.toDF("article_id", "earlier_id").select("*", F.lit(place).alias("place"), F.lit(name).alias("reason"))
+        every = leg if every is None else every.unionByName(leg)
+    own = rows.selectExpr("article_id", "published_at", "real_companies")
+    other = rows.selectExpr("article_id as earlier_id", "published_at as earlier_at", "real_companies as earlier_companies")
+    near = every.join(own, "article_id").join(other, "earlier_id").where(f"abs(unix_timestamp(published_at) - unix_timestamp(earlier_at)) <= {LOOKBACK_DAYS * DAY} and not {conflicts('real_companies', 'earlier_companies')}")
+    return near.groupBy("article_id", "earlier_id").agg(F.min_by("reason", "place").alias("reason"))
+
+
 def exact_clusters(df: DataFrame) -> DataFrame:
     """``(article_id, cluster_id)`` of stories that equal addresses or title hashes connect, two at least."""
     edges = first_of(df, "clean_url").unionByName(first_of(df, "content_hash")).selectExpr("article_id as a", "founder_id as b")

@@ -97,6 +97,12 @@ def consensus(facts: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("report_id", "fact_type", "pos", F.expr("if(n > 1 and disputed is null, 1D, confidence)").alias("confidence"))
 
 
+def confirmed(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """Numeric facts whose type isn't disputed in their report."""
+    disputed = found.where("status = 'OPEN'").select("report_id", "fact_type").distinct()
+    return facts.where(F.col("fact_type").isin(*R.NUMERIC_FACTS)).join(disputed, ["report_id", "fact_type"], "left_anti")
+
+
 def research_confidence(sources: DataFrame, facts: DataFrame, found: DataFrame) -> DataFrame:
     """``(report_id, confidence, status)`` from the sources' priorities, the facts and the open conflicts."""
     official = F.bool_or(F.lower("source_name").rlike("|".join(R.OFFICIAL)))

@@ -64,3 +64,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     """Children of every parent in ``new`` are replaced by its rows."""
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def scan_new(stories: DataFrame) -> DataFrame:
+    """Stories that no stage has taken up."""
+    return stories.where("status = 'NEW'")
+
+
+def cache_reuse(wanted: DataFrame, held: DataFrame, force: bool = False) -> DataFrame:
+    """``wanted(report_id, url, content)`` with ``action`` and ``status``: a source that is held complete for the same report and
+    address is reused, unless forced; others are extracted, complete with the content's digest or, without content, failed.
+    """
+    done = held.where("extraction_status = 'COMPLETED'").groupBy("report_id", "url").agg(F.min("content_hash").alias("held_hash"), F.lit(True).alias("known"))
+    rows = wanted.join(done, ["report_id", "url"], "left").withColumn("reuse", F.coalesce("known", F.lit(False)) & F.lit(not force))
+    text = F.coalesce("content", F.lit(""))
+    return rows.select(
+        "report_id", "url", F.when(F.col("reuse"), "REUSE").otherwise("EXTRACT").alias("action"),
+        F.when(F.col("reuse") | (text != ""), "COMPLETED").otherwise("FAILED").alias("status"),
+        F.when(F.col("reuse"), F.col("held_hash")).when(text != "", F.md5(text)).alias("content_hash"),
+    )
+
+
+def regenerate_guard(stories: DataFrame, drafts: DataFrame, force: bool = False) -> DataFrame:
+    """``(story_id, draft_id, action)``: drafts that a person has edited or posted are kept unless forced, others replaced under
+    their id; stories without one get a new draft."""
+    kept = F.col("status").isin("EDITED", "POSTED") & F.lit(not force)
+    action = F.when(F.col("draft_id").isNull(), "CREATE").when(kept, "KEEP").otherwise("REPLACE")
+    return stories.join(drafts, "story_id", "left").select("story_id", "draft_id", action.alias("action"))

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from presswork.functions import rules as R
 from presswork.functions.dialect import Dialect
 from presswork.operators.dedup import seq_ratio
+from presswork.sources.feeds import drop_incomplete, split_publisher
 
 # --- fixed values: limits, weights and patterns ---
 LIMIT, REWRITE, ALIKE, MOST_ALTERNATES = 280, 0.72, 0.85, 3
@@ -39,6 +41,26 @@ WEIGHTS = {
     "acceptable": 15,
     "no_repetition": 5,
 }
+CANDIDATE, MOST_SOURCES = 0.5, 6
+NEWS_HOST = "news.google.com"
+MONEY_FACTS = ("funding_amount", "valuation", "acquisition_value", "ipo_size", "revenue", "profit", "loss")
+#: Of each event: the fact that the opening names, the opening with and without it, and the plain line after it.
+BASELINE = {
+    "FUNDING": ("funding_amount", "\U0001f4b0 {who} just landed {fact} in funding!", "\U0001f4b0 {who} just landed fresh funding!", "That's fresh cash to grow faster, hire more people, and expand."),
+    "ACQUISITION": ("acquisition_value", "\U0001f91d Big deal: {who} is buying another company for {fact}.", "\U0001f91d Big deal: {who} just acquired another company.", "One company is taking over another — expect changes ahead."),
+    "IPO_FILING": ("ipo_size", "\U0001f4c8 {who} is going public! Filing to raise {fact}.", "\U0001f4c8 {who} is going public!", "Soon, regular investors will be able to buy a piece of {who} on the stock market."),
+    "IPO_ANNOUNCEMENT": ("ipo_size", "\U0001f4c8 {who} is going public! Filing to raise {fact}.", "\U0001f4c8 {who} is going public!", "Soon, regular investors will be able to buy a piece of {who} on the stock market."),
+    "IPO_LISTING": (None, "", "\U0001f514 Big day: {who} just hit the stock market!", "You can now buy or sell {who} shares like any other stock."),
+    "REGULATORY_ACTION": (None, "", "⚠️ {who} just got in trouble with regulators.", "That usually means rules were broken — a fine or restrictions could follow."),
+    "LAYOFF": (None, "", "\U0001f4c9 {who} is cutting jobs.", "A sign the company is trying to cut costs and tighten its belt."),
+}
+RESULT_EVENTS = ("PROFIT_UPDATE", "REVENUE_UPDATE", "EARNINGS")
+RESULTS = ("\U0001f4b0 {who}'s results are in — {label} of {fact}.", "\U0001f4b0 {who} just reported its latest results.", "This shows how {who} is actually doing financially.")
+MOVES = (
+    ("\U0001f4c8 {who} stock is on fire — up {moved}% today!", "Investors are feeling good about {who} right now."),
+    ("\U0001f4c9 {who} stock just dropped {moved}%.", "Investors are worried about {who} right now."),
+)
+IN_FOCUS, HEADLINE = "\U0001f4ca {who} shares are in focus today.", "\U0001f4f0 {title}"
 
 
 def printf(d: Dialect, form: str, x: str) -> str:
@@ -95,6 +117,93 @@ def post(d: Dialect) -> str:
     return f"case when strategy in ('number_led', 'contrast', 'data_led') or kind_1 is null or length({fact}) > {LIMIT} then hook else {fact} end"
 
 
+def truncated(d: Dialect, x: str, most: int = LIMIT) -> str:
+    """A text cut to a length, with an ellipsis where something is cut off."""
+    return f"case when length(trim({x})) <= {most} then trim({x}) else concat(rtrim(substr(trim({x}), 1, {most - 1})), '…') end"
+
+
+def source_line(d: Dialect) -> str:
+    """The address of a story, or its source's name where the address is a redirect."""
+    return f"case when coalesce(article_url, '') = '' then null when contains(article_url, '{NEWS_HOST}') then case when coalesce(source_name, '') <> '' then concat('Source: ', source_name) end else concat('Source: ', article_url) end"
+
+
+def guarded(d: Dialect, company: str = "main_company") -> str:
+    """The company, unless the name is a wire service's, a regulator's or a publication's."""
+    return f"case when {company} = '' or lower({company}) in ({', '.join(d.lit(c) for c in R.NON_COMPANIES)}) then null else {company} end"
+
+
+#: Facts that a baseline post may name: the first of each type, as struct p (place), v (value), c (currency).
+NAMED = ("funding_amount", "acquisition_value", "ipo_size", "stock_movement", "profit", "revenue")
+
+
+def baseline(d: Dialect) -> list[dict[str, str]]:
+    """Layers over a story with the NAMED facts and ``numbers``, its numeric facts in order (structs p, k, v, c): the opening,
+    the plain line, the post, its thread and the image's lines."""
+
+    def filled(form: str, **parts: str) -> str:
+        pieces, rest = [], form
+        while rest:
+            head, brace, tail = rest.partition("{")
+            if head:
+                pieces.append(d.lit(head))
+            name, _, rest = tail.partition("}") if brace else ("", "", "")
+            if name:
+                pieces.append(parts[name])
+        return f"concat({', '.join(pieces)})"
+
+    hooks, lines, used = [], [], []
+    for event, (kind, with_fact, without, line) in BASELINE.items():
+        if kind:
+            hooks.append(f"when event_type = '{event}' and {kind} is not null then {filled(with_fact, who='who', fact=amount(d, f'{kind}.v', f'{kind}.c'))}")
+            used.append(f"when event_type = '{event}' then {kind}.p")
+        hooks.append(f"when event_type = '{event}' then {filled(without, who='who')}")
+        lines.append(f"when event_type = '{event}' then {filled(line, who='who')}")
+    moved = printf(d, "%.1f", "abs(stock_movement.v)")
+    for sign, (opening, line) in zip((">= 0", "< 0"), MOVES):
+        when = f"when event_type = 'STOCK_MOVEMENT' and stock_movement.v {sign} then "
+        hooks.append(when + filled(opening, who="who", moved=moved))
+        lines.append(when + filled(line, who="who"))
+    hooks.append(f"when event_type = 'STOCK_MOVEMENT' then {filled(IN_FOCUS, who='who')}")
+    used.append("when event_type = 'STOCK_MOVEMENT' then stock_movement.p")
+    results = f"event_type in ({', '.join(d.lit(e) for e in RESULT_EVENTS)})"
+    for kind in ("profit", "revenue"):
+        hooks.append(f"when {results} and {kind} is not null then {filled(RESULTS[0], who='who', label=d.lit(kind), fact=amount(d, f'{kind}.v', f'{kind}.c'))}")
+    hooks.append(f"when {results} then {filled(RESULTS[1], who='who')}")
+    lines.append(f"when {results} then {filled(RESULTS[2], who='who')}")
+    used.append(f"when {results} then coalesce(profit.p, revenue.p)")
+    named = "case x.k " + " ".join(f"when '{k}' then '{k.replace('_', ' ').title()}'" for k in MONEY_FACTS) + " end"
+    others = d.where("numbers", "used is null or x.p <> used")
+    shown_facts = d.join(d.each(f"({others})[1:2]" if d.duck else f"slice({others}, 1, 2)", f"concat({named}, ': ', {amount(d, 'x.v', 'x.c')})"), " | ")
+    both = "case when line is null then hook else concat(hook, ' ', line) end"
+    overflow = f"case when length(both_lines) > {LIMIT} then {truncated(d, 'line')} end"
+    thread = d.array((overflow, f"case when shown <> '' then {truncated(d, 'shown')} end", truncated(d, "source_line")))
+    present = d.where(thread, "x is not null")
+    return [
+        {"who": f"coalesce({guarded(d)}, 'This company')"},
+        {"hook": f"case {' '.join(hooks)} else {filled(HEADLINE, title='title')} end", "line": f"case {' '.join(lines)} end", "used": f"case {' '.join(used)} end"},
+        {"both_lines": both, "shown": shown_facts, "source_line": source_line(d)},
+        {
+            "post_text": f"case when length(both_lines) <= {LIMIT} then {truncated(d, 'both_lines')} else {truncated(d, 'hook')} end",
+            "thread": d.join(present, "\n"),
+            "image_headline": truncated(d, "coalesce(nullif(main_company, ''), title)", 60),
+            "image_subheadline": truncated(d, "coalesce(category, '')", 60),
+        },
+    ]
+
+
+def match_candidates(stories: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(article_id, position, title, source_name, link)``: of found ``entries`` (with the story's ``article_id``, in the order of
+    ``position``) those whose title, without the publisher, is like the story's, each link once, as many as its ``held``
+    sources leave of MOST_SOURCES. Entries without a title or link are left out."""
+    rows = split_publisher(drop_incomplete(entries.withColumnRenamed("link", "article_url")).withColumn("source_name", F.lit("Google News")))
+    rows = rows.join(stories.selectExpr("article_id", "plain_title", "held"), "article_id")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^a-z0-9\s]", ""), r"\s+", " "))
+    like = rows.withColumn("ratio", seq_ratio("plain_title", plain)).where(F.col("ratio") >= CANDIDATE).withColumn("link", F.trim("article_url"))
+    first = like.withColumn("n", F.row_number().over(W.partitionBy("article_id", "link").orderBy("position"))).where("n = 1")
+    taken = first.withColumn("n", F.row_number().over(W.partitionBy("article_id").orderBy("position"))).where(f"n <= {MOST_SOURCES} - held")
+    return taken.select("article_id", "position", "title", "source_name", "link")
+
+
 def reject_reason(d: Dialect, x: str) -> str:
     """Why a text can't be a post; null if it can."""
     return (

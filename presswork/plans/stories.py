@@ -296,10 +296,16 @@ def layers(d: Dialect, as_of: str = AS_OF) -> list[dict[str, str]]:
     return [_base(d, as_of), _url(d), _url_joined(d), _hashes(d), classes, _after_classes(d, tags), _kinds(d), _parts(d), _relevance(d), _multipliers(d), _scores(d), _final(d), _status(d)]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows on as many partitions as there are cores, where the files have fewer splits: what follows costs far more
+    than to move the raw rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed articles, each with one source."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.select(*(F.expr(e).alias(n) for n, e in ARTICLES.items()))
+    return dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")).select(*(F.expr(e).alias(n) for n, e in ARTICLES.items()))
 
 
 def process(df: DataFrame, as_of: str = AS_OF) -> DataFrame:

@@ -110,10 +110,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORIES_SQL = plan.stories_sql()
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _slim(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Stored stories: processed once and written, as what follows filters and joins on derived columns, which would
-    otherwise be spelled out again in every predicate that is pushed down."""
-    return written(plan.stories(spark, sf_dir).select("article_id", *columns), "stories")
+    """Columns of the stored stories: an application processes an input once and keeps it as a table. What follows filters and joins on derived columns, which would otherwise be spelled
+    out again in every predicate that is pushed down; of the table only the asked columns are read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = written(plan.stories(spark, sf_dir), "stories")
+    return _STORED[key].select("article_id", *columns)
 
 
 def _founders(key: str) -> Query:
@@ -127,10 +133,12 @@ def _founders_sql(key: str) -> str:
 
 register("dedup_url", _founders("clean_url"), _founders_sql("clean_url"))
 register("dedup_hash", _founders("content_hash"), _founders_sql("content_hash"))
+#: Addresses as they came in, which differ where the normal ones are equal.
+_RAW = "concat(article_url, '#s', cast(article_id % 11 as string))"
 register("append_sources", lambda spark, sf_dir: appended(spark, sf_dir), f"""
-    with f as ({_founders_sql("clean_url")}), a as ({ARTICLES_SQL})
-    select distinct f.founder_id as article_id, a.article_url as source_url from f join a using (article_id)
-    where (f.founder_id, a.article_url) not in (select article_id, article_url from a)""")
+    with f as ({_founders_sql("clean_url")}), a as (select article_id, {_RAW} as source_url from ({ARTICLES_SQL}))
+    select distinct f.founder_id as article_id, a.source_url from f join a using (article_id)
+    where (f.founder_id, a.source_url) not in (select article_id, source_url from a)""")
 register("company_conflict", lambda spark, sf_dir: conflicting(spark, sf_dir), f"""
     with f as ({_founders_sql("clean_url")}), s as (select article_id, real_companies from ({STORIES_SQL}))
     select f.article_id, f.founder_id, (len(a.real_companies) > 0 and len(b.real_companies) > 0 and not list_has_any(a.real_companies, b.real_companies)) as conflict
@@ -152,9 +160,9 @@ register("choose_primary", lambda spark, sf_dir: primaries(spark, sf_dir))
 
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses that duplicates by address add to their founders."""
-    articles = plan.articles(spark, sf_dir).select("article_id", "article_url")
-    new = QUERIES["dedup_url"](spark, sf_dir).join(articles, "article_id").select(F.col("founder_id").alias("article_id"), F.col("article_url").alias("source_url"))
-    return new.distinct().join(articles.withColumnRenamed("article_url", "source_url"), ["article_id", "source_url"], "left_anti")
+    articles = plan.articles(spark, sf_dir).selectExpr("article_id", f"{_RAW} as source_url")
+    new = QUERIES["dedup_url"](spark, sf_dir).join(articles, "article_id").select(F.col("founder_id").alias("article_id"), "source_url")
+    return new.distinct().join(articles, ["article_id", "source_url"], "left_anti")
 
 
 def conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,7 +426,9 @@ register("split_publisher", lambda spark, sf_dir: feeds.split_publisher(plan.art
 register("drop_incomplete", lambda spark, sf_dir: feeds.drop_incomplete(table(spark, sf_dir, "pages").selectExpr("page_id", "regexp_extract(html, '<title>([^<]*)</title>', 1) as title", "url as article_url")).select("page_id"),
     "select page_id from pages where coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') <> '' and coalesce(url, '') <> ''")
 register("lookup_stories", lambda spark, sf_dir: _slim(spark, sf_dir, "clean_url").join(table(spark, sf_dir, "customer").selectExpr("c_custkey as article_id"), "article_id"), f"select article_id, clean_url from ({STORIES_SQL}) where article_id in (select c_custkey from customer)")
-register("scan_new", lambda spark, sf_dir: table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").selectExpr("o_orderkey as article_id"), "select o_orderkey as article_id from orders where o_orderstatus = 'O'")
+#: States of stories by the order's; new ones are those of open orders.
+_STATE = "case o_orderstatus when 'O' then 'NEW' when 'F' then 'READY_FOR_REVIEW' else 'APPROVED' end"
+register("scan_new", lambda spark, sf_dir: feed.scan_new(table(spark, sf_dir, "orders").selectExpr("o_orderkey as article_id", f"{_STATE} as status")).select("article_id"), f"select o_orderkey as article_id from orders where {_STATE} = 'NEW'")
 _OLD, _NEW = "o_orderkey as article_id, o_orderstatus as status, o_totalprice as value", "o_orderkey + 100 as article_id, case when o_orderkey % 2 = 0 then 'NEW' end as status"
 
 
@@ -505,13 +515,30 @@ register("search_terms", lambda spark, sf_dir: plan.stories(spark, sf_dir).selec
 _KIND = "case when contains(article_url, 'news.google') then 'google_news' else 'rss' end"
 register("research_sources", lambda spark, sf_dir: _slim(spark, sf_dir, "article_url", "clean_url", "research_priority").groupBy("clean_url", "article_url").agg(F.max("research_priority").alias("priority")).selectExpr("clean_url", "trim(article_url) as url", "priority", f"{_KIND} as kind"), f"""
     select clean_url, trim(article_url) as url, max(research_priority) as priority, {_KIND} as kind from ({STORIES_SQL}) group by clean_url, article_url""")
-register("cache_reuse", lambda spark, sf_dir: table(spark, sf_dir, "pages").selectExpr("page_id", "md5(coalesce(html, '')) as digest").join(table(spark, sf_dir, "pages").where("page_id % 3 = 0").selectExpr("page_id as done_id"), F.expr("page_id = done_id"), "left").selectExpr("page_id", "digest", "if(done_id is null, 'EXTRACT', 'REUSE') as action"),
-    "select page_id, md5(coalesce(html, '')) as digest, case when page_id % 3 = 0 then 'REUSE' else 'EXTRACT' end as action from pages")
+#: Sources that reports want, of every page; those that are held, of pages by their ids' remainders.
+_WANTED = "select page_id % 10 as report_id, url, case when page_id % 11 = 0 then '' else html end as content from pages"
+_HELD = "select page_id % 10 as report_id, url, case when page_id % 2 = 0 then 'COMPLETED' else 'FAILED' end as extraction_status, 'held' as content_hash from pages where page_id % 3 = 0"
+
+
+def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reports take from their cache, and what they extract."""
+    rows = table(spark, sf_dir, "pages")
+    wanted = rows.selectExpr("page_id % 10 as report_id", "url", "case when page_id % 11 = 0 then '' else html end as content")
+    held = rows.where("page_id % 3 = 0").selectExpr("page_id % 10 as report_id", "url", "case when page_id % 2 = 0 then 'COMPLETED' else 'FAILED' end as extraction_status", "'held' as content_hash")
+    return feed.cache_reuse(wanted, held)
+
+
+register("cache_reuse", cache_reuse, f"""with w as ({_WANTED}), h as (select report_id, url, min(content_hash) as held_hash from ({_HELD}) where extraction_status = 'COMPLETED' group by all)
+    select w.report_id, w.url, case when held_hash is not null then 'REUSE' else 'EXTRACT' end as action, case when held_hash is not null or coalesce(content, '') <> '' then 'COMPLETED' else 'FAILED' end as status,
+    case when held_hash is not null then held_hash when coalesce(content, '') <> '' then md5(content) end as content_hash from w left join h on w.report_id = h.report_id and w.url = h.url""")
 register("drafts_list", lambda spark, sf_dir: table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).selectExpr("o_orderkey as draft_id", "o_orderdate as created_at"), "select o_orderkey as draft_id, o_orderdate as created_at from orders where o_orderstatus = 'O' order by o_orderdate desc, o_orderkey limit 50")
 _DRAFT = "case event_type when 'click' then 'EDITED' when 'error' then 'DISCARDED' else 'POSTED' end"
 register("apply_draft_actions", lambda spark, sf_dir: feed.apply_actions(table(spark, sf_dir, "customer").selectExpr("c_custkey as article_id", "'NEW' as status"), table(spark, sf_dir, "events").where("event_type in ('click', 'error', 'purchase')").selectExpr("user_id as article_id", "ts", "event_id", f"{_DRAFT} as new_status")).withColumnRenamed("article_id", "draft_id"), f"""
     select c_custkey as draft_id, coalesce(s, 'NEW') as status from customer left join (select user_id, max({{'t': ts, 'e': event_id, 's': {_DRAFT}}}).s as s from events where event_type in ('click', 'error', 'purchase') group by 1) on user_id = c_custkey""")
-register("regenerate_guard", lambda spark, sf_dir: table(spark, sf_dir, "orders").where("o_orderstatus not in ('F', 'P')").selectExpr("o_orderkey as draft_id"), "select o_orderkey as draft_id from orders where o_orderstatus = 'O'")
+#: Drafts of every second customer, and their states.
+_DRAFTS = "select c_custkey as story_id, c_custkey + 1000000 as draft_id, case c_custkey % 6 when 0 then 'EDITED' when 2 then 'POSTED' else 'NEW' end as status from customer where c_custkey % 2 = 0"
+register("regenerate_guard", lambda spark, sf_dir: feed.regenerate_guard(table(spark, sf_dir, "customer").selectExpr("c_custkey as story_id"), table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey as story_id", "c_custkey + 1000000 as draft_id", "case c_custkey % 6 when 0 then 'EDITED' when 2 then 'POSTED' else 'NEW' end as status")), f"""
+    select c_custkey as story_id, draft_id, case when draft_id is null then 'CREATE' when status in ('EDITED', 'POSTED') then 'KEEP' else 'REPLACE' end as action from customer left join ({_DRAFTS}) on story_id = c_custkey""")
 
 # --- posts ---
 
@@ -572,3 +599,109 @@ def upsert_report_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("upsert_report_children", upsert_report_children, f"select concat(report_id, ':', pos) as fact_id, report_id, case when report_id % 5 = 0 then 1.0::double else max(confidence) end as confidence from ({_LINE_SQL}) group by report_id, pos")
+
+# --- events, research and baseline posts ---
+
+_MATCHED = ("published_at", "plain_title", "real_companies", "clean_url", "content_hash", "event_type")
+register("assign_events", lambda spark, sf_dir: dedup.assign_events(_slim(spark, sf_dir, *_MATCHED)))
+register("reconcile_pairs", lambda spark, sf_dir: dedup.reconcile_pairs(_slim(spark, sf_dir, "status", *_MATCHED)))
+
+
+def stream_event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles landed as feed files, taken up as a stream, each with the event it goes on."""
+    path, kept, links = (shared_path(spark, n) for n in ("feed", "stream-table", "stream-links"))
+    feeds.write_feed(plan.articles(spark, sf_dir), path)
+    ingest.event_match_stream(feeds.read_feed(spark, path, plan.AS_OF, stream=True), kept, links, shared_path(spark, "stream-checkpoint"))
+    return ingest.stored(spark, links).select("article_id", "earlier_id")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles landed as feed files, taken up as a stream."""
+    path, kept = shared_path(spark, "feed"), shared_path(spark, "stream-articles")
+    feeds.write_feed(plan.articles(spark, sf_dir), path)
+    rows = feeds.read_feed(spark, path, plan.AS_OF, stream=True)
+    rows.writeStream.format("parquet").option("path", kept).option("checkpointLocation", shared_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(kept).select("title", "article_url", "published_at", "summary")
+
+
+register("stream_event_match", stream_event_match)
+register("stream_ingest", stream_ingest, f"select title, article_url, published_at, summary from ({ARTICLES_SQL})")
+_FEEDS = "s_name as name, case s_suppkey % 3 when 0 then 'google_news' when 1 then 'rss' end as type, concat('https://feeds.example.com/', s_suppkey) as url, case s_suppkey % 4 when 0 then false when 1 then true end as enabled"
+register("feed_registry", lambda spark, sf_dir: feeds.enabled_feeds(spark.sql("select " + _FEEDS + " from {s}", s=table(spark, sf_dir, "supplier"))), f"select name, coalesce(type, 'rss') as type, url from (select {_FEEDS} from supplier) where coalesce(enabled, true)")
+
+
+def found_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search finds for a story: here, the five articles after it."""
+    articles = plan.articles(spark, sf_dir).selectExpr("article_id as other", "title", "source_name", "article_url as link")
+    wanted = plan.articles(spark, sf_dir).select("article_id", F.posexplode(F.sequence(F.col("article_id") + 1, F.col("article_id") + 5)).alias("position", "other"))
+    return wanted.join(articles, "other").selectExpr("article_id", "position", "concat(title, ' - ', source_name) as title", "link")
+
+
+register("match_candidates", lambda spark, sf_dir: posts.match_candidates(_slim(spark, sf_dir, "plain_title").withColumn("held", F.lit(1)), found_entries(spark, sf_dir)))
+register("confirmed_facts", lambda spark, sf_dir: facts.confirmed(line_facts(spark, sf_dir), facts.fact_conflicts(line_facts(spark, sf_dir))).select("report_id", "fact_type", "pos", "num_value"), f"""
+    with f as ({_LINE_SQL}), c as (select distinct report_id, fact_type from ({_CONFLICTS_SQL}))
+    select report_id, fact_type, pos, num_value from f where fact_type in ({", ".join(DUCK.lit(x) for x in R.NUMERIC_FACTS)}) and (report_id, fact_type) not in (select * from c)""")
+
+
+def research_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue's stories researched as one job: facts of their articles, verified and rated; a story without text fails and
+    holds up no other."""
+    queue = QUERIES["research_queue"](spark, sf_dir).select(F.col("article_id").alias("report_id"))
+    stories = _slim(spark, sf_dir, "title", "summary", "source_name", "research_priority").withColumnRenamed("article_id", "report_id").join(queue, "report_id")
+    found = story_facts(spark, sf_dir).withColumnRenamed("article_id", "report_id").join(queue, "report_id").withColumn("source_id", F.col("report_id"))
+    rated = facts.research_confidence(stories.selectExpr("report_id", "source_name", "research_priority as priority"), found, facts.fact_conflicts(found))
+    failed = F.expr("trim(concat(coalesce(title, ''), coalesce(summary, ''))) = ''")
+    return stories.join(rated, "report_id", "left").select("report_id", F.when(failed, 0).otherwise(F.col("confidence")).alias("confidence"), F.when(failed, "FAILED").otherwise(F.col("status")).alias("status"))
+
+
+register("research_batch", research_batch)
+
+_TITLED_SQL = "select doc_id, coalesce(text, '') as text from documents"
+
+
+def _of_documents(name: str, expression) -> None:
+    """A query that applies an expression over ``text`` to every document."""
+    register(name, lambda spark, sf_dir: table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') as text").selectExpr("doc_id", f"{expression(SPARK)} as {name}"), f"select doc_id, {expression(DUCK)} as {name} from ({_TITLED_SQL})")
+
+
+def _of_titles(name: str, expression) -> None:
+    """A query that applies an expression over ``low_title`` to every article."""
+    register(name, lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", "lower(title) as low_title").selectExpr("article_id", f"{expression(SPARK)} as {name}"), f"select article_id, {expression(DUCK)} as {name} from (select article_id, lower(title) as low_title from ({ARTICLES_SQL}))")
+
+
+_of_documents("normalize_title", lambda d: plan._clean(d, "text"))
+_of_documents("truncate_ellipsis", lambda d: posts.truncated(d, "text"))
+_of_titles("ipo_listing_rule", lambda d: f"({d.has('low_title', R.LISTING)} and not {d.has('low_title', R.LISTING_NOT)})")
+_of_titles("earnings_rule", lambda d: d.has("low_title", R.EARNINGS))
+register("company_guard", lambda spark, sf_dir: _slim(spark, sf_dir, "main_company").selectExpr("article_id", f"{posts.guarded(SPARK)} as company"), f"select article_id, {posts.guarded(DUCK)} as company from ({STORIES_SQL})")
+register("source_line", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", f"{posts.source_line(SPARK)} as line"), f"select article_id, {posts.source_line(DUCK)} as line from ({ARTICLES_SQL})")
+_AMOUNTS = {"format_amount": lambda d: posts.amount(d, "num_value", "currency"), "format_fact_value": lambda d: posts.shown(d, "fact_type", "num_value", "currency")}
+for _name, _form in _AMOUNTS.items():
+    register(_name, lambda spark, sf_dir, e=_form(SPARK), n=_name: story_facts(spark, sf_dir).where("num_value is not null").selectExpr("article_id", "fact_type", "num_value", f"{e} as {n}"),
+        f"select article_id, fact_type, num_value, {_form(DUCK)} as {_name} from ({_facts_sql()}) where num_value is not null")
+_POST = ("article_id", "post_text", "thread", "image_headline", "image_subheadline")
+
+
+def baseline_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template post of every story, its thread and the lines of its image."""
+    rows = story_facts(spark, sf_dir).selectExpr("article_id", "cast(pos * 100 + rule as bigint) as p", "fact_type as k", "num_value as v", "currency as c")
+    firsts = [F.min(F.when(F.col("k") == k, F.struct("p", "v", "c"))).alias(k) for k in posts.NAMED]
+    numbers = F.array_sort(F.collect_list(F.when(F.col("k").isin(*posts.MONEY_FACTS), F.struct("p", "k", "v", "c")))).alias("numbers")
+    stories = _slim(spark, sf_dir, "title", "event_type", "main_company", "category", "article_url", "source_name").join(rows.groupBy("article_id").agg(*firsts, numbers), "article_id", "left")
+    for layer in posts.baseline(SPARK):
+        stories = stories.selectExpr("*", *(f"{e} as {n}" for n, e in layer.items()))
+    return stories.select(*_POST)
+
+
+def _baseline_sql() -> str:
+    firsts = ", ".join(f"min(case when k = '{k}' then {{'p': p, 'v': v, 'c': c}} end) as {k}" for k in posts.NAMED)
+    money = ", ".join(DUCK.lit(k) for k in posts.MONEY_FACTS)
+    sql = f"""select * from (select article_id, title, event_type, main_company, category, article_url, source_name from ({STORIES_SQL})) left join
+        (select article_id, {firsts}, list_sort(list({{'p': p, 'k': k, 'v': v, 'c': c}}) filter (k in ({money}))) as numbers
+        from (select article_id, cast(pos * 100 + rule as bigint) as p, fact_type as k, num_value as v, currency as c from ({_facts_sql()})) group by 1) using (article_id)"""
+    for layer in posts.baseline(DUCK):
+        sql = f"select *, {', '.join(f'{e} as {n}' for n, e in layer.items())} from ({sql})"
+    return f"select {', '.join(_POST)} from ({sql})"
+
+
+register("baseline_post", baseline_post, _baseline_sql())

@@ -39,3 +39,8 @@ def read_feed(spark: SparkSession, path: str, as_of: str, stream: bool = False)
     reader = (spark.readStream if stream else spark.read).format("xml").schema(ITEM).option("rowTag", "item")
     rows = reader.load(path).select(F.col("title"), F.col("link").alias("article_url"), publication_time(F.col("pubDate"), F.lit(as_of).cast("timestamp")).alias("published_at"), F.coalesce("description", F.lit("")).alias("summary"))
     return drop_incomplete(rows)
+
+
+def enabled_feeds(registry: DataFrame) -> DataFrame:
+    """``(name, type, url)`` of a registry's feeds that aren't switched off; RSS where no type is given."""
+    return registry.where("coalesce(enabled, true)").selectExpr("name", "coalesce(type, 'rss') as type", "url")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.functions.dialect import SPARK
-from presswork.plans.stories import layers
+from presswork.operators.dedup import LOOKBACK_DAYS, event_links
+from presswork.plans.stories import layers, process
+from presswork.shared import checkpointed
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -19,23 +20,67 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("content_hash", F.md5("no_stopwords")).drop("url_host", "url_path", "url_query", "plain_title", "no_stopwords")
 
 
+def first_seen(rows: DataFrame, order: list[str], keys: tuple[str, str] = ("clean_url", "content_hash")) -> DataFrame:
+    """Of rows in ``order``, those that share neither key with an earlier one that stays.
+
+    A row that is first by both keys stays; those that share a key with it go; so on with the rest. Each round is two
+    grouped minima and joins, and decides at least every row that no undecided one precedes; a round's rows are written,
+    so what is left shrinks. Rows that equal in both keys meet first, and the first of them goes on.
+    """
+    at = F.struct(*order, *keys)
+    firsts = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), at).alias("row")).select("row.*").withColumn("__at", at)
+    left, stay = checkpointed(firsts), None
+    while not left.isEmpty():
+        lead = left
+        for key in keys:
+            lead = lead.join(left.groupBy(key).agg(F.min("__at").alias("__first")), key).where("__at = __first").drop("__first")
+        lead = checkpointed(lead.select(*left.columns))
+        stay = lead if stay is None else stay.unionByName(lead)
+        for key in keys:
+            left = left.join(lead.select(key), key, "left_anti")
+        left = checkpointed(left)
+    return (firsts if stay is None else stay).select(*rows.columns)
+
+
 def exact_dedup_stream(articles: DataFrame, table: str, checkpoint: str) -> None:
-    """Append each article whose address and title hash are new, once, to a Parquet table; run to the end of the input.
+    """Append each article that shares neither address nor title hash with one that was kept before, to a Parquet table; run
+    to the end of the input.
 
-    A batch is written to its own folder by overwriting, so a batch that is run again changes nothing. Within a batch the
-    first by time and address wins.
+    Within a batch the order is by time, address and title; if batches come in that order too, the result doesn't depend
+    on how they are cut. A batch is written to its own folder by overwriting, so a batch that is run again changes nothing.
+    Of the kept articles, each batch reads the two keys.
     """
     spark = articles.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
         rows = keyed(batch)
-        for key in ("clean_url", "content_hash"):
-            order = W.partitionBy(key).orderBy("published_at", "article_url", "title")
-            rows = rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
         seen = stored(spark, table, number)
         if seen is not None:
-            rows = rows.join(seen.select("clean_url"), "clean_url", "left_anti").join(seen.select("content_hash"), "content_hash", "left_anti")
+            for key in ("clean_url", "content_hash"):
+                rows = rows.join(seen.select(key), key, "left_anti")
+        first_seen(rows, ["published_at", "article_url", "title"]).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    articles.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def event_match_stream(articles: DataFrame, table: str, links: str, checkpoint: str, days: int = LOOKBACK_DAYS) -> None:
+    """Append classified articles to ``table``, and to ``links`` each one's latest earlier article of the same event type and
+    a shared company within the window, among all that have come (``article_id, earlier_id``; ids are hashes of address and
+    title). Batches are written by overwriting, as in exact_dedup_stream; of the table, a batch reads the rows within
+    the window before its earliest article.
+    """
+    spark = articles.sparkSession
+
+    def add(batch: DataFrame, number: int) -> None:
+        made = batch.withColumns({"source_name": F.lit(""), "country": F.lit("Global"), "source_count": F.lit(1)})
+        rows = process(made).select(F.xxhash64("article_url", "title").alias("article_id"), "published_at", "event_type", "real_companies").dropDuplicates(["article_id"])
         rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        new = spark.read.parquet(f"{table}/batch={number}")
+        every, seen = new, stored(spark, table, number)
+        if seen is not None:
+            begin = new.agg(F.min("published_at")).first()[0]
+            every = new.unionByName(seen.where(F.col("published_at") >= F.lit(begin) - F.expr(f"interval '{days}' day")).select(*new.columns).join(new, "article_id", "left_anti"))
+        event_links(every, days).join(new.select("article_id"), "article_id", "left_semi").write.mode("overwrite").parquet(f"{links}/batch={number}")
 
     articles.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -132,6 +132,90 @@ def test_streaming_equals_batch_and_survives_replay(spark, data):
     assert ingest.stored(spark, table).count() == len(rows)
 
 
+DAY = datetime.datetime(2001, 1, 1)
+
+
+def _greedy(rows):
+    """Rows that share neither key with an earlier one that stays."""
+    kept, urls, hashes = [], set(), set()
+    for row in rows:
+        if row[1] not in urls and row[2] not in hashes:
+            kept.append(row)
+            urls.add(row[1])
+            hashes.add(row[2])
+    return kept
+
+
+def test_first_seen(spark):
+    random.seed(8)
+    rows = [(i, f"u{random.randrange(60)}", f"h{random.randrange(60)}") for i in range(400)]
+    for table in (rows, [(0, "u1", "x"), (1, "u2", "x"), (2, "u2", "y")], []):
+        frame = spark.createDataFrame(table, "at int, clean_url string, content_hash string").repartition(3)
+        assert sorted(map(tuple, ingest.first_seen(frame, ["at"]).collect())) == _greedy(table)
+
+
+def test_stream_does_not_depend_on_batches(spark):
+    rows = [("A", "https://a.b/1", "one title"), ("B", "https://a.b/2", "one title"), ("C", "https://a.b/2", "another title"), ("D", "https://a.b/1", "third title")]
+    frame = spark.createDataFrame([(i, t, u, DAY + datetime.timedelta(hours=i), "") for i, (_, u, t) in enumerate(rows)], "i int, title string, article_url string, published_at timestamp, summary string")
+    found = []
+    for cuts in ([4], [1, 2, 3, 4], [2, 4]):
+        path, table, log = (shared_path(spark, n) for n in ("feed", "table", "log"))
+        for k, (low, high) in enumerate(zip([0, *cuts], cuts)):
+            feeds.write_feed(frame.where(f"i >= {low} and i < {high}").coalesce(1), f"{path}/{k}")
+            ingest.exact_dedup_stream(feeds.read_feed(spark, f"{path}/*", plan.AS_OF, stream=True), table, log)
+        found.append(sorted((r.article_url, r.title) for r in ingest.stored(spark, table).collect()))
+    assert found == [[("https://a.b/1", "one title"), ("https://a.b/2", "another title")]] * 3
+
+
+def test_event_stream_equals_batch(spark, data):
+    articles = plan.articles(spark, data).where("article_id % 3 = 0")
+    path, table, links, log = (shared_path(spark, n) for n in ("feed", "table", "links", "log"))
+    middle = articles.approxQuantile("article_id", [0.5], 0)[0]
+    half = "timestamp '2001-05-30 00:00:00'"
+    assert middle
+    for k, part in enumerate((f"published_at < {half}", f"published_at >= {half}")):
+        feeds.write_feed(articles.where(part), f"{path}/{k}")
+        ingest.event_match_stream(feeds.read_feed(spark, f"{path}/*", plan.AS_OF, stream=True), table, links, log)
+    whole = ingest.stored(spark, table)
+    want = {tuple(r) for r in dedup.event_links(whole).collect()}
+    assert want and {(r.article_id, r.earlier_id) for r in ingest.stored(spark, links).collect()} == want
+
+
+STORY = "article_id long, published_at timestamp, status string, plain_title string, real_companies array<string>, clean_url string, content_hash string, event_type string"
+
+
+def test_events_and_pairs(spark):
+    def row(i, hours, title, company, event="OTHER", url=None, status="NEW"):
+        return (i, DAY + datetime.timedelta(hours=hours), status, title, [company] if company else [], url or f"u{i}", title, event)
+
+    rows = [
+        row(1, 0, "zepto raises ten million in a funding round", "zepto", "FUNDING"),
+        row(2, 1, "zepto raises ten million in the funding round", "zepto", "FUNDING"),
+        row(3, 2, "investors back zepto", "zepto", "FUNDING"),
+        row(4, 3, "infosys raises ten million in a funding round", "infosys", "FUNDING"),
+        row(5, 300, "zepto gets more money", "zepto", "FUNDING"),
+        row(6, 4, "something else", None, url="u1"),
+        row(7, 5, "rejected words", "zepto", "FUNDING", status="REJECTED"),
+        row(8, 6, "conflicting words", "paytm", url="u1"),
+    ]
+    frame = spark.createDataFrame(rows, STORY)
+    pairs = {(r.article_id, r.earlier_id): r.reason for r in dedup.reconcile_pairs(frame).collect()}
+    assert pairs == {(2, 1): "similar", (3, 2): "event", (6, 1): "url"}
+    events = {r.article_id: (r.event_id, r.level) for r in dedup.assign_events(frame).collect()}
+    assert events == {1: (1, None), 2: (1, 4), 3: (1, 5), 4: (4, None), 5: (5, None), 6: (1, 2), 7: (1, 5), 8: (1, 2)}
+
+
+def test_cache_and_drafts(spark):
+    wanted = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", ""), (2, "c", None)], "report_id int, url string, content string")
+    held = spark.createDataFrame([(1, "a", "COMPLETED", "h"), (1, "b", "FAILED", None)], "report_id int, url string, extraction_status string, content_hash string")
+    got = {(r.report_id, r.url): (r.action, r.status) for r in feed.cache_reuse(wanted, held).collect()}
+    assert got == {(1, "a"): ("REUSE", "COMPLETED"), (1, "b"): ("EXTRACT", "COMPLETED"), (2, "a"): ("EXTRACT", "FAILED"), (2, "c"): ("EXTRACT", "FAILED")}
+    assert {r.action for r in feed.cache_reuse(wanted, held, force=True).collect()} == {"EXTRACT"}
+    stories, drafts = spark.createDataFrame([(1,), (2,), (3,)], "story_id int"), spark.createDataFrame([(1, 10, "POSTED"), (2, 20, "NEW")], "story_id int, draft_id int, status string")
+    assert {r.story_id: r.action for r in feed.regenerate_guard(stories, drafts).collect()} == {1: "KEEP", 2: "REPLACE", 3: "CREATE"}
+    assert {r.story_id: r.action for r in feed.regenerate_guard(stories, drafts, True).collect()} == {1: "REPLACE", 2: "REPLACE", 3: "CREATE"}
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert len(rows) == 10 and rows[0].final_score >= rows[-1].final_score
