@@ -11,7 +11,7 @@ bound, 5,679 of 29,650 sequences closed by the bound; 1.010 without runs.)
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,17 @@ LENGTH = 1024
 #: Open sequences of a partition, and pieces of a run.
 OPEN, RUN = 1024, 1000
 #: Words that a worker keeps with their ids.
-WORDS = 1_000_000
+WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 #: Numbers of rows and sequences begin anew in each partition, so far apart.
 APART = 1 << 36
 
 
-def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end: int = END, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """The pieces of every row's ids: ``doc_id, piece, start, length, ids_crc32, row`` and, if asked for, ``ids`` (binary,
-    little-endian unsigned 32-bit). ``row`` numbers the rows and tells copies apart. Null texts are empty, and an empty
-    text is the end id alone."""
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _cutter(length: int, tokenizer: str, end: int, keep_ids: bool) -> Run:
+    """Cuts the ids of (id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = TaskContext.get().partitionId() * APART
@@ -57,9 +58,20 @@ def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end:
                     columns, names = [*columns, ids], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
             seen += batch.num_rows
+            pa.default_memory_pool().release_unused()
+
+    return run
+
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
+def _identified(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def pieces(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, end: int = END, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """The pieces of every row's ids: ``doc_id, piece, start, length, ids_crc32, row`` and, if asked for, ``ids`` (binary,
+    little-endian unsigned 32-bit). ``row`` numbers the rows and tells copies apart. Null texts are empty, and an empty
+    text is the end id alone."""
+    return _identified(df, doc_id, text).mapInArrow(_cutter(length, tokenizer, end, keep_ids), PIECES + (", ids binary" if keep_ids else ""))
 
 
 class OpenBins:
@@ -96,13 +108,8 @@ class OpenBins:
         return bin_id
 
 
-def pack(rows: DataFrame, length: int = LENGTH, most_open: int = OPEN) -> DataFrame:
-    """Add ``sequence_id`` (long) and ``offset`` (long) to pieces, by the order and in the partitions in which they are.
-
-    Rows are taken as they are: repeated ones are placed each, and no rows give no rows. Columns of these names are
-    replaced. Sequence ids are unique, not gapless. A partition ends its open sequences with itself, so very small ones
-    waste space; a task holds ``most_open`` of them, whatever the partition's size.
-    """
+def _placer(names: list[str], length: int, most_open: int) -> Run:
+    """Adds places to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = OpenBins(length, most_open), TaskContext.get().partitionId() * APART
@@ -114,15 +121,29 @@ def pack(rows: DataFrame, length: int = LENGTH, most_open: int = OPEN) -> DataFr
                     ids[i], offsets[i] = bins.place(int(sizes[i]))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(first + ids), pa.array(offsets)], [*names, "sequence_id", "offset"])
 
+    return run
+
+
+def pack(rows: DataFrame, length: int = LENGTH, most_open: int = OPEN) -> DataFrame:
+    """Add ``sequence_id`` (long) and ``offset`` (long) to pieces, by the order and in the partitions in which they are.
+
+    Rows are taken as they are: repeated ones are placed each, and no rows give no rows. Columns of these names are
+    replaced. Sequence ids are unique, not gapless. A partition ends its open sequences with itself, so very small ones
+    waste space; a task holds ``most_open`` of them, whatever the partition's size.
+    """
+
     names = [c for c in rows.columns if c.lower() not in ("sequence_id", "offset")]
     kept = rows.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return kept.mapInArrow(_placer(names, length, most_open), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, length: int = LENGTH, tokenizer: str = BYTE_BPE, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their places, in the documents' own order; see pieces and pack."""
-    return pack(pieces(df, length, tokenizer, END, doc_id, text, keep_ids), length)
+    """Pieces of all documents with their places, in the documents' own order; see pieces and pack, which one worker does
+    for a task here."""
+    schema = PIECES + (", ids binary" if keep_ids else "")
+    cut, place = _cutter(length, tokenizer, END, keep_ids), _placer([f.split()[0] for f in schema.split(", ")], length, OPEN)
+    return _identified(df, doc_id, text).mapInArrow(lambda batches: place(cut(batches)), f"{schema}, sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
