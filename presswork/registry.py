@@ -494,8 +494,18 @@ def exact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_plan(_slim(spark, sf_dir, "published_at", "clean_url", "tier", "source_count", "content_hash", "status"))
 
 
-_PLAN_SQL = f"""select *, first_value(article_id) over (partition by content_hash order by tier, -source_count, published_at, article_id) as primary_id,
-    count(*) over (partition by content_hash) as size from ({STORIES_SQL})"""
+def _plan_sql(rounds: int = 12) -> str:
+    """Stories with the least id that equal addresses and title hashes lead to, by rounds of minima (far more than these
+    tables need), and their cluster's primary and size."""
+    sql = f"select article_id, tier, source_count, published_at, status, clean_url, content_hash, article_id as least from ({STORIES_SQL})"
+    for _ in range(rounds):
+        for key in ("clean_url", "content_hash"):
+            sql = f"select * replace (min(least) over (partition by {key}) as least) from ({sql})"
+    return f"""select *, first_value(article_id) over (partition by least order by tier, -source_count, published_at, article_id) as primary_id,
+        count(*) over (partition by least) as size from ({sql})"""
+
+
+_PLAN_SQL = _plan_sql()
 register("reconciliation_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).where("article_id <> primary_id").groupBy("primary_id", "size").agg(F.array_join(F.array_sort(F.collect_list("article_id")), ",").alias("duplicate_ids")), f"""
     select primary_id, size, string_agg(cast(article_id as varchar), ',' order by article_id) as duplicate_ids from ({_PLAN_SQL}) where size > 1 and article_id <> primary_id group by 1, 2""")
 register("apply_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).selectExpr("article_id", "if(article_id <> primary_id, 'MERGED', status) as status", "if(article_id <> primary_id, primary_id, null) as merged_into_id").selectExpr("article_id", "status", "coalesce(cast(merged_into_id as string), '') as merged_into_id"), f"""
