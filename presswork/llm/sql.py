@@ -27,3 +27,46 @@ select page_id, payload_bytes, sha1(html) as payload_digest,
     case when owner is not null and page_id is distinct from owner then 'revisit' else 'response' end as record_type,
     case when page_id is distinct from owner then owner end as refers_to from o
 """
+
+#: Words of whole texts; ``row`` tells rows of one id apart.
+_WORDS = r"""select row_number() over () as row, doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents"""
+
+_LEDGER = rf"""
+with d as ({_WORDS}),
+windows as (select row, unnest(range(1, len(words) - 6)) as start, words from d),
+repeated as (select row, start from (select row, start, words[start:start + 7] as run from windows) qualify count(*) over (partition by row, run) > 1),
+covered as (select row, count(distinct place) as n from (select row, unnest(range(start, start + 8)) as place from repeated) group by row),
+measured as (select doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines,
+    coalesce(n, 0)::bigint as n_repeat_words, len(regexp_extract_all(text, '\p{{L}}')) as n_letters, len(regexp_extract_all(text, '\p{{Lu}}')) as n_upper
+    from d left join covered using (row)),
+ledger as (select doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_repeat_words,
+    [n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > 3 * n_words, n_letters >= 40 and 10 * n_upper > 6 * n_letters,
+    word_chars < 2 * n_words or word_chars > 25 * n_words, len(lines) >= 4 and 2 * (len(lines) - len(list_distinct(lines))) > len(lines)] as fails from measured)
+"""
+
+ORACLES["op3_quality_rules"] = f"""{_LEDGER}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails[1] or fails[2] as base_failed, not list_bool_or(fails) as kept,
+    list_sum(list_transform(fails, lambda f, i: if(f, 1 << (i - 1), 0)))::bigint as rule_bits from ledger
+"""
+
+_RULES = ("few_words", "repeated_windows", "symbols", "shouting", "odd_word_length", "repeated_lines")
+ORACLES["quality_ablations"] = f"""{_LEDGER},
+judged as (select fails, len(list_filter(fails, lambda f: f)) as n from ledger),
+rules as (select unnest(range(1, {len(_RULES) + 1})) as i, unnest([{", ".join(f"'{r}'" for r in _RULES)}]) as rule)
+select rule, count(*) filter (fails[i]) as n_failed, count(*) filter (fails[i] and n = 1) as n_failed_alone,
+    count(*) filter (n = 0 or (fails[i] and n = 1)) as n_kept_without from judged right join rules on true group by rule
+"""
+
+ORACLES["op8_relative_parsing"] = f"""
+with d as ({_WORDS}),
+windows as (select row, doc_id, unnest(range(1, len(words) - 11)) as start, words from d),
+found as (select row, start, doc_id > min(doc_id) over (partition by run) as later
+    from (select row, doc_id, start, array_to_string(words[start:start + 12], ' ') as run from windows)),
+covered as (select distinct row, unnest(range(start, start + 13)) as place from found where later),
+placed as (select row, unnest(range(1, len(words) + 1)) as place, unnest(words) as word from d),
+kept as (select row, count(*) as n, string_agg(word, ' ' order by place) as text from placed anti join covered using (row, place) group by row)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (row)
+"""
