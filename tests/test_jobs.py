@@ -6,6 +6,7 @@ import datetime
 import difflib
 import random
 
+import numpy as np
 import pytest
 from presswork import registry
 from presswork.operators import dedup, feed
@@ -57,6 +58,22 @@ def test_event_links(stories):
     assert {r.article_id: r.earlier_id for r in dedup.event_links(stories).collect()} == want
 
 
+def test_common_letters_are_the_longest_common_subsequence():
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            before = 0
+            for j, other in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if c == other else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abc "), size)) for size in rng.integers(1, 150, 120)]
+    pairs = list(zip(texts, reversed(texts)))
+    new, old = (np.array(side) for side in zip(*pairs))
+    assert dedup.common_letters(new, old).tolist() == [longest(a, b) for a, b in pairs]
+
+
 def test_similar_titles(stories):
     few = stories.where("article_id % 5 = 0")
     titles = sorted({(r.plain_title, int(r.published_at.replace(tzinfo=datetime.timezone.utc).timestamp() // (7 * 86400))) for r in few.collect()})
