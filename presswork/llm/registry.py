@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import mixing, packing, pii, quality, simhash, substrings, tokenfiles, toxicity, vptree, warc
+from presswork.llm import lm, mixing, packing, pii, quality, repair, simhash, substrings, tokenfiles, toxicity, vptree, warc, whitening
 from presswork.llm.sql import ORACLES
 from presswork.shared import shared_path
 
@@ -90,10 +90,37 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+#: Components of whitened vectors.
+COMPONENTS = 8
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, COMPONENTS)
+    made = whitening.whiten(rows, model).select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.element_at(F.array(*(F.lit(float(e)) for e in (model.explained if model else [0.0]))), F.col("place") + 1)
+    return made.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+        explained.alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+def op12_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lm.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scores = lm.score(docs, lm.fit(docs))
+    return scores.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(repair.filled(table(spark, sf_dir, "conversations")))
+    return repair.digests(rows, repair.diagnosed_plans(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vantage_point_neighbours, op2_pii_boosting, op3_quality_rules, op4_warc_salvage, op5_token_files,
         op6_compression_toxicity, op7_best_fit_packing, op8_relative_parsing, op9_simhash_near_dedup, op10_poisson_mixing, warc_damaged, quality_ablations,
+        op11_whitening, op12_bilinear_scores, op13_conversation_repair,
     )
 }

@@ -70,3 +70,44 @@ kept as (select row, count(*) as n, string_agg(word, ' ' order by place) as text
 select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from d left join kept using (row)
 """
+
+#: Conversations damaged by CRC-32, which is spelled out byte by byte; then the least audits, row by row from the front.
+ORACLES["op13_conversation_repair"] = r"""
+with recursive keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+hashed as (select *, xor(4294967295, list_reduce(list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::bigint),
+    lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295)) % 20 as kind from keyed),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) as copy from hashed where kind <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last, left(role, 1) as initial from damaged),
+faulty as (select *, case when last = '' then 'blank' when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' end as fault,
+    lag(initial) over (partition by conv_id order by place) as before, case when initial in ('s', 'u', 'a') then initial else 'o' end as known from placed),
+spelled as (select *, case when fault in ('blank', 'duplicate') then '-' when fault = 'truncated' then upper(known) else known end as letter from faulty),
+found as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, string_agg(letter, '' order by place) as signature from spelled group by conv_id),
+states as (select unnest([0, 1, 2, 3]) as state, unnest(['u', 'u', 'a', 'u']) as waits, unnest([2, 2, 3, 2]) as goes),
+letters as (select unnest(['-', 's', 'u', 'a', 'o', 'S', 'U', 'A', 'O']) as letter),
+inserts as (select state, state as now, 0 as cost, '' as edits from states union all select state, goes, 5, 'I' from states
+    union all select a.state, b.goes, 10, 'II' from states a join states b on b.state = a.goes),
+edits as (select state, letter, state as now, 2 as cost, 'D' as edit from states, letters
+    union all select state, letter, goes, case when letter = upper(letter) then 6 else 1 end, 'R' from states, letters where letter <> '-'
+    union all select state, letter, goes, case when letter = upper(letter) then 5 else 0 end, 'K' from states, letters where lower(letter) = waits
+    union all select 0, letter, 1, case when letter = upper(letter) then 5 else 0 end, 'K' from letters where lower(letter) = 's'),
+steps as (select i.state, e.letter, e.now, i.cost + e.cost as cost, i.edits || e.edit as edits from inserts i join edits e on e.state = i.now),
+walked(signature, place, state, best) as (select distinct signature, 0, 0, {'cost': 0, 'audit': ''} from found where signature is not null
+    union all select w.signature, w.place + 1, s.now, min({'cost': w.best.cost + s.cost, 'audit': w.best.audit || s.edits}) from walked w
+    join steps s on s.state = w.state and s.letter = w.signature[w.place + 1] where w.place < length(w.signature) group by 1, 2, 3),
+ended as (select signature, min({'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.edits}) as best from walked w join inserts i on i.state = w.state
+    where w.place = length(w.signature) and i.now in (0, 3) group by 1),
+planned as (select found.*, best.cost, best.audit from found join ended using (signature)),
+edited as (select conv_id, step, audit[step] as edit, step - length(replace(audit[:step], 'I', '')) as added from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as step from planned)),
+kept as (select e.conv_id, e.step, edit, initial, role, text, row_number() over (partition by e.conv_id order by e.step) as nth from edited e
+    left join placed p on p.conv_id is not distinct from e.conv_id and p.place = e.step - e.added and edit <> 'I' where edit <> 'D'),
+named as (select *, (first_value(edit = 'K' and initial = 's') over (partition by conv_id order by nth))::int as shift from kept),
+repaired as (select conv_id, string_agg(case when edit = 'K' then role when (nth - shift) % 2 = 1 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end, chr(10) order by nth) as whole from named group by conv_id),
+every as (select distinct conv_id from conversations)
+select every.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256 from every
+left join planned on planned.conv_id is not distinct from every.conv_id left join repaired on repaired.conv_id is not distinct from every.conv_id
+"""
