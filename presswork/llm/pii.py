@@ -49,13 +49,14 @@ _DIGIT = re.compile(r"[0-9]")
 
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9 ()./-]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,40} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,20}){1,4}")
-_KEYED = re.compile(r"[A-Za-z_-]{2,24}[\"']? ?[=:] ?(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([A-Za-z0-9+/_.=~-]{6,}))")
+_SIGN = re.compile(r" ?(?:@|\[at\]|\(at\)) ?")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,})+")
+_KEYED = re.compile(r"[A-Za-z_-]{2,24}[\"']? ?[=:] ?(?:(?:Bearer|Basic|Token) )?(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"']{6,}))")
 _COUNTRY = re.compile(r"\+[0-9]{1,3}[ .-]?(?=[(0-9])")
 _SIX = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")
 _SHORT_SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
 _AT, _DOT = re.compile(r" ?(?:\[at\]|\(at\)) ?| @ "), re.compile(r" ?(?:\[dot\]|\(dot\)) ?| \. ")
-_SECRET_KEY = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key)$")
+_SECRET_KEY = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|authorization)$")
 _CONTEXT = (
     re.compile(r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|cell)\b"),
     re.compile(r"(?i)\b(?:mail|email|e-mail|contact|write)\b"),
@@ -108,15 +109,29 @@ def _kind_of(part: str) -> int:
     return 2 if digits >= 12 and not part.startswith(("+", "(")) and "(" not in part else 3
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int, int]]:
+    """``(start, end, host)`` of addresses whose signs may be spelled out or set apart. From a sign the name is read
+    backwards, up to where the last address ended, so names of any length cost no second reading."""
+    last = 0
+    for sign in _SIGN.finditer(text):
+        start = sign.start()
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, sign.end()) if start < sign.start() else None
+        last = max(last, host.end() if host else sign.end())
+        if host:
+            yield start, host.end(), host.start()
+
+
 def proposals(text: str) -> list[tuple[int, int, int, int]]:
     """``(start, end, kind, generator)``, overlapping ones among them."""
     out: dict[tuple[int, int, int], int] = {}
     if "@" in text or "[at]" in text or "(at)" in text:
-        for m in _SPELLED.finditer(text):
-            out.setdefault((m.start(), m.end(), 0), 0)
-            stop = re.search(r"\w\. ", m[0])  # the address may end where the sentence does
+        for start, end, host in _spelled(text):
+            out.setdefault((start, end, 0), 0)
+            stop = re.search(r"\w\. ", text[host:end])  # the address may end where the sentence does
             if stop:
-                out.setdefault((m.start(), m.start() + stop.start() + 1, 0), 0)
+                out.setdefault((start, host + stop.start() + 1, 0), 0)
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
             out.setdefault((*m.span(), _kind_of(m[0])), 1)

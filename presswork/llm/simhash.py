@@ -154,14 +154,15 @@ def link_edges(prints: DataFrame, bands: int = RADIUS + 1, most: int = BLOCK //
 def near_groups(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Add ``component_id``: the smallest id that a document reaches over links of fingerprints (``simhash``).
 
-    Equal fingerprints link, so repeated rows and copies share a component. A null id gets a component but names
-    none; where all ids that are reached are null, it is null. An empty table stays empty. A column of the table named
+    Equal fingerprints link, so repeated rows and copies share a component. A null id gets a component and links others,
+    but names none; where all ids that are reached are null, it is null. An empty table stays empty. A column of the table named
     ``component_id`` is replaced. ``df`` is read more than once; hand in a written table.
     """
-    nodes = written(df.groupBy(F.col("simhash").alias("print")).agg(F.min(doc_id).alias("node")), "prints")
-    found = connected_components(link_edges(nodes.where("node is not null"), bands_for(nodes.count()))).withColumnRenamed("node", "member")
-    known = nodes.join(found, nodes.node == found.member, "left").select(F.col("print").alias("simhash"), F.coalesce("component", "node").alias("component_id"))
-    return df.drop("component_id").join(known, "simhash", "left")
+    nodes = written(df.groupBy(F.col("simhash").alias("print")).agg(F.min(doc_id).alias("least")), "prints")
+    found = connected_components(link_edges(nodes.select(F.col("print").alias("node"), "print"), bands_for(nodes.count())))
+    known = nodes.join(found, nodes.print == found.node, "left").select(F.col("print").alias("simhash"), "least", F.coalesce("component", "print").alias("component"))
+    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    return df.drop("component_id").join(known.join(named, "component").select("simhash", "component_id"), "simhash", "left")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

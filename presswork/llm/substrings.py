@@ -96,7 +96,7 @@ def _spread(h: np.ndarray, parts: int) -> np.ndarray:
 
 #: What is packed of a stretch: ``key`` is its anchor, or the source's document where it is a copy within its slice;
 #: ``source`` is the source's place then. A copy travels without hashes.
-PACKED = np.dtype([("key", "<u8"), ("doc", "<i8"), ("check", "<u4"), ("start", "<u4"), ("source", "<u4"), ("size", "u1"), ("copy", "u1")])
+PACKED = np.dtype([("key", "<u8"), ("doc", "<i8"), ("check", "<i8"), ("start", "<u4"), ("source", "<u4"), ("size", "u1"), ("copy", "u1")])
 
 
 def _pack(rows: np.ndarray, windows: np.ndarray) -> bytes:
@@ -229,7 +229,7 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, check, factors)``: of each document with factors, their starts, lengths in windows, and sources (array
-    of FACTOR; a factor of n windows is n + 12 words). ``check`` is 24 bits of a hash of the text and tells rows with one
+    of FACTOR; a factor of n windows is n + 12 words). ``check`` is a hash of the text, of 64 bits, and tells rows with one
     id apart."""
     rows = _keyed(df, doc_id, text).where("doc_id is not null").select("doc_id", "check", "text")
     hot, windows = _measured(rows)
@@ -241,7 +241,7 @@ def factors(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).bitwiseAND(F.lit(0xFFFFFF)).alias("check"), whole.alias("text"))
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("check"), whole.alias("text"))
 
 
 def joined(found: list[dict]) -> list[tuple[int, int, int, int]]:

@@ -34,6 +34,8 @@ MAGIC, HEAD = b"PWT2", struct.Struct("<4sIIIQI")
 BLOCK_IDS, FILE_BYTES = 1 << 18, 128 << 20
 #: Ids of a range on average; a range is sorted and written by one task.
 PART_IDS = 1 << 24
+#: Rows drawn for each range to bound it (eight bytes each).
+SAMPLED = 16
 #: Words that a worker keeps with their ids.
 WORDS = 400_000
 #: Where documents without an id stand: before all others.
@@ -152,6 +154,15 @@ class Ranges:
         return (self.first[at] + (ties * self.cut[at] >> 32)).astype(np.int32)
 
 
+def _cuts(ids: DataFrame, wanted: int) -> list[int]:
+    """Bounds of ``wanted`` ranges that hold about equally many rows, by some SAMPLED rows for each."""
+    if wanted < 2:
+        return []
+    share = min(1.0, SAMPLED * wanted / max(1, ids.count()))
+    found = np.sort(ids.sample(share, 13).toArrow().column("id").to_numpy())
+    return found[np.arange(1, wanted) * len(found) // wanted].tolist() if len(found) else []
+
+
 def write_files(df: DataFrame, path: str, tokenizer: str = WORD_BPE, doc_id: str = "doc_id", text: str = "text") -> None:
     """Tokenize all rows and write ``path/blocks`` (the files) and ``path/ranks`` (rank, id, n).
 
@@ -174,8 +185,8 @@ def write_files(df: DataFrame, path: str, tokenizer: str = WORD_BPE, doc_id: str
     rank_of[table["id"].to_numpy(np.int64)] = table["rank"].to_numpy(np.uint32)
 
     wanted = max(1, round(int(table["n"].sum()) / PART_IDS))
-    cuts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
-    ranges = Ranges([int(c) for c in cuts])
+    cuts = _cuts(rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")), wanted)
+    ranges = Ranges(cuts)
     shared, dealt = spark.sparkContext.broadcast(rank_of), spark.sparkContext.broadcast(ranges)
 
     def place(batch: pa.RecordBatch) -> np.ndarray:

@@ -3,12 +3,13 @@
 The writer makes records of WARC 1.1 as plain column expressions; a record's end mark is the writer's line separator,
 so part files are archives as they are. The reader checks every record's lengths, end mark and block digest. After a
 failed check it looks for the next gzip member or version line whose record passes, goes on there, and reports the
-bytes between as a quarantined gap. Members are inflated piece by piece up to a bound, so the work grows with the archive.
+bytes between as a quarantined gap. Members are inflated piece by piece, and one record is held at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -26,8 +27,8 @@ REVISIT_BYTES = 1000
 #: Records in a file, bytes of a file, about, and owners of payloads that may be broadcast (about 150 bytes each); more are
 #: joined by a shuffle. A payload of over FILE_BYTES / FILE_RECORDS goes to files of fewer records.
 FILE_RECORDS, FILE_BYTES, BROADCAST_OWNERS = 1000, 256 << 20, 100_000
-#: Bytes that a gzip member may inflate to; a larger one is reported as a gap. And bytes that are inflated at a time.
-MEMBER_BYTES, PIECE = 128 << 20, 1 << 16
+#: Bytes of a gzip member that are inflated at a time, and bytes that come out of them at most.
+PIECE, PULLED = 1 << 16, 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 END_MARK = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,8 +105,9 @@ def write_archives(df: DataFrame, path: str, date: str = DATE, page_id: str = "p
         records.write.mode("append").option("lineSep", END_MARK.decode()).option("maxRecordsPerFile", most).text(path)
 
 
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+_VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+_RECORD_ID = re.compile("<[A-Za-z][A-Za-z0-9+.-]*:[^<>\\s]+>")
 
 
 def _agrees(digest: str, block: bytes) -> bool:
@@ -119,62 +121,183 @@ def _agrees(digest: str, block: bytes) -> bool:
     return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
 
 
-def _record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
-    """The end, headers and block of the record at a place, or why there is none."""
-    version = _VERSION.match(data, at)
-    if not version:
+class _Bytes:
+    """Bytes that records are read from, by their places."""
+
+    def __init__(self, data: bytes):
+        self.held, self.first = data, 0
+
+    def pull(self) -> bool:
+        """Hold more, if there is any."""
+        return False
+
+    def forget(self, before: int) -> None:
+        """What stands before a place isn't asked for again."""
+
+    def has(self, end: int) -> bool:
+        while self.first + len(self.held) < end:
+            if not self.pull():
+                return False
+        return True
+
+    def cut(self, start: int, end: int) -> bytes:
+        return bytes(self.held[start - self.first : end - self.first])
+
+    def find(self, what: bytes, start: int) -> int:
+        """The first place from ``start`` on, or -1."""
+        while True:
+            at = self.held.find(what, start - self.first)
+            if at >= 0:
+                return at + self.first
+            start = max(start, self.first + len(self.held) - len(what) + 1)
+            if not self.pull():
+                return -1
+
+    def version_line(self, start: int) -> int:
+        """The next version line, or -1."""
+        at = start - 1
+        while (at := self.find(b"\nWARC/1.", at)) >= 0:
+            self.forget(at)
+            if self.has(at + 11) and self.cut(at + 1, at + 11) in _VERSIONS:
+                return at + 1
+            at += 1
+        return -1
+
+
+class _Member(_Bytes):
+    """The content of the gzip member at a place, inflated as it is asked for; what has been read is given up. ``reason`` says
+    why the member is bad, once it has been read; what came out before an error is held all the same."""
+
+    def __init__(self, data: bytes, at: int):
+        super().__init__(bytearray())
+        self.data, self.fed, self.tail, self.end, self.reason = data, self._body(data, at), b"", -1, ""
+        self.unpack, self.sum, self.size = zlib.decompressobj(-15), 0, 0
+        if self.fed < 0:
+            self.end, self.reason = at, "bad member: no gzip header"
+
+    @staticmethod
+    def _body(data: bytes, at: int) -> int:
+        """Where the deflated bytes begin, or -1."""
+        flags = data[at + 3] if len(data) > at + 10 and data[at + 2] == 8 else 0xFF
+        if flags & 0xE0:
+            return -1
+        at += 10
+        if flags & 4:
+            at += 2 + int.from_bytes(data[at : at + 2], "little")
+        for bit in (8, 16):
+            if flags & bit:
+                at = data.find(b"\0", at) + 1
+                if not at:
+                    return -1
+        return at + 2 * bool(flags & 2)
+
+    def _take(self, out: bytes) -> None:
+        self.held += out
+        self.sum, self.size = zlib.crc32(out, self.sum), self.size + len(out)
+
+    def pull(self) -> bool:
+        if self.end >= 0:
+            return False
+        piece = self.tail or self.data[self.fed : self.fed + PIECE]
+        self.fed += 0 if self.tail else len(piece)
+        if not piece:
+            self.end, self.reason = len(self.data), "member without an end"
+            return False
+        before = self.unpack.copy()
+        try:
+            self._take(self.unpack.decompress(piece, PULLED))
+            self.tail = self.unpack.unconsumed_tail
+        except zlib.error as e:
+            self.end, self.reason = self.fed, f"bad member: {e}"
+            with contextlib.suppress(zlib.error):
+                for i in range(len(piece)):
+                    self._take(before.decompress(piece[i : i + 1]))
+            return True
+        if self.unpack.eof:
+            self.end = self.fed - len(self.unpack.unused_data) + 8
+            if self.data[self.end - 8 : self.end] != self.sum.to_bytes(4, "little") + (self.size % (1 << 32)).to_bytes(4, "little"):
+                self.reason = "bad member: its checksum or length differs"
+        return True
+
+    def forget(self, before: int) -> None:
+        if before - self.first > PULLED:
+            del self.held[: before - self.first]
+            self.first = before
+
+
+def _record(source: _Bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
+    """The end, headers and block of the record at a place, or why there is none. Header lines are read up to the first bad
+    one, which a further version line is, so lines that only look like records cost no second reading."""
+    if not source.has(at + 10) or source.cut(at, at + 10) not in _VERSIONS:
         return "no version line"
-    split = data.find(END_MARK, at)
-    if split < 0:
-        return "no end of headers"
-    headers = {}
-    for line in data[version.end() : split].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
+    headers, begin = {}, at + 10
+    while True:
+        end = source.find(b"\r\n", begin)
+        if end < 0:
+            return "no end of headers"
+        line, begin = source.cut(begin, end), end + 2
+        if not line:
+            break
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             return "bad header line"
         headers[name.strip().lower()] = value.strip()
     if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
         return "bad length"
-    if "warc-type" not in headers or not re.fullmatch("<[A-Za-z][A-Za-z0-9+.-]*:[^<>\\s]+>", headers.get("warc-record-id", "")):
+    if "warc-type" not in headers or not _RECORD_ID.fullmatch(headers.get("warc-record-id", "")):
         return "bad type or record id"
-    begin = split + len(END_MARK)
     end = begin + int(headers["content-length"])
-    if data[end : end + len(END_MARK)] != END_MARK:
+    if not source.has(end + len(END_MARK)) or source.cut(end, end + len(END_MARK)) != END_MARK:
         return "no end mark after the block"
-    block = data[begin:end]
+    block = source.cut(begin, end)
     digest = headers.get("warc-block-digest")
     if digest is not None and not _agrees(digest, block):
         return "block digest differs"
     return end + len(END_MARK), headers, block
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
-    """The end and content of the gzip member at a place, or why there is none."""
-    unpack, out, size = zlib.decompressobj(31), [], 0
-    fed = at
-    try:
-        while not unpack.eof and (unpack.unconsumed_tail or fed < len(data)):
-            piece = unpack.unconsumed_tail or data[fed : fed + PIECE]
-            fed += 0 if unpack.unconsumed_tail else len(piece)
-            out.append(unpack.decompress(piece, MEMBER_BYTES - size + 1))
-            size += len(out[-1])
-            if size > MEMBER_BYTES:
-                return "member inflates beyond the bound"
-    except zlib.error as e:
-        return f"bad member: {e}"
-    return (fed - len(unpack.unused_data), b"".join(out)) if unpack.eof else "member without an end"
-
-
-def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
+def _within(source: _Member) -> Iterator[tuple[str, int, dict[str, str], bytes, str]]:
+    """``(kind, length, headers, block, reason)`` of a member's content. Of a bad member, what follows the last record is no
+    gap of its own."""
+    at, gap, why = 0, -1, ""
+    while source.has(at + 1):
+        found = _record(source, at)
+        if isinstance(found, str):
+            if gap < 0:
+                gap, why = at, found
+            following = source.version_line(at + 1)
+            at = following if following >= 0 else source.first + len(source.held)
+            source.forget(at - 1)
+            continue
+        if gap >= 0:
+            yield "gap", at - gap, {}, b"", why
+            gap = -1
+        yield "record", found[0] - at, found[1], found[2], ""
+        at = found[0]
+        source.forget(at - 1)
+    if gap >= 0 and not source.reason:
+        yield "gap", at - gap, {}, b"", why
+
+
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
     """``(kind, offset, length, headers, block, reason)`` of an archive: records in order, and gaps between them.
 
-    Places within a gzip member are those of the member; ``members``: whether there may be any, as within one there are
-    none.
+    What stands in a gzip member has the member's place, and its own length as inflated. A member is read as it inflates,
+    of any size, record by record. Of a bad member the records that pass are given, and the member is a gap besides, up to
+    the next member or version line.
     """
-    at, gap, why = 0, -1, ""
+    whole, at, gap, why = _Bytes(data), 0, -1, ""
     while at < len(data):
-        packed = members and data[at : at + 2] == b"\x1f\x8b"
-        found = _member(data, at) if packed else _record(data, at)
+        if data[at : at + 2] == b"\x1f\x8b":
+            member = _Member(data, at)
+            for item in _within(member):
+                if gap >= 0:
+                    yield "gap", gap, at - gap, {}, b"", why
+                    gap = -1
+                yield item[0], at, *item[1:]
+            found = member.reason or (member.end,)
+        else:
+            found = _record(whole, at)
         if isinstance(found, str):
             if gap < 0:
                 gap, why = at, found
@@ -184,10 +307,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
         if gap >= 0:
             yield "gap", gap, at - gap, {}, b"", why
             gap = -1
-        if packed:
-            for kind, _, _, headers, block, reason in salvage(found[1], False):
-                yield kind, at, found[0] - at, headers, block, reason
-        else:
+        if len(found) > 1:
             yield "record", at, found[0] - at, found[1], found[2], ""
         at = found[0]
     if gap >= 0:
