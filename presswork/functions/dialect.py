@@ -106,6 +106,14 @@ class Dialect:
     def seconds(self, x: str) -> str:
         return f"unix_timestamp({x})"
 
+    def decoded(self, x: str) -> str:
+        """A part of a form-encoded query, decoded; a percent sign that begins no code stands for itself."""
+        return f"url_decode(regexp_replace({x}, r'%(?![0-9A-Fa-f]{{2}})', '%25'))"
+
+    def encoded(self, x: str) -> str:
+        """Form encoding, in which letters, digits and ``_.-~`` stand for themselves."""
+        return f"replace(replace(url_encode({x}), '*', '%2A'), '%7E', '~')"
+
     def array_type(self) -> str:
         return "array<string>"
 
@@ -189,6 +197,12 @@ class Duck(Dialect):
     def seconds(self, x: str) -> str:
         return f"cast(epoch({x}) as bigint)"
 
+    def decoded(self, x: str) -> str:
+        return f"url_decode(replace({x}, '+', ' '))"
+
+    def encoded(self, x: str) -> str:
+        return f"replace(url_encode({x}), '%20', '+')"
+
     def array_type(self) -> str:
         return "varchar[]"
 

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from presswork.functions.rules import CLUSTERABLE
 from presswork.operators.components import connected_components
-from presswork.shared import written
+from presswork.operators.similar import DAY, LOOKBACK_DAYS, similar_titles
 
-LOOKBACK_DAYS, POOL_ROWS, SIMILAR = 7, 500, 0.8
-DAY = 86_400
+POOL_ROWS = 500
 
 
 def first_of(df: DataFrame, key: str) -> DataFrame:
@@ -57,135 +46,6 @@ def event_links(df: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     return near.groupBy("article_id").agg(F.max("before").alias("b")).select("article_id", F.col("b.article_id").alias("earlier_id"))
 
 
-@pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-block ratio of two texts; the second's index is kept while it stays the same."""
-    matcher, last, out = difflib.SequenceMatcher(None), None, []
-    for x, y in zip(a, b):
-        if y != last:
-            matcher.set_seq2(y)
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out)
-
-
-_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
-#: Bits kept of a title: of each letter how often it stands there, up to REPEATS times, and which pairs of letters do.
-REPEATS, LETTER_WORDS, PAIR_WORDS = 5, 3, 8
-_SIGNS = [f"letters{i}" for i in range(LETTER_WORDS)] + [f"pairs{i}" for i in range(PAIR_WORDS)]
-
-
-def _set_bits(at: set[int], words: int) -> list[int]:
-    whole = sum(1 << i for i in at)
-    return [int(x) for x in np.frombuffer(whole.to_bytes(8 * words, "little"), "<i8")]
-
-
-@pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in _SIGNS]))
-def signs(titles: pd.Series) -> pd.DataFrame:
-    """Bits of what a title holds. What shares a bit with another counts as one, so a difference of bits is a difference of titles."""
-    rows = []
-    for title in titles:
-        counts = Counter(title)
-        letters = {i * REPEATS + k for i, c in enumerate(_LETTERS) for k in range(min(counts[c], REPEATS))}
-        pairs = {zlib.crc32(title[i : i + 2].encode()) % (64 * PAIR_WORDS) for i in range(len(title) - 1)}
-        rows.append(_set_bits(letters, LETTER_WORDS) + _set_bits(pairs, PAIR_WORDS))
-    return pd.DataFrame(rows, columns=_SIGNS)
-
-
-def _missing(own: str, other: str, kind: str, words: int) -> str:
-    """SQL: how many bits of one side the other lacks."""
-    return " + ".join(f"bit_count({own}{kind}{i} & ~{other}{kind}{i})" for i in range(words))
-
-
-def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of titles, pair by pair.
-
-    Each row of ``a`` is kept in bits, of which one word after the other is advanced for all pairs at once, with
-    carries; letters are told apart by their last byte, so a length can only come out too large.
-    """
-    x, y = (np.ascontiguousarray(s).view(np.uint32).reshape(len(s), -1) for s in (a, b))
-    held, read = x > 0, y > 0
-    x, y = x.astype(np.uint8), y.astype(np.uint8)
-    words = -(-x.shape[1] // 64)
-    x, held = (np.pad(m, ((0, 0), (0, words * 64 - m.shape[1]))) for m in (x, held))
-    state = np.full((len(x), words), ~np.uint64(0))
-    for j in range(y.shape[1]):
-        equal = (x == y[:, j : j + 1]) & held & read[:, j : j + 1]
-        at = np.packbits(equal, axis=1, bitorder="little").view("<u8")
-        carry = np.zeros(len(x), np.uint64)
-        for w in range(words):
-            old, hit = state[:, w].copy(), state[:, w] & at[:, w]
-            total = old + hit
-            over = total < old
-            total += carry
-            over |= total < carry
-            state[:, w] = total | (old & ~at[:, w])
-            carry = over.astype(np.uint64)
-    return (np.unpackbits((~state).view(np.uint8), axis=1, bitorder="little").astype(bool) & held).sum(1)
-
-
-#: Parts of each group of titles that may be similar; each meets the whole group.
-GROUP_PARTS = 8
-#: Pairs of which common subsequences are found at once.
-PAIRS_AT_ONCE = 4096
-
-
-def _ratios(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of pairs of titles, those whose ratio is ``least`` or more. No ratio exceeds the one that the longest common
-    subsequence would give, so only pairs that pass by it are matched block by block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = difflib.SequenceMatcher(None)
-        for whole in batches:
-            for start in range(0, len(whole), PAIRS_AT_ONCE):
-                batch = whole.slice(start, PAIRS_AT_ONCE)
-                new, old = (np.asarray(c.to_pylist(), np.str_) for c in batch.columns)
-                bound = 2 * common_letters(new, old) >= least * (np.char.str_len(new) + np.char.str_len(old)) - 1e-9
-                chosen, ratios, last = [], [], None
-                for i in np.flatnonzero(bound).tolist():
-                    if old[i] != last:
-                        last = old[i]
-                        matcher.set_seq2(str(last))
-                    matcher.set_seq1(str(new[i]))
-                    ratio = matcher.ratio()
-                    if ratio >= least:
-                        chosen.append(i)
-                        ratios.append(ratio)
-                kept = batch.take(pa.array(chosen, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ratios, pa.float64())], ["title", "earlier_title", "ratio"])
-
-    return run
-
-
-def similar_titles(df: DataFrame, least: float = SIMILAR, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """``(title, earlier_title, ratio)`` of distinct cleaned titles that are similar and occur within the window.
-
-    The ratio is exact; exact bounds prune before it: lengths, as a join key of buckets that can't be further apart;
-    the letters one title lacks of the other; the pairs of neighbouring letters, of which at most the unmatched letters
-    and one more break; and the longest common subsequence. Titles meet in stretches of the window's length and their
-    neighbours.
-    """
-    longest = least / (2 - least)
-    titles = df.select(F.col("plain_title").alias("title"), F.expr(f"floor(unix_timestamp(published_at) / {days * DAY})").alias("stretch")).where("title <> ''").distinct()
-    titles = titles.withColumn("s", signs("title")).select("title", "stretch", F.length("title").alias("n"), "s.*").withColumn("bucket", F.expr("floor(log(1.5D, n))"))
-    old = titles.withColumnsRenamed({c: f"old_{c}" for c in ("stretch", "n", *_SIGNS)} | {"title": "earlier_title"})
-    new = titles.withColumn("old_stretch", F.explode(F.array("stretch", F.col("stretch") - 1))).withColumn("bucket", F.explode(F.expr("array(bucket - 1, bucket, bucket + 1)")))
-    # Work grows with pairs and not with bytes, so groups are dealt into parts, and into partitions that aren't coalesced.
-    dealt = ["old_stretch", "bucket", "part"]
-    partitions = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    old = old.withColumn("part", F.explode(F.expr(f"sequence(0, {GROUP_PARTS - 1})"))).repartition(partitions, *dealt)
-    new = new.withColumn("part", F.expr(f"cast(pmod(xxhash64(title), {GROUP_PARTS}) as int)")).repartition(partitions, *dealt)
-    pairs = new.join(old, dealt).where(f"title <> earlier_title and least(n, old_n) >= {longest} * greatest(n, old_n)")
-    both = f"{least}D * (n + old_n) - 1e-9D"
-    letters = [f"2 * ({n} - ({_missing(own, other, 'letters', LETTER_WORDS)})) >= {both}" for n, own, other in (("n", "", "old_"), ("old_n", "old_", ""))]
-    # m matched letters in k runs hold m - k pairs, and k is at most the unmatched n + old_n - 2m, and one.
-    fewest = f"{1.5 * least - 1}D * (n + old_n) - 1 - 1e-9D"
-    neighbours = [f"{n} - 1 - ({_missing(own, other, 'pairs', PAIR_WORDS)}) >= {fewest}" for n, own, other in (("n", "", "old_"), ("old_n", "old_", ""))]
-    close = pairs.where(" and ".join(letters + neighbours)).select("title", "earlier_title").distinct().sortWithinPartitions("earlier_title")
-    return close.mapInArrow(_ratios(least), "title string, earlier_title string, ratio double")
-
-
 def similar_links(df: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     """``(article_id, earlier_id)``: the latest earlier story whose title is similar (equal ones too), without conflict.
 
@@ -217,42 +77,6 @@ def find_duplicates(df: DataFrame) -> DataFrame:
     return every.groupBy("article_id").agg(F.min_by("match_id", "level").alias("match_id"), F.min("level").alias("level"))
 
 
-def assign_events(df: DataFrame) -> DataFrame:
-    """``(article_id, event_id, level)``: each article joins the event of the earlier article that it matches (see
-    find_duplicates), or begins one, whose id is its own (level null).
-
-    Every article has one match at most, and an earlier one, so each chain of matches ends in one article.
-    """
-    found = written(find_duplicates(df), "matches")
-    grouped = connected_components(found.selectExpr("article_id as a", "match_id as b"))
-    heads = grouped.join(found, grouped.node == found.article_id, "left_anti").select("component", F.col("node").alias("event_id"))
-    placed = grouped.join(heads, "component").select(F.col("node").alias("article_id"), "event_id")
-    return df.select("article_id").join(placed, "article_id", "left").join(found.select("article_id", "level"), "article_id", "left").select("article_id", F.coalesce("event_id", "article_id").alias("event_id"), "level")
-
-
-EXCLUDED = ("REJECTED", "MERGED")
-
-
-def reconcile_pairs(df: DataFrame) -> DataFrame:
-    """``(article_id, earlier_id, reason)`` between stories that aren't in EXCLUDED: links that connect what equal addresses,
-    equal title hashes, similar titles and event fingerprints connect within the window, conflicting companies never.
-
-    Of a group of equals each links to its first story, of events to the one before it, so no group gives all its pairs.
-    An article with several reasons for one link has the first of: url, hash, similar, event.
-    """
-    rows = df.where(~F.col("status").isin(*EXCLUDED))
-    legs = [first_of(rows, "clean_url"), first_of(rows, "content_hash"), similar_links(rows), event_links(rows)]
-    names = ("url", "hash", "similar", "event")
-    every = None
-    for place, (leg, name) in enumerate(zip(legs, names)):
-        leg = leg.toDF("article_id", "earlier_id").select("*", F.lit(place).alias("place"), F.lit(name).alias("reason"))
-        every = leg if every is None else every.unionByName(leg)
-    own = rows.selectExpr("article_id", "published_at", "real_companies")
-    other = rows.selectExpr("article_id as earlier_id", "published_at as earlier_at", "real_companies as earlier_companies")
-    near = every.join(own, "article_id").join(other, "earlier_id").where(f"abs(unix_timestamp(published_at) - unix_timestamp(earlier_at)) <= {LOOKBACK_DAYS * DAY} and not {conflicts('real_companies', 'earlier_companies')}")
-    return near.groupBy("article_id", "earlier_id").agg(F.min_by("reason", "place").alias("reason"))
-
-
 def exact_clusters(df: DataFrame) -> DataFrame:
     """``(article_id, cluster_id)`` of stories that equal addresses or title hashes connect, two at least."""
     edges = first_of(df, "clean_url").unionByName(first_of(df, "content_hash")).selectExpr("article_id as a", "founder_id as b")

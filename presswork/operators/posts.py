@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from presswork.functions import rules as R
-from presswork.functions.dialect import Dialect
-from presswork.operators.dedup import seq_ratio
+from presswork.functions.dialect import SPARK, Dialect
+from presswork.operators.similar import seq_ratio
+from presswork.plans.stories import research_priority
 from presswork.sources.feeds import drop_incomplete, split_publisher
 
 # --- fixed values: limits, weights and patterns ---
@@ -191,17 +192,24 @@ def baseline(d: Dialect) -> list[dict[str, str]]:
     ]
 
 
-def match_candidates(stories: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(article_id, position, title, source_name, link)``: of found ``entries`` (with the story's ``article_id``, in the order of
-    ``position``) those whose title, without the publisher, is like the story's, each link once, as many as its ``held``
-    sources leave of MOST_SOURCES. Entries without a title or link are left out."""
-    rows = split_publisher(drop_incomplete(entries.withColumnRenamed("link", "article_url")).withColumn("source_name", F.lit("Google News")))
-    rows = rows.join(stories.selectExpr("article_id", "plain_title", "held"), "article_id")
+def match_candidates(stories: DataFrame, entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(article_id, position, title, source_name, link, priority)``: of found ``entries`` (with the story's ``article_id``, in the
+    order of ``position``) those whose title, without what stands behind its last dash, is like the story's, each link once and
+    none that ``known`` (article_id, link) has.
+
+    A story takes them until it has MOST_SOURCES with those it ``held``, and always the first, since it is full only when one is
+    added. Entries without a title or link are left out.
+    """
+    rows = split_publisher(drop_incomplete(entries.withColumnRenamed("link", "article_url")).withColumn("source_name", F.lit("Google News")), below=None)
+    rows = rows.join(stories.selectExpr("article_id", "plain_title", "held"), "article_id").withColumn("link", F.trim("article_url"))
+    if known is not None:
+        rows = rows.join(known.select("article_id", F.trim("link").alias("link")).distinct(), ["article_id", "link"], "left_anti")
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^a-z0-9\s]", ""), r"\s+", " "))
-    like = rows.withColumn("ratio", seq_ratio("plain_title", plain)).where(F.col("ratio") >= CANDIDATE).withColumn("link", F.trim("article_url"))
+    like = rows.withColumn("ratio", seq_ratio("plain_title", plain)).where(F.col("ratio") >= CANDIDATE)
     first = like.withColumn("n", F.row_number().over(W.partitionBy("article_id", "link").orderBy("position"))).where("n = 1")
-    taken = first.withColumn("n", F.row_number().over(W.partitionBy("article_id").orderBy("position"))).where(f"n <= {MOST_SOURCES} - held")
-    return taken.select("article_id", "position", "title", "source_name", "link")
+    taken = first.withColumn("n", F.row_number().over(W.partitionBy("article_id").orderBy("position"))).where(f"n <= greatest(1, {MOST_SOURCES} - held)")
+    keyed = taken.withColumn("source_key", F.lower(F.trim("source_name")))
+    return keyed.select("article_id", "position", "title", "source_name", "link", F.expr(research_priority(SPARK)).alias("priority"))
 
 
 def reject_reason(d: Dialect, x: str) -> str:
@@ -237,8 +245,6 @@ def candidates(stories: DataFrame, first_facts: DataFrame) -> DataFrame:
 
     ``stories`` has ``angles`` (array), ``impact`` and what hooks name; ``first_facts`` has one row for each story.
     """
-    from presswork.functions.dialect import SPARK
-
     rows = stories.join(first_facts, "article_id", "left").select("*", F.posexplode("angles").alias("position", "strategy"))
     hooks = rows.withColumn("hook", F.expr(hook(SPARK))).where("hook is not null")
     return hooks.withColumn("post", F.expr(post(SPARK)))
@@ -246,8 +252,6 @@ def candidates(stories: DataFrame, first_facts: DataFrame) -> DataFrame:
 
 def scored(rows: DataFrame) -> DataFrame:
     """Add ``similarity`` to the headline, the checks and ``quality``."""
-    from presswork.functions.dialect import SPARK
-
     cleaned = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", ""), r"\s+", " "))
     rows = rows.withColumn("similarity", seq_ratio(cleaned("post"), cleaned("title")))
     rows = rows.withColumns({n: F.expr(e) for n, e in checks(SPARK).items()})

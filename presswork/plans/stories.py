@@ -61,7 +61,8 @@ ARTICLES = {
     "title": f"concat({_pick('o_custkey % 8', _SUBJECTS)}, {_pick('o_orderkey % 30', _TEMPLATES, quoted=False)})",
     "source_name": _pick("o_orderkey % 7", _SOURCES),
     "article_url": "concat('https://Site', cast(o_orderkey % 7 as string), '.Example.com/a/', cast(o_orderkey % 1000 as string), "
-    "case o_orderkey % 4 when 0 then '/' when 1 then '?utm_source=x&id=1' when 2 then '?ref=y#top' else '' end)",
+    "case o_orderkey % 4 when 0 then '/' when 1 then '?utm_source=x&id=1' when 2 then '?ref=y#top' "
+    "else case when o_orderkey % 3 = 0 then '?q=a%20b&c==d&e=' else '?q=a+b&utm_medium=z&c=%3Dd' end end)",
     "country": "case when o_custkey % 3 = 0 then 'India' else 'Global' end",
     "published_at": f"{STAMP} - interval '1' hour * cast(o_orderkey % 3001 as int)",
     "summary": "case when o_custkey % 5 = 0 then 'Analysts in Mumbai expect growth. Revenue rose to Rs 1,200 crore. CEO Karan Shah spoke in India.' else '' end",
@@ -85,24 +86,30 @@ def _clean(d: Dialect, x: str) -> str:
     return f"trim({d.replace(stripped, r'\s+', ' ')})"
 
 
+_SITE = r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?)"
+
+
 def _url(d: Dialect) -> dict[str, str]:
-    """Pieces of an address: scheme and host in lower case, path, query without tracking."""
+    """Pieces of an address: scheme and host in lower case, path, query."""
+    plain = d.replace("article_url", r"[\t\r\n]")
     return {
-        "url_host": f"lower({d.extract('article_url', '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)')})",
-        "url_path": d.extract("article_url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"),
-        "url_query": d.extract("article_url", r"^[^?#]*\?([^#]*)"),
+        "url_host": f"lower({d.extract(plain, _SITE)})",
+        "url_path": d.extract(plain, _SITE + r"([^?#]*)", 2),
+        "url_query": d.extract(plain, r"^[^?#]*\?([^#]*)"),
     }
 
 
 def _url_joined(d: Dialect) -> dict[str, str]:
-    key = "lower(split_part(x, '=', 1))"
-    kept = d.where(d.split("url_query", "&"), f"split_part(x, '=', 2) <> '' and not starts_with({key}, 'utm_') and {key} not in ({', '.join(d.lit(t) for t in R.TRACKING)})")
-    if not d.duck:
-        kept = kept.replace("starts_with", "startswith")
+    """The address without its fragment, tracking parameters and parameters without a value; what is left of the query is decoded
+    and encoded anew, so that forms of one address become one."""
+    key, value = d.decoded("split_part(x, '=', 1)"), "substr(x, instr(x, '=') + 1)"
+    low = f"lower({key})"
+    starts = "starts_with" if d.duck else "startswith"
+    kept = d.where(d.split("url_query", "&"), f"instr(x, '=') > 0 and {value} <> '' and not {starts}({low}, 'utm_') and {low} not in ({', '.join(d.lit(t) for t in R.TRACKING)})")
+    written = d.each(kept, f"concat({d.encoded(key)}, '=', {d.encoded(d.decoded(value))})")
     path = f"case when length(url_path) > 1 then {d.replace('url_path', '/+$')} else url_path end"
-    return {
-        "clean_url": f"case when coalesce(article_url, '') = '' then '' when url_host = '' then article_url else concat(url_host, {path}, case when {d.size(kept)} > 0 then concat('?', {d.join(kept, '&')}) else '' end) end"
-    }
+    query = f"case when contains(url_query, '=') then {d.join(written, '&')} else '' end"
+    return {"clean_url": f"case when coalesce(article_url, '') = '' then '' else concat(url_host, {path}, case when {query} <> '' then concat('?', {query}) else '' end) end"}
 
 
 def _hashes(d: Dialect) -> dict[str, str]:
@@ -176,9 +183,13 @@ def _after_classes(d: Dialect, tags: str) -> dict[str, str]:
     }
 
 
+def research_priority(d: Dialect) -> str:
+    """How much a source counts in research, by ``source_key``."""
+    return f"case when {d.has('source_key', R.TIER_1)} then 100 when {d.has('source_key', R.TIER_2)} then 85 when {d.has('source_key', R.TIER_3)} then 68 when {d.has('source_key', ('general',))} then 42 else 60 end"
+
+
 def _kinds(d: Dialect) -> dict[str, str]:
     large = "amount >= 1000"
-    priority = f"case when {d.has('source_key', R.TIER_1)} then 100 when {d.has('source_key', R.TIER_2)} then 85 when {d.has('source_key', R.TIER_3)} then 68 when {d.has('source_key', ('general',))} then 42 else 60 end"
     return {
         "company_count": d.size("companies"),
         "real_companies": d.where(d.each("companies", "lower(x)"), f"x not in ({', '.join(d.lit(c) for c in R.PURE_REGULATORS)})"),
@@ -190,7 +201,7 @@ def _kinds(d: Dialect) -> dict[str, str]:
             when {d.matches("raw", *R.WRAP, ignore_case=True)} and not major_catalyst then 'MARKET_WRAP'
             when {d.matches("raw", R.MOVE, ignore_case=True)} then 'MARKET_EVENT' else 'SINGLE_EVENT' end""",
         "source_score": "case tier " + " ".join(f"when {t} then {s}" for t, s in R.TIER_SCORES.items()) + " end",
-        "research_priority": priority,
+        "research_priority": research_priority(d),
         "has_shape": "(is_listicle or is_filler or is_fluff)",
         "noise_reasons": d.plus(
             d.present((("is_listicle", R.NOISE_LISTICLE), ("is_filler", R.NOISE_FILLER), ("is_fluff", R.NOISE_FLUFF))),

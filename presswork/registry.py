@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import rules as R
 from presswork.functions.dialect import DUCK, SPARK, Dialect
-from presswork.operators import dedup, facts, feed, posts
+from presswork.operators import dedup, events, facts, feed, posts, reconcile, similar
 from presswork.operators import reports as reports_text
 from presswork.plans import stories as plan
 from presswork.plans.stories import ARTICLES_SQL
@@ -99,6 +99,18 @@ for _name, _columns in PROJECTIONS.items():
     register(_name, _projection(_columns), f"select article_id, {', '.join(column(DUCK, n) for n in _columns)} from ({plan.stories_sql()})")
 
 
+#: Addresses by another way: parameters one by one, in rows.
+_ADDRESS_SQL = f"""with a as (select article_id, split_part(article_url, '#', 1) as whole from ({ARTICLES_SQL})),
+    p as (select article_id, split_part(whole, '?', 1) as head, string_split(split_part(whole, '?', 2), '&') as pairs from a),
+    q as (select article_id, place, pairs[place] as pair from (select *, unnest(range(1, len(pairs) + 1)) as place from p)),
+    k as (select article_id, place, url_decode(replace(regexp_extract(pair, '^([^=]*)=', 1), '+', ' ')) as name, url_decode(replace(regexp_extract(pair, '^[^=]*=(.*)$', 1), '+', ' ')) as value from q where position('=' in pair) > 0),
+    g as (select article_id, string_agg(replace(url_encode(name), '%20', '+') || '=' || replace(url_encode(value), '%20', '+'), '&' order by place) as query from k
+        where value <> '' and left(lower(name), 4) <> 'utm_' and lower(name) not in ({", ".join(DUCK.lit(t) for t in R.TRACKING)}) group by 1)
+    select article_id, lower(regexp_extract(head, '^[a-zA-Z]+://[^/]*')) || case when length(regexp_replace(head, '^[a-zA-Z]+://[^/]*', '')) > 1 then rtrim(regexp_replace(head, '^[a-zA-Z]+://[^/]*', ''), '/') else regexp_replace(head, '^[a-zA-Z]+://[^/]*', '') end
+        || coalesce('?' || query, '') as clean_url from p left join g using (article_id)"""
+ORACLES["normalize_url"] = _ADDRESS_SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked feed of processed stories: the ten best ready for review."""
     rows = _slim(spark, sf_dir, "title", "category", "event_type", "main_company", "final_score", "published_at", "status")
@@ -110,13 +122,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORIES_SQL = plan.stories_sql()
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells a table's files from others': their number, bytes, latest time, and a checksum of these by file."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.expr("bit_xor(xxhash64(path, length, modificationTime))")).first())
 
 
 def _slim(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Columns of the stored stories: an application processes an input once and keeps it as a table. What follows filters and joins on derived columns, which would otherwise be spelled
-    out again in every predicate that is pushed down; of the table only the asked columns are read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Columns of the stored stories: an application processes an input once and keeps it as a table, until the input's files
+    change. What follows filters and joins on derived columns, which would otherwise be spelled out again in every predicate
+    that is pushed down; of the table only the asked columns are read."""
+    key = (spark.sparkContext.applicationId, sf_dir, *_stamp(spark, f"{sf_dir}/orders.parquet"))
     if key not in _STORED:
         _STORED[key] = written(plan.stories(spark, sf_dir), "stories")
     return _STORED[key].select("article_id", *columns)
@@ -151,11 +170,9 @@ register("dedup_event", lambda spark, sf_dir: dedup.event_links(_slim(spark, sf_
     p as (select article_id, published_at, lag({{'t': published_at, 'i': article_id}}) over (partition by event_type, company order by published_at, article_id) as b from e),
     n as (select article_id, max(b) as b from p where b is not null and epoch(published_at) - epoch(b.t) <= 7 * 86400 group by article_id)
     select article_id, b.i as earlier_id from n""")
-register("title_similarity", lambda spark, sf_dir: dedup.similar_titles(_slim(spark, sf_dir, "published_at", "plain_title")))
+register("title_similarity", lambda spark, sf_dir: similar.similar_titles(_slim(spark, sf_dir, "published_at", "plain_title")))
 register("dedup_similar", lambda spark, sf_dir: dedup.similar_links(_slim(spark, sf_dir, "published_at", "plain_title", "real_companies")))
 register("find_duplicates", lambda spark, sf_dir: dedup.find_duplicates(_slim(spark, sf_dir, "published_at", "plain_title", "real_companies", "clean_url", "content_hash", "event_type")))
-register("duplicate_clusters", lambda spark, sf_dir: dedup.exact_clusters(_slim(spark, sf_dir, "published_at", "clean_url", "content_hash")))
-register("choose_primary", lambda spark, sf_dir: primaries(spark, sf_dir))
 
 
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,9 +523,11 @@ def _plan_sql(rounds: int = 12) -> str:
 
 
 _PLAN_SQL = _plan_sql()
-register("reconciliation_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).where("article_id <> primary_id").groupBy("primary_id", "size").agg(F.array_join(F.array_sort(F.collect_list("article_id")), ",").alias("duplicate_ids")), f"""
+register("duplicate_clusters", lambda spark, sf_dir: dedup.exact_clusters(_slim(spark, sf_dir, "published_at", "clean_url", "content_hash")), f"select article_id, least as cluster_id from ({_PLAN_SQL}) where size > 1")
+register("choose_primary", lambda spark, sf_dir: primaries(spark, sf_dir), f"select least as cluster_id, primary_id, size from ({_PLAN_SQL}) where size > 1 and article_id = primary_id")
+register("exact_reconciliation_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).where("article_id <> primary_id").groupBy("primary_id", "size").agg(F.array_join(F.array_sort(F.collect_list("article_id")), ",").alias("duplicate_ids")), f"""
     select primary_id, size, string_agg(cast(article_id as varchar), ',' order by article_id) as duplicate_ids from ({_PLAN_SQL}) where size > 1 and article_id <> primary_id group by 1, 2""")
-register("apply_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).selectExpr("article_id", "if(article_id <> primary_id, 'MERGED', status) as status", "if(article_id <> primary_id, primary_id, null) as merged_into_id").selectExpr("article_id", "status", "coalesce(cast(merged_into_id as string), '') as merged_into_id"), f"""
+register("exact_apply_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).selectExpr("article_id", "if(article_id <> primary_id, 'MERGED', status) as status", "if(article_id <> primary_id, primary_id, null) as merged_into_id").selectExpr("article_id", "status", "coalesce(cast(merged_into_id as string), '') as merged_into_id"), f"""
     select article_id, case when size > 1 and article_id <> primary_id then 'MERGED' else status end as status, case when size > 1 and article_id <> primary_id then cast(primary_id as varchar) else '' end as merged_into_id from ({_PLAN_SQL})""")
 _NEXT = "2001-08-02 00:00:00"
 register("rescore", lambda spark, sf_dir: plan.stories(spark, sf_dir, _NEXT).select("article_id", "freshness_bonus", "staleness_multiplier", "final_score"), f"select article_id, freshness_bonus, staleness_multiplier, final_score from ({plan.stories_sql(_NEXT)})")
@@ -578,7 +597,7 @@ _HOOKS_SQL = f"""with a as ({ORACLES["candidate_angles"]}), i as ({ORACLES["mark
     select *, {posts.post(DUCK)} as post from h where hook is not null"""
 register("hook_candidates", lambda spark, sf_dir: post_candidates(spark, sf_dir).select("article_id", "strategy", "hook"), f"select article_id, strategy, hook from ({_HOOKS_SQL})")
 register("compose_post", lambda spark, sf_dir: post_candidates(spark, sf_dir).select("article_id", "strategy", "post"), f"select article_id, strategy, post from ({_HOOKS_SQL})")
-register("reject_reason", lambda spark, sf_dir: table(spark, sf_dir, "documents").selectExpr("doc_id", f"{posts.reject_reason(SPARK, 'text')} as reason"))
+register("reject_reason", lambda spark, sf_dir: table(spark, sf_dir, "documents").selectExpr("doc_id", f"{posts.reject_reason(SPARK, 'text')} as reason"), f"select doc_id, {posts.reject_reason(DUCK, 'text')} as reason from documents")
 register("draft_quality", lambda spark, sf_dir: posts.scored(post_candidates(spark, sf_dir)).select("article_id", "strategy", *posts.WEIGHTS, "quality"))
 register("headline_rewrite", lambda spark, sf_dir: posts.scored(post_candidates(spark, sf_dir)).selectExpr("article_id", "strategy", "similarity", "not adds_info as rewrite"))
 register("select_post", lambda spark, sf_dir: posts.select_post(posts.scored(post_candidates(spark, sf_dir))))
@@ -613,8 +632,64 @@ register("upsert_report_children", upsert_report_children, f"select concat(repor
 # --- events, research and baseline posts ---
 
 _MATCHED = ("published_at", "plain_title", "real_companies", "clean_url", "content_hash", "event_type")
-register("assign_events", lambda spark, sf_dir: dedup.assign_events(_slim(spark, sf_dir, *_MATCHED)))
-register("reconcile_pairs", lambda spark, sf_dir: dedup.reconcile_pairs(_slim(spark, sf_dir, "status", *_MATCHED)))
+register("assign_events", lambda spark, sf_dir: events.assign_events(_slim(spark, sf_dir, *_MATCHED)))
+_SWEPT = ("status", "final_score", *_MATCHED)
+register("reconcile_pairs", lambda spark, sf_dir: reconcile.reconcile_pairs(_slim(spark, sf_dir, *_SWEPT)))
+
+
+def swept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stories, and the plan of a sweep by all legs."""
+    stories = _slim(spark, sf_dir, "tier", "source_count", "source_name", "article_url", "title", *_SWEPT)
+    return stories, reconcile.plan_merges(stories, written(reconcile.reconcile_pairs(stories), "sweep-pairs"))
+
+
+def reconciliation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sweep would merge: each duplicate with its primary, the size of their cluster, and a reason."""
+    return swept(spark, sf_dir)[1].where("article_id <> primary_id").select("primary_id", F.col("article_id").alias("duplicate_id"), "size", "reason")
+
+
+def apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stories, merges = swept(spark, sf_dir)
+    return reconcile.merged_stories(stories.select("article_id", "status"), merges)
+
+
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of all stories after a sweep's merge."""
+    stories, merges = swept(spark, sf_dir)
+    sources = stories.selectExpr("article_id", "source_name", f"{_RAW} as url", "published_at", "title")
+    return reconcile.united_sources(sources, stories, merges).select("article_id", "source_name", "url")
+
+
+register("reconciliation_plan", reconciliation_plan)
+register("apply_plan", apply_plan)
+register("merged_sources", merged_sources)
+
+
+def _exact_sweep_sql(rounds: int = 40) -> str:
+    """The clusters of all pairs that address, title hash or event match, without links: pairs as the rules have them, then
+    rounds of least ids."""
+    order = "(-{0}.final_score, -{0}.t, {0}.article_id)"
+    first, other = order.format("a"), order.format("b")
+    days = f"abs(case when {first} < {other} then floor((a.t - b.t) / 86400.0) else floor((b.t - a.t) / 86400.0) end)"
+    steps = "".join(f", r{i} as materialized (select p.a as node, least(min(x.least), min(y.least)) as least from p join r{i - 1} x on x.node = p.a join r{i - 1} y on y.node = p.b group by 1)" for i in range(1, rounds + 1))
+    return f"""with s as materialized (select article_id, epoch(published_at)::bigint as t, final_score, real_companies, clean_url, content_hash, event_type from ({STORIES_SQL}) where status not in ('REJECTED', 'MERGED')),
+        e as materialized (select article_id, t, event_type, unnest(real_companies) as company from s where event_type in ({", ".join(DUCK.lit(x) for x in R.CLUSTERABLE)})),
+        m as (select a.article_id as a, b.article_id as b from s a join s b on a.clean_url = b.clean_url and a.article_id < b.article_id where a.clean_url <> '' union
+            select a.article_id, b.article_id from s a join s b on a.content_hash = b.content_hash and a.article_id < b.article_id where a.content_hash <> '' union
+            select a.article_id, b.article_id from e a join e b on a.event_type = b.event_type and a.company = b.company and a.article_id < b.article_id where abs(a.t - b.t) <= 604800),
+        w as (select m.a, m.b from m join s a on a.article_id = m.a join s b on b.article_id = m.b where {days} <= 7
+            and not (len(a.real_companies) > 0 and len(b.real_companies) > 0 and not list_has_any(a.real_companies, b.real_companies))),
+        p as materialized (select a, b from w union all select b, a from w), r0 as (select distinct a as node, a as least from p){steps}
+        select node as article_id, least as cluster_id from r{rounds}"""
+
+
+def exact_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of a sweep by address, title hash and event."""
+    pairs = reconcile.reconcile_pairs(_slim(spark, sf_dir, *_SWEPT), legs=("url", "hash", "event"))
+    return dedup.connected_components(pairs.selectExpr("article_id as a", "earlier_id as b")).selectExpr("node as article_id", "component as cluster_id")
+
+
+register("exact_sweep", exact_sweep, _exact_sweep_sql())
 
 
 def stream_event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -647,7 +722,7 @@ def found_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(articles, "other").selectExpr("article_id", "position", "concat(title, ' - ', source_name) as title", "link")
 
 
-register("match_candidates", lambda spark, sf_dir: posts.match_candidates(_slim(spark, sf_dir, "plain_title").withColumn("held", F.lit(1)), found_entries(spark, sf_dir)))
+register("match_candidates", lambda spark, sf_dir: posts.match_candidates(_slim(spark, sf_dir, "plain_title").withColumn("held", (F.col("article_id") % 8).cast("int")), found_entries(spark, sf_dir)))
 register("confirmed_facts", lambda spark, sf_dir: facts.confirmed(line_facts(spark, sf_dir), facts.fact_conflicts(line_facts(spark, sf_dir))).select("report_id", "fact_type", "pos", "num_value"), f"""
     with f as ({_LINE_SQL}), c as (select distinct report_id, fact_type from ({_CONFLICTS_SQL}))
     select report_id, fact_type, pos, num_value from f where fact_type in ({", ".join(DUCK.lit(x) for x in R.NUMERIC_FACTS)}) and (report_id, fact_type) not in (select * from c)""")

@@ -16,10 +16,11 @@ def publication_time(text: Column, fallback: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in TIMES), fallback)
 
 
-def split_publisher(df: DataFrame) -> DataFrame:
-    """Take a publisher of under 50 characters off the end of a title, behind its last dash."""
+def split_publisher(df: DataFrame, below: int | None = 50) -> DataFrame:
+    """Take a publisher of under ``below`` characters off the end of a title, behind its last dash; without a bound, whatever
+    stands there, which is how found entries are read."""
     head, tail = F.trim(F.regexp_extract("title", r"(?s)^(.*) - (.*)$", 1)), F.trim(F.regexp_extract("title", r"(?s)^(.*) - (.*)$", 2))
-    fits = (head != "") & (tail != "") & (F.length(tail) < 50)
+    fits = (head != "") & (tail != "") & (F.length(tail) < below) if below else F.contains("title", F.lit(" - "))
     return df.withColumns({"title": F.when(fits, head).otherwise(F.col("title")), "source_name": F.when(fits, tail).otherwise(F.col("source_name"))})
 
 

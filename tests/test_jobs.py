@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pytest
 from presswork import registry
-from presswork.operators import dedup, feed
+from presswork.operators import dedup, events, feed, reconcile, similar
 from presswork.operators.components import connected_components
 from presswork.plans import stories as plan
 from presswork.shared import shared_path
@@ -71,14 +71,14 @@ def test_common_letters_are_the_longest_common_subsequence():
     texts = ["".join(rng.choice(list("abc "), size)) for size in rng.integers(1, 150, 120)]
     pairs = list(zip(texts, reversed(texts)))
     new, old = (np.array(side) for side in zip(*pairs))
-    assert dedup.common_letters(new, old).tolist() == [longest(a, b) for a, b in pairs]
+    assert similar.common_letters(new, old).tolist() == [longest(a, b) for a, b in pairs]
 
 
 def test_similar_titles(stories):
     few = stories.where("article_id % 5 = 0")
     titles = sorted({(r.plain_title, int(r.published_at.replace(tzinfo=datetime.timezone.utc).timestamp() // (7 * 86400))) for r in few.collect()})
     want = {(a, b) for a, i in titles for b, j in titles if a != b and 0 <= i - j <= 1 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.8}
-    assert {(r.title, r.earlier_title) for r in dedup.similar_titles(few).collect()} == want
+    assert {(r.title, r.earlier_title) for r in similar.similar_titles(few).collect()} == want
 
 
 def test_duplicates_keep_their_level(stories):
@@ -216,9 +216,9 @@ def test_events_and_pairs(spark):
         row(8, 6, "conflicting words", "paytm", url="u1"),
     ]
     frame = spark.createDataFrame(rows, STORY)
-    pairs = {(r.article_id, r.earlier_id): r.reason for r in dedup.reconcile_pairs(frame).collect()}
+    pairs = {(r.article_id, r.earlier_id): r.reason for r in reconcile.reconcile_pairs(frame).collect()}
     assert pairs == {(2, 1): "similar", (3, 2): "event", (6, 1): "url"}
-    events = {r.article_id: (r.event_id, r.level) for r in dedup.assign_events(frame).collect()}
+    events = {r.article_id: (r.event_id, r.level) for r in events.assign_events(frame).collect()}
     assert events == {1: (1, None), 2: (1, 4), 3: (1, 5), 4: (4, None), 5: (5, None), 6: (1, 2), 7: (1, 5), 8: (1, 2)}
 
 

@@ -88,4 +88,10 @@ def test_candidates_of_a_search(spark):
         (1, 3, "Acme buys rival - Mint", "l3"), (1, 4, "Acme buys rival for crores", "l4"), (1, 5, None, "l5"), (1, 6, "Acme buys rival", ""), (2, 0, "Acme buys rival", "l6"),
     ]
     got = posts.match_candidates(stories, spark.createDataFrame(entries, "article_id long, position int, title string, link string")).orderBy("position").collect()
-    assert [(r.position, r.title, r.source_name, r.link) for r in got] == [(0, "Acme buys rival for ten crore", "Reuters", "l0"), (3, "Acme buys rival", "Mint", "l3")]
+    assert [(r.position, r.title, r.source_name, r.link, r.priority) for r in got] == [(0, "Acme buys rival for ten crore", "Reuters", "l0", 85), (3, "Acme buys rival", "Mint", "l3", 85)]
+    long = "A publisher " * 6
+    entries = spark.createDataFrame([(1, 0, f"Acme buys rival for ten crore - {long}", "l0"), (1, 1, f"Acme buys rival for ten crore - {long}", "l1"), (1, 2, "Acme buys rival for ten crore", "l2")], "article_id long, position int, title string, link string")
+    known = spark.createDataFrame([(1, "l0")], "article_id long, link string")
+    for held, want in ((6, ["l1"]), (9, ["l1"]), (5, ["l1"]), (4, ["l1", "l2"])):
+        got = posts.match_candidates(stories.selectExpr("article_id", "plain_title", f"{held} as held"), entries, known).orderBy("position").collect()
+        assert [r.link for r in got] == want and got[0].source_name == long.strip()

@@ -29,6 +29,11 @@ def test_addresses(spark):
         "HTTP://A.b/": "http://a.b/",
         "https://a.b/c///": "https://a.b/c",
         "https://a.b/c?x=&y=1&GCLID=3": "https://a.b/c?y=1",
+        "https://a.b/c?q=a%20b&c==d": "https://a.b/c?q=a+b&c=%3Dd",
+        "https://a.b/c?q=a+b&%75tm_x=1&c=%3Dd": "https://a.b/c?q=a+b&c=%3Dd",
+        "https://a.b/c?q=%zz&r=100%&s=~*&t=%C3%A9": "https://a.b/c?q=%25zz&r=100%25&s=~%2A&t=%C3%A9",
+        "https://a.b?novalue&=v": "https://a.b?=v",
+        "a.b/c/?ref=1#x": "a.b/c",
         "": "",
         "not an address": "not an address",
     }
