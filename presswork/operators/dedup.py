@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions.rules import CLUSTERABLE
 from presswork.operators.components import connected_components
-from presswork.operators.similar import DAY, LOOKBACK_DAYS, similar_titles
+from presswork.operators.similar import DAY, LOOKBACK_DAYS, candidate_titles, stretched, verified
 
 POOL_ROWS = 500
 
@@ -46,19 +46,21 @@ def event_links(df: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     return near.groupBy("article_id").agg(F.max("before").alias("b")).select("article_id", F.col("b.article_id").alias("earlier_id"))
 
 
-def similar_links(df: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """``(article_id, earlier_id)``: the latest earlier story whose title is similar (equal ones too), without conflict.
+def similar_links(df: DataFrame, days: int = LOOKBACK_DAYS, new: DataFrame | None = None) -> DataFrame:
+    """``(article_id, earlier_id)``: the latest earlier story whose title is similar (equal ones too), without conflict. Where
+    ``new``, some of the articles of ``df``, is given, of these only.
 
     Only similar titles meet, in stretches of the window's length, and each article keeps one link; but an article does
     meet every earlier one of a similar title in its window, so a title that repeats very often there costs its square.
     """
-    pairs = similar_titles(df, days=days).select("title", "earlier_title")
-    same = df.select(F.col("plain_title").alias("title"), F.col("plain_title").alias("earlier_title")).where("title <> ''").distinct()
-    tied = df.select("article_id", "published_at", "real_companies", F.col("plain_title").alias("title"))
-    old = tied.selectExpr("title as earlier_title", "article_id as earlier_id", "published_at as earlier_at", "real_companies as earlier_companies")
+    asked = df if new is None else new
+    pairs = verified(candidate_titles(stretched(df, days), days=days, asked=None if new is None else stretched(new, days))).select("title", "earlier_title")
+    same = asked.select(F.col("plain_title").alias("title"), F.col("plain_title").alias("earlier_title")).where("title <> ''").distinct()
+    columns = ("article_id", "published_at", "real_companies", F.col("plain_title").alias("title"))
+    old = df.select(*columns).selectExpr("title as earlier_title", "article_id as earlier_id", "published_at as earlier_at", "real_companies as earlier_companies")
     old = old.withColumn("stretch", F.expr(f"floor(unix_timestamp(earlier_at) / {days * DAY})"))
-    new = tied.withColumn("stretch", F.explode(F.expr(f"array(floor(unix_timestamp(published_at) / {days * DAY}), floor(unix_timestamp(published_at) / {days * DAY}) - 1)")))
-    met = new.join(pairs.unionByName(same), "title").join(old, ["earlier_title", "stretch"])
+    place = f"floor(unix_timestamp(published_at) / {days * DAY})"
+    met = asked.select(*columns).withColumn("stretch", F.explode(F.expr(f"array({place}, {place} - 1)"))).join(pairs.unionByName(same), "title").join(old, ["earlier_title", "stretch"])
     met = met.where(f"(earlier_at, earlier_id) < (published_at, article_id) and unix_timestamp(published_at) - unix_timestamp(earlier_at) <= {days * DAY} and not {conflicts('real_companies', 'earlier_companies')}")
     return met.groupBy("article_id").agg(F.max(F.struct("earlier_at", "earlier_id")).alias("e")).select("article_id", F.col("e.earlier_id").alias("earlier_id"))
 

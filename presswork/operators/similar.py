@@ -170,9 +170,10 @@ def with_prefix(titles: DataFrame, least: float, ranks: dict[str, int]) -> DataF
     return titles.withColumn("prefix", rarest("title"))
 
 
-def candidate_titles(df: DataFrame, least: float = SIMILAR, days: int = LOOKBACK_DAYS) -> DataFrame:
+def candidate_titles(df: DataFrame, least: float = SIMILAR, days: int = LOOKBACK_DAYS, asked: DataFrame | None = None) -> DataFrame:
     """``(title, earlier_title)``, distinct and unequal: a superset of the similar ones of ``df(title, stretch)`` that occur
-    in one stretch, or the earlier in the stretch before.
+    in one stretch, or the earlier in the stretch before. Where ``asked`` (title, stretch), part of ``df``, is given, only its
+    titles are looked for.
 
     An inverted index from stretches and rare numbered letters gives the pairs: only titles whose prefixes share a letter
     meet, where its places in both leave room for the common letters that the ratio needs. Long lists of the index are dealt
@@ -188,7 +189,11 @@ def candidate_titles(df: DataFrame, least: float = SIMILAR, days: int = LOOKBACK
     lists = listed.groupBy("stretch", "letter").agg(F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts"))
     old = listed.join(lists, ["stretch", "letter"]).withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)")).drop("parts")
     old = old.withColumnsRenamed({c: f"old_{c}" for c in ("id", "n", "place", *_SIGNS)})
-    new = listed.withColumn("stretch", F.explode(F.array("stretch", F.col("stretch") - 1)))
+    new = listed
+    if asked is not None:
+        wanted = asked.where("title <> ''").distinct().join(titles, "title").select("id", "stretch")
+        new = listed.join(wanted, ["id", "stretch"], "left_semi")
+    new = new.withColumn("stretch", F.explode(F.array("stretch", F.col("stretch") - 1)))
     new = new.join(lists, ["stretch", "letter"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
     dealt = ["stretch", "letter", "part"]
     partitions = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,7 @@ from presswork import registry
 from presswork.operators import dedup, events, feed, reconcile, similar
 from presswork.operators.components import connected_components
 from presswork.plans import stories as plan
-from presswork.shared import shared_path
+from presswork.shared import shared_path, written
 from presswork.sources import feeds, pages
 from presswork.streaming import ingest
 from pyspark.sql import functions as F
@@ -184,18 +184,28 @@ def test_stream_does_not_depend_on_batches(spark):
     assert found == [[("https://a.b/1", "one title"), ("https://a.b/2", "another title")]] * 3
 
 
-def test_event_stream_equals_batch(spark, data):
+def test_a_chain_settles_by_doubling(spark, monkeypatch):
+    """A thousand rows, each of which shares its address with the row before and its hash with the row after, or the other way round."""
+    rows = [(i, f"u{(i + 1) // 2}", f"h{i // 2}") for i in range(1000)]
+    made = []
+    monkeypatch.setattr(ingest, "written", lambda df, name: made.append(name) or written(df, name))
+    frame = spark.createDataFrame(rows, "at int, clean_url string, content_hash string").repartition(3)
+    assert sorted(map(tuple, ingest.first_seen(frame, ["at"]).collect())) == _greedy(rows)
+    assert made.count("first-left") == 1 and made.count("first-chains") <= 13
+
+
+def test_streams_of_events_and_titles_equal_batches(spark, data):
     articles = plan.articles(spark, data).where("article_id % 3 = 0")
-    path, table, links, log = (shared_path(spark, n) for n in ("feed", "table", "links", "log"))
-    middle = articles.approxQuantile("article_id", [0.5], 0)[0]
-    half = "timestamp '2001-05-30 00:00:00'"
-    assert middle
-    for k, part in enumerate((f"published_at < {half}", f"published_at >= {half}")):
-        feeds.write_feed(articles.where(part), f"{path}/{k}")
-        ingest.event_match_stream(feeds.read_feed(spark, f"{path}/*", plan.AS_OF, stream=True), table, links, log)
+    edges = ["timestamp '1999-01-01'", "timestamp '2001-05-10 00:00:00'", "timestamp '2001-05-30 00:00:00'", "timestamp '2003-01-01'"]
+    path, table, titles, links, *logs = (shared_path(spark, n) for n in ("feed", "table", "titles", "links", "log", "log"))
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        feeds.write_feed(articles.where(f"published_at >= {low} and published_at < {high}"), f"{path}/{k}")
+        ingest.title_match_stream(feeds.read_feed(spark, f"{path}/*", plan.AS_OF, stream=True), table, titles, logs[0])
+        ingest.event_match_stream(feeds.read_feed(spark, f"{path}/*", plan.AS_OF, stream=True), links, logs[1])
     whole = ingest.stored(spark, table)
-    want = {tuple(r) for r in dedup.event_links(whole).collect()}
-    assert want and {(r.article_id, r.earlier_id) for r in ingest.stored(spark, links).collect()} == want
+    for want, found in ((dedup.event_links(whole), links), (dedup.similar_links(whole), titles)):
+        want = {tuple(r) for r in want.collect()}
+        assert want and {(r.article_id, r.earlier_id) for r in ingest.stored(spark, found).collect()} == want
 
 
 STORY = "article_id long, published_at timestamp, status string, plain_title string, real_companies array<string>, clean_url string, content_hash string, event_type string"
@@ -217,9 +227,9 @@ def test_events_and_pairs(spark):
     ]
     frame = spark.createDataFrame(rows, STORY)
     pairs = {(r.article_id, r.earlier_id): r.reason for r in reconcile.reconcile_pairs(frame).collect()}
-    assert pairs == {(2, 1): "similar", (3, 2): "event", (6, 1): "url"}
-    events = {r.article_id: (r.event_id, r.level) for r in events.assign_events(frame).collect()}
-    assert events == {1: (1, None), 2: (1, 4), 3: (1, 5), 4: (4, None), 5: (5, None), 6: (1, 2), 7: (1, 5), 8: (1, 2)}
+    assert pairs == {(2, 1): "similar", (3, 2): "event", (6, 1): "url", (8, 6): "url"}
+    placed = {r.article_id: (r.event_id, r.level) for r in events.assign_events(frame).collect()}
+    assert placed == {1: (1, None), 2: (1, 4), 3: (1, 5), 4: (4, None), 5: (5, None), 6: (1, 2), 7: (1, 5), 8: (1, 2)}
 
 
 def test_cache_and_drafts(spark):
