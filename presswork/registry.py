@@ -333,12 +333,12 @@ _CONFLICTS_SQL = f"""select a.report_id, a.fact_type, a.pos as pos_a, b.pos as p
     case when a.fact_type in ({", ".join(DUCK.lit(x) for x in R.HIGH_SEVERITY)}) then 'HIGH' else 'MEDIUM' end as severity, 'OPEN' as status
     from ({_LINE_SQL}) a join ({_LINE_SQL}) b on a.report_id = b.report_id and a.fact_type = b.fact_type and a.pos < b.pos where {_MISMATCH_SQL}"""
 register("fact_conflicts", lambda spark, sf_dir: facts.fact_conflicts(line_facts(spark, sf_dir)), _CONFLICTS_SQL)
-register("open_conflicts", lambda spark, sf_dir: facts.fact_conflicts(line_facts(spark, sf_dir)).where("status = 'OPEN'").groupBy("report_id", "severity").agg(F.count("*").alias("n")), f"select report_id, severity, count(*) as n from ({_CONFLICTS_SQL}) where status = 'OPEN' group by 1, 2")
+register("open_conflicts", lambda spark, sf_dir: facts.conflict_counts(line_facts(spark, sf_dir)).groupBy("report_id", "severity").agg(F.sum("n").alias("n")), f"select report_id, severity, count(*) as n from ({_CONFLICTS_SQL}) where status = 'OPEN' group by 1, 2")
 
 
 def consensus_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_facts(spark, sf_dir)
-    return facts.consensus(rows, facts.fact_conflicts(rows))
+    return facts.consensus(rows, facts.conflict_counts(rows))
 
 
 register("consensus_facts", consensus_facts, f"""with f as ({_LINE_SQL}), c as (select distinct report_id, fact_type from ({_CONFLICTS_SQL})),
@@ -349,7 +349,7 @@ register("consensus_facts", consensus_facts, f"""with f as ({_LINE_SQL}), c as (
 
 def report_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_facts(spark, sf_dir)
-    return facts.research_confidence(line_sources(spark, sf_dir), rows, facts.fact_conflicts(rows))
+    return facts.research_confidence(line_sources(spark, sf_dir), rows, facts.conflict_counts(rows))
 
 
 _CONFIDENCE_SQL = f"""with s as (select distinct l_orderkey as report_id, l_suppkey as source_id from lineitem),
@@ -726,7 +726,7 @@ def found_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("match_candidates", lambda spark, sf_dir: posts.match_candidates(_slim(spark, sf_dir, "plain_title").withColumn("held", (F.col("article_id") % 8).cast("int")), found_entries(spark, sf_dir)))
-register("confirmed_facts", lambda spark, sf_dir: facts.confirmed(line_facts(spark, sf_dir), facts.fact_conflicts(line_facts(spark, sf_dir))).select("report_id", "fact_type", "pos", "num_value"), f"""
+register("confirmed_facts", lambda spark, sf_dir: facts.confirmed(line_facts(spark, sf_dir), facts.conflict_counts(line_facts(spark, sf_dir))).select("report_id", "fact_type", "pos", "num_value"), f"""
     with f as ({_LINE_SQL}), c as (select distinct report_id, fact_type from ({_CONFLICTS_SQL}))
     select report_id, fact_type, pos, num_value from f where fact_type in ({", ".join(DUCK.lit(x) for x in R.NUMERIC_FACTS)}) and (report_id, fact_type) not in (select * from c)""")
 
@@ -737,7 +737,7 @@ def research_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = QUERIES["research_queue"](spark, sf_dir).select(F.col("article_id").alias("report_id"))
     stories = _slim(spark, sf_dir, "title", "summary", "source_name", "research_priority").withColumnRenamed("article_id", "report_id").join(queue, "report_id")
     found = story_facts(spark, sf_dir).withColumnRenamed("article_id", "report_id").join(queue, "report_id").withColumn("source_id", F.col("report_id"))
-    rated = facts.research_confidence(stories.selectExpr("report_id", "source_name", "research_priority as priority"), found, facts.fact_conflicts(found))
+    rated = facts.research_confidence(stories.selectExpr("report_id", "source_name", "research_priority as priority"), found, facts.conflict_counts(found))
     failed = F.expr("trim(concat(coalesce(title, ''), coalesce(summary, ''))) = ''")
     return stories.join(rated, "report_id", "left").select("report_id", F.when(failed, 0).otherwise(F.col("confidence")).alias("confidence"), F.when(failed, "FAILED").otherwise(F.col("status")).alias("status"))
 

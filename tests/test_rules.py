@@ -132,5 +132,5 @@ def test_conflicts(spark):
     frame = spark.createDataFrame(rows, "report_id long, pos int, source_id int, fact_type string, num_value double, text_value string, confidence double")
     found = facts.fact_conflicts(frame)
     assert sorted((r.pos_a, r.pos_b, r.severity) for r in found.collect()) == [(0, 2, "HIGH"), (1, 2, "HIGH")]
-    agreed = {(r.report_id, r.pos, r.confidence) for r in facts.consensus(frame, found).collect()}
+    agreed = {(r.report_id, r.pos, r.confidence) for r in facts.consensus(frame, facts.conflict_counts(frame)).collect()}
     assert agreed == {(1, 0, 0.9), (1, 1, 0.9), (1, 2, 0.9), (2, 1, 1.0)}
