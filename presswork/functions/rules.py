@@ -279,9 +279,7 @@ WHY = {
     "ACQUISITION": "Consolidating operations through acquisition alters market dynamics and expands the acquirer's product portfolio or customer reach.",
     "MERGER": "Mergers combine operational capacities and synergies, aiming for cost efficiencies and combined market footprint.",
     "PROFIT_UPDATE": "Stronger profit performance indicates operational efficiency, improving cash flows and bolstering investor confidence in {company}.",
-    "LOSS_UPDATE": "Widening losses highlight cash burn or developmental phases, necessitating strict capital management by {company}.",
     "REGULATORY_ACTION": "SEBI/RBI regulatory oversight ensures retail protection and market integrity, though it may trigger governance or compliance overheads.",
     "PRODUCT_LAUNCH": "Releasing new products signals active R&D and marks entry into adjacent competitive segments for {company}.",
-    "EXECUTIVE_CHANGE": "Leadership transitions introduce new management philosophies and strategy directions for corporate governance.",
 }
 WHY_DEFAULT = "This development indicates strategic movements within the company's operating sector and triggers adjacent industry ripples."

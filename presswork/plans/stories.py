@@ -330,6 +330,29 @@ def process(df: DataFrame, as_of: str = AS_OF) -> DataFrame:
     return df
 
 
+#: Hours of age at which freshness or staleness change.
+AGE_EDGES = (1, 3, 6, 12, 24, 48, 168, 720, 2160)
+#: What an article has before it is processed.
+RAW = ("article_id", "title", "source_name", "article_url", "country", "published_at", "summary", "source_count")
+
+
+def crossing(earlier: str, later: str) -> str:
+    """SQL: whether an article's age crosses an edge between two times, as ranges of ``published_at``, which a scan prunes by."""
+    ranges = (f"(published_at >= timestamp '{earlier}' - interval '{e}' hour and published_at < timestamp '{later}' - interval '{e}' hour + interval '1' second)" for e in AGE_EDGES)
+    return f"({' or '.join(ranges)})"
+
+
+def rescored(stored: DataFrame, earlier: str, later: str) -> DataFrame:
+    """Stories as of ``later``, from those stored as of ``earlier``: only articles whose age crosses an edge in between are
+    processed again; of the others, no score depends on the time. The columns that tell the age itself and the badge,
+    which follows it by the hour, aren't given."""
+    timed = ("hours", "badge")
+    columns = [c for c in stored.columns if c not in timed]
+    old = stored.where(f"published_at is null or not {crossing(earlier, later)}").select(*columns)
+    new = process(stored.where(crossing(earlier, later)).select(*RAW), later).select(*columns)
+    return old.unionByName(new)
+
+
 def stories(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     return process(articles(spark, sf_dir).withColumn("source_count", F.lit(1)), as_of)
 

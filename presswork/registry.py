@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import rules as R
 from presswork.functions.dialect import DUCK, SPARK, Dialect
-from presswork.operators import dedup, events, facts, feed, posts, reconcile, similar
+from presswork.operators import dedup, events, facts, feed, lexicon, posts, reconcile, similar, store
 from presswork.operators import reports as reports_text
 from presswork.plans import stories as plan
 from presswork.plans.stories import ARTICLES_SQL
@@ -411,6 +411,16 @@ def candidate_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("candidate_angles", candidate_angles, f"""select article_id, {_angles(DUCK)} as angles from (select article_id, event_type, article_id in
     (select article_id from ({_facts_sql()}) where fact_type in ({", ".join(DUCK.lit(x) for x in R.NUMERIC_FACTS)})) as has_facts from ({STORIES_SQL}))""")
 
+def lexicon_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies by the lexicon as a table, through one automaton."""
+    names = spark.createDataFrame([(c, c.upper() if c in R.COMPANIES_UPPER else c.title()) for c in R.COMPANIES], "name string, shown string")
+    rows = plan.articles(spark, sf_dir).selectExpr("article_id", "lower(concat(title, ' ', coalesce(summary, ''))) as low_text")
+    known = f"filter(names, x -> lower(x) not in ({', '.join(SPARK.lit(c) for c in R.NON_COMPANIES)}))"
+    return lexicon.tagged(rows, names, "low_text").selectExpr("article_id", f"array_join({known}, '|') as names")
+
+
+register("lexicon_entities", lexicon_entities, f"select article_id, array_to_string(list_sort(lexicon_companies), '|') as names from ({STORIES_SQL})")
+
 # --- pages and feeds ---
 
 register("extract_article_text", lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", pages.extract_article_text("html").alias("text")))
@@ -450,11 +460,18 @@ _OLD, _NEW = "o_orderkey as article_id, o_orderstatus as status, o_totalprice as
 
 
 def upsert_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return feed.upsert(orders.selectExpr(*_OLD.split(", ")), orders.where("o_orderkey % 5 = 0").selectExpr("o_orderkey + 100 as article_id", "case when o_orderkey % 2 = 0 then 'NEW' end as status"), "article_id")
-
-
-register("upsert_stories", upsert_stories, f"""select coalesce(b.article_id, a.article_id) as article_id, coalesce(b.status, a.status) as status, a.value
+    """Stories stored, then some given anew and some added: the table after the merge, with the times of the last changes."""
+    orders, path = table(spark, sf_dir, "orders"), shared_path(spark, "stored-stories")
+    old = orders.selectExpr(*_OLD.split(", "))
+    store.merge_into(path, old, "article_id", plan.AS_OF, "load")
+    new = orders.where("o_orderkey % 5 = 0").selectExpr("o_orderkey + 100 as article_id", "case when o_orderkey % 2 = 0 then 'NEW' end as status")
+    store.merge_into(path, new, "article_id", _NEXT_DAY, "merge", old.schema)
+    return store.stored(spark, path, old.schema).selectExpr("article_id", "status", "value", "cast(created_at as string) as created_at", "cast(updated_at as string) as updated_at")
+
+
+_NEXT_DAY = "2001-08-02 00:00:00"
+register("upsert_stories", upsert_stories, f"""select coalesce(b.article_id, a.article_id) as article_id, coalesce(b.status, a.status) as status, a.value,
+    case when a.article_id is null then '{_NEXT_DAY}' else '{plan.AS_OF}' end as created_at, case when a.article_id is null or (b.status is not null and b.status is distinct from a.status) then '{_NEXT_DAY}' else '{plan.AS_OF}' end as updated_at
     from (select {_OLD} from orders) a full join (select {_NEW} from orders where o_orderkey % 5 = 0) b on a.article_id = b.article_id""")
 register("replace_report_children", lambda spark, sf_dir: feed.replace_children(line_facts(spark, sf_dir).select("report_id", "pos"), line_facts(spark, sf_dir).where("report_id % 7 = 0 and pos = 1").selectExpr("report_id", "pos + 100 as pos"), "report_id"), f"""
     with f as ({_LINE_SQL}), n as (select report_id, pos + 100 as pos from f where report_id % 7 = 0 and pos = 1)
@@ -530,7 +547,7 @@ register("exact_reconciliation_plan", lambda spark, sf_dir: exact_plan(spark, sf
 register("exact_apply_plan", lambda spark, sf_dir: exact_plan(spark, sf_dir).selectExpr("article_id", "if(article_id <> primary_id, 'MERGED', status) as status", "if(article_id <> primary_id, primary_id, null) as merged_into_id").selectExpr("article_id", "status", "coalesce(cast(merged_into_id as string), '') as merged_into_id"), f"""
     select article_id, case when size > 1 and article_id <> primary_id then 'MERGED' else status end as status, case when size > 1 and article_id <> primary_id then cast(primary_id as varchar) else '' end as merged_into_id from ({_PLAN_SQL})""")
 _NEXT = "2001-08-02 00:00:00"
-register("rescore", lambda spark, sf_dir: plan.stories(spark, sf_dir, _NEXT).select("article_id", "freshness_bonus", "staleness_multiplier", "final_score"), f"select article_id, freshness_bonus, staleness_multiplier, final_score from ({plan.stories_sql(_NEXT)})")
+register("rescore", lambda spark, sf_dir: plan.rescored(_slim(spark, sf_dir, *(c for c in plan.RAW if c != "article_id"), "freshness_bonus", "staleness_multiplier", "final_score"), plan.AS_OF, _NEXT).select("article_id", "freshness_bonus", "staleness_multiplier", "final_score"), f"select article_id, freshness_bonus, staleness_multiplier, final_score from ({plan.stories_sql(_NEXT)})")
 register("reprocess", lambda spark, sf_dir: plan.process(plan.articles(spark, sf_dir).join(table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 3 as article_id"), "article_id", "left_semi").withColumn("source_count", F.lit(1)), _NEXT).select("article_id", "final_score"), f"select article_id, final_score from ({plan.stories_sql(_NEXT)}) where article_id in (select s_suppkey * 3 from supplier)")
 register("late_articles", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", f"published_at < {plan.STAMP} - interval '7' day as late"), f"select article_id, published_at < {plan.STAMP} - interval '7' day as late from ({ARTICLES_SQL})")
 
