@@ -37,7 +37,7 @@ CONTEXT, DIMENSION = 4, 16
 #: Rounds of training, tokens of a step, noise samples of a step, and the rate.
 ROUNDS, STEP, NOISE, RATE = 3, 1024, 64, 0.15
 #: Parts of the parameters that are averaged apart, tokens scored at a time, and bytes of text worked on at a time.
-PARTS, SCORED, SLICE = 16, 8192, 8 << 20
+PARTS, SCORED, SLICE = 16, 512, 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -194,21 +194,26 @@ class Bilinear:
 
     def log_probabilities(self, classes: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of classes after those before them, normalised over all classes."""
-        out = np.empty(len(classes))
-        made = np.ascontiguousarray(self.made.T)
-        scaled = [self.read * self.scale[i] for i in range(CONTEXT)]
+        out, made = np.empty(len(classes)), np.vstack([self.made.T, self.bias[None]])
+        # The bias is met by a further column, one in what is scaled for the first place and nothing elsewhere.
+        scaled = [np.hstack([self.read * self.scale[i], np.full((len(self.read), 1), float(i == 0), np.float32)]) for i in range(CONTEXT)]
+        held, each, rows = np.empty((SCORED, self.classes), np.float32), np.ones(self.classes, np.float32), np.arange(SCORED)
         for low in range(0, len(classes), SCORED):
             part = context[low : low + SCORED]
-            h = scaled[0][part[:, 0]]
+            h = scaled[0].take(part[:, 0], axis=0)
             for i in range(1, CONTEXT):
-                h += scaled[i][part[:, i]]
-            scores = h @ made
-            scores += self.bias
-            own = scores[np.arange(len(scores)), classes[low : low + SCORED]].astype(float)
-            top = scores.max(axis=1, keepdims=True)
-            scores -= top
-            np.exp(scores, out=scores)
-            out[low : low + SCORED] = own - top[:, 0] - np.log(scores.sum(axis=1, dtype=np.float64))
+                h += scaled[i].take(part[:, i], axis=0)
+            scores = np.matmul(h, made, out=held[: len(h)])
+            own = scores[rows[: len(h)], classes[low : low + SCORED]].astype(float)
+            with np.errstate(over="ignore"):
+                sums = np.exp(scores, out=scores) @ each
+            if not (sums.min() > 1e-30 and sums.max() < 1e30):  # powers over- or underflow
+                scores = np.matmul(h, made, out=held[: len(h)])
+                top = scores.max(axis=1, keepdims=True)
+                scores -= top
+                out[low : low + SCORED] = own - top[:, 0] - np.log(np.exp(scores, out=scores) @ each)
+                continue
+            out[low : low + SCORED] = own - np.log(sums)
         return out
 
     def _update(self, name: str, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
