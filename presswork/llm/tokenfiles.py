@@ -31,11 +31,11 @@ from presswork.shared import shared_path, written
 
 MAGIC, HEAD = b"PWT2", struct.Struct("<4sIIIQI")
 #: Ids in a block, at least (a longer document is one block), and bytes of a file, about.
-BLOCK_IDS, FILE_BYTES = 1 << 18, 128 << 20
+BLOCK_IDS, FILE_BYTES = 1 << 18, 32 << 20
 #: Ids of a range on average; a range is sorted and written by one task.
 PART_IDS = 1 << 24
 #: Rows drawn for each range to bound it (eight bytes each).
-SAMPLED = 16
+SAMPLED = 64
 #: Words that a worker keeps with their ids.
 WORDS = 400_000
 #: Where documents without an id stand: before all others.
