@@ -62,6 +62,19 @@ MOVES = (
     ("\U0001f4c9 {who} stock just dropped {moved}%.", "Investors are worried about {who} right now."),
 )
 IN_FOCUS, HEADLINE = "\U0001f4ca {who} shares are in focus today.", "\U0001f4f0 {title}"
+#: The hook of each strategy.
+HOOKS = {
+    "number_led": "{fact}. That's the {label} figure {who} just put on the board.",
+    "consequence_negative": "This could change how investors look at {who} next quarter.",
+    "consequence_positive": "This could reshape {who}'s next growth phase.",
+    "contrast": "{who} stock {direction} {moved}% today. But the real story is what's underneath it →",
+    "curiosity": "There's one number in {who}'s update most headlines are missing.",
+    "investor_angle": "Why are investors suddenly paying attention to {who}?",
+    "breaking": "{who} just made a move that could reshape what comes next.",
+    "data_led": "{first} isn't the biggest surprise here. {second} is.",
+    "question": "Is {company} turning a corner, or is this a one-off?",
+    "second_order": "The immediate reaction is obvious. The second-order effect is more interesting.",
+}
 
 
 def printf(d: Dialect, form: str, x: str) -> str:
@@ -84,32 +97,44 @@ def shown(d: Dialect, kind: str, value: str, currency: str) -> str:
     return f"case when {kind} in ('stock_movement', 'percentage') then concat({printf(d, '%.1f', f'abs({value})')}, '%') when {kind} = 'subscription_number' then concat({printf(d, '%.1f', value)}, 'x') else {amount(d, value, currency)} end"
 
 
+def filled(d: Dialect, form: str, **parts: str) -> str:
+    """SQL: a template whose names in braces are replaced by expressions."""
+    pieces, rest = [], form
+    while rest:
+        head, brace, tail = rest.partition("{")
+        if head:
+            pieces.append(d.lit(head))
+        name, _, rest = tail.partition("}") if brace else ("", "", "")
+        if name:
+            pieces.append(parts[name])
+    return f"concat({', '.join(pieces)})"
+
+
 def hook(d: Dialect) -> str:
     """The text of ``strategy`` for a story with its first two facts; null where it isn't eligible."""
     who = "coalesce(main_company, 'This company')"
     label = "trim(replace(replace(kind_1, '_', ' '), 'amount', ''))"
     title = "concat(upper(substr({0}, 1, 1)), substr({0}, 2))"
-    words = " ".join
 
     def titled(kind: str) -> str:
         first, second = f"split_part({kind}, '_', 1)", f"split_part({kind}, '_', 2)"
         return f"concat({title.format(first)}, case when {second} = '' then '' else concat(' ', {title.format(second)}) end)"
 
-    return words(
-        (
-            "case strategy",
-            f"when 'number_led' then case when kind_1 is not null and kind_1 not in ('stock_movement', 'percentage') then concat({shown(d, 'kind_1', 'value_1', 'currency_1')}, {d.lit('. That\'s the ')}, {label}, ' figure ', {who}, ' just put on the board.') end",
-            f"when 'consequence' then case impact when 'negative' then concat('This could change how investors look at ', {who}, ' next quarter.') when 'positive' then concat('This could reshape ', {who}, {d.lit('\'s next growth phase.')}) end",
-            f"when 'contrast' then case when moved is not null then concat({who}, ' stock ', case when moved >= 0 then 'jumped ' else 'fell ' end, {printf(d, '%.1f', 'abs(moved)')}, {d.lit('% today. But the real story is what\'s underneath it →')}) end",
-            f"when 'curiosity' then case when kind_1 is not null then concat({d.lit('There\'s one number in ')}, {who}, {d.lit('\'s update most headlines are missing.')}) end",
-            f"when 'investor_angle' then case when event_type in ({', '.join(d.lit(e) for e in INVESTOR_EVENTS)}) then concat('Why are investors suddenly paying attention to ', {who}, '?') end",
-            f"when 'breaking' then case when event_type in ({', '.join(d.lit(e) for e in BREAKING_EVENTS)}) then concat({who}, ' just made a move that could reshape what comes next.') end",
-            f"when 'data_led' then case when kind_2 is not null then concat({titled('kind_1')}, {d.lit(' isn\'t the biggest surprise here. ')}, {titled('kind_2')}, ' is.') end",
-            "when 'question' then case when main_company is not null then concat('Is ', main_company, ' turning a corner, or is this a one-off?') end",
-            f"when 'second_order' then case when event_type in ({', '.join(d.lit(e) for e in SECOND_EVENTS)}) then 'The immediate reaction is obvious. The second-order effect is more interesting.' end",
-            "else null end",
-        )
-    )
+    def within(events: tuple[str, ...]) -> str:
+        return f"event_type in ({', '.join(d.lit(e) for e in events)})"
+
+    parts = {
+        "who": who, "label": label, "company": "main_company", "fact": shown(d, "kind_1", "value_1", "currency_1"), "moved": printf(d, "%.1f", "abs(moved)"),
+        "direction": "case when moved >= 0 then 'jumped' else 'fell' end", "first": titled("kind_1"), "second": titled("kind_2"),
+    }
+    eligible = (
+        ("number_led", "kind_1 is not null and kind_1 not in ('stock_movement', 'percentage')", "number_led"),
+        ("consequence", "impact = 'negative'", "consequence_negative"), ("consequence", "impact = 'positive'", "consequence_positive"),
+        ("contrast", "moved is not null", "contrast"), ("curiosity", "kind_1 is not null", "curiosity"), ("investor_angle", within(INVESTOR_EVENTS), "investor_angle"),
+        ("breaking", within(BREAKING_EVENTS), "breaking"), ("data_led", "kind_2 is not null", "data_led"), ("question", "main_company is not null", "question"),
+        ("second_order", within(SECOND_EVENTS), "second_order"),
+    )
+    return "case " + " ".join(f"when strategy = '{strategy}' and {condition} then {filled(d, HOOKS[name], **parts)}" for strategy, condition, name in eligible) + " else null end"
 
 
 def post(d: Dialect) -> str:
@@ -141,36 +166,25 @@ def baseline(d: Dialect) -> list[dict[str, str]]:
     """Layers over a story with the NAMED facts and ``numbers``, its numeric facts in order (structs p, k, v, c): the opening,
     the plain line, the post, its thread and the image's lines."""
 
-    def filled(form: str, **parts: str) -> str:
-        pieces, rest = [], form
-        while rest:
-            head, brace, tail = rest.partition("{")
-            if head:
-                pieces.append(d.lit(head))
-            name, _, rest = tail.partition("}") if brace else ("", "", "")
-            if name:
-                pieces.append(parts[name])
-        return f"concat({', '.join(pieces)})"
-
     hooks, lines, used = [], [], []
     for event, (kind, with_fact, without, line) in BASELINE.items():
         if kind:
-            hooks.append(f"when event_type = '{event}' and {kind} is not null then {filled(with_fact, who='who', fact=amount(d, f'{kind}.v', f'{kind}.c'))}")
+            hooks.append(f"when event_type = '{event}' and {kind} is not null then {filled(d, with_fact, who='who', fact=amount(d, f'{kind}.v', f'{kind}.c'))}")
             used.append(f"when event_type = '{event}' then {kind}.p")
-        hooks.append(f"when event_type = '{event}' then {filled(without, who='who')}")
-        lines.append(f"when event_type = '{event}' then {filled(line, who='who')}")
+        hooks.append(f"when event_type = '{event}' then {filled(d, without, who='who')}")
+        lines.append(f"when event_type = '{event}' then {filled(d, line, who='who')}")
     moved = printf(d, "%.1f", "abs(stock_movement.v)")
     for sign, (opening, line) in zip((">= 0", "< 0"), MOVES):
         when = f"when event_type = 'STOCK_MOVEMENT' and stock_movement.v {sign} then "
-        hooks.append(when + filled(opening, who="who", moved=moved))
-        lines.append(when + filled(line, who="who"))
-    hooks.append(f"when event_type = 'STOCK_MOVEMENT' then {filled(IN_FOCUS, who='who')}")
+        hooks.append(when + filled(d, opening, who="who", moved=moved))
+        lines.append(when + filled(d, line, who="who"))
+    hooks.append(f"when event_type = 'STOCK_MOVEMENT' then {filled(d, IN_FOCUS, who='who')}")
     used.append("when event_type = 'STOCK_MOVEMENT' then stock_movement.p")
     results = f"event_type in ({', '.join(d.lit(e) for e in RESULT_EVENTS)})"
     for kind in ("profit", "revenue"):
-        hooks.append(f"when {results} and {kind} is not null then {filled(RESULTS[0], who='who', label=d.lit(kind), fact=amount(d, f'{kind}.v', f'{kind}.c'))}")
-    hooks.append(f"when {results} then {filled(RESULTS[1], who='who')}")
-    lines.append(f"when {results} then {filled(RESULTS[2], who='who')}")
+        hooks.append(f"when {results} and {kind} is not null then {filled(d, RESULTS[0], who='who', label=d.lit(kind), fact=amount(d, f'{kind}.v', f'{kind}.c'))}")
+    hooks.append(f"when {results} then {filled(d, RESULTS[1], who='who')}")
+    lines.append(f"when {results} then {filled(d, RESULTS[2], who='who')}")
     used.append(f"when {results} then coalesce(profit.p, revenue.p)")
     named = "case x.k " + " ".join(f"when '{k}' then '{k.replace('_', ' ').title()}'" for k in MONEY_FACTS) + " end"
     others = d.where("numbers", "used is null or x.p <> used")
@@ -181,7 +195,7 @@ def baseline(d: Dialect) -> list[dict[str, str]]:
     present = d.where(thread, "x is not null")
     return [
         {"who": f"coalesce({guarded(d)}, 'This company')"},
-        {"hook": f"case {' '.join(hooks)} else {filled(HEADLINE, title='title')} end", "line": f"case {' '.join(lines)} end", "used": f"case {' '.join(used)} end"},
+        {"hook": f"case {' '.join(hooks)} else {filled(d, HEADLINE, title='title')} end", "line": f"case {' '.join(lines)} end", "used": f"case {' '.join(used)} end"},
         {"both_lines": both, "shown": shown_facts, "source_line": source_line(d)},
         {
             "post_text": f"case when length(both_lines) <= {LIMIT} then {truncated(d, 'both_lines')} else {truncated(d, 'hook')} end",

@@ -16,6 +16,13 @@ BANDS = (
     (50, "This report has MEDIUM confidence. Sources are generally reliable, but metrics may represent secondary reporting."),
     (0, "This report has LOW confidence. Verify core numbers manually before drafting content."),
 )
+#: Heads of the sections, the first with the title behind it, and lines that name a value.
+TITLE = "# Research Report: "
+HEADS = ("## WHAT HAPPENED", "## KEY FACTS", "## IMPORTANT NUMBERS", "## ENTITIES", "## WHY IT MATTERS", "## SOURCE VERIFICATION", "## CONFLICTS DETECTED", "## RESEARCH CONFIDENCE")
+FACT_LINES = (("- **Primary Company**: ", "coalesce(main_company, 'Generic')"), ("- **Category**: ", "category"), ("- **Event Action**: ", "event_type"))
+ENTITY_LINES = (("- **Companies**: ", "companies", "None identified"), ("- **Sectors**: ", "sectors", "None identified"), ("- **Countries**: ", "countries", "Global"))
+SOURCE_LINES = ("1. **[", "]**: ", "   - URL: ", "   - Priority Rating: ", "/100 (Extraction Status: COMPLETED)")
+RATING_LINE = ("**Confidence Rating: ", "/100**")
 REPORTED = (*R.NUMERIC_FACTS, "ipo_price_band")
 UNITS = {"stock_movement": " percentage", "subscription_number": " times"}
 
@@ -30,15 +37,20 @@ def fact_line(d: Dialect) -> str:
 
 def report(d: Dialect, why: str) -> str:
     """The report of a story with ``numbers`` (its fact lines, or null) that one source has told."""
+    happened, facts, numbers, entities, matters, checked, conflicts, confidence = (d.lit(h) for h in HEADS)
+    open_name, close_name, url, rating, extracted = (d.lit(x) for x in SOURCE_LINES)
+    before, after = (d.lit(x) for x in RATING_LINE)
+    named = (f"concat({d.lit(label)}, case when {d.size(column)} > 0 then {d.join(column, ', ')} else '{none}' end)" for label, column, none in ENTITY_LINES)
+    bands = "case " + " ".join(f"when confidence_score >= {least} then {d.lit(said)}" for least, said in BANDS) + " end"
     sections = (
-        ("concat('# Research Report: ', title)",),
-        ("'## WHAT HAPPENED'", f"case when summary <> '' then summary else replace({d.lit(HAPPENED)}, '{{title}}', title) end"),
-        ("'## KEY FACTS'", "concat('- **Primary Company**: ', coalesce(main_company, 'Generic'))", "concat('- **Category**: ', category)", "concat('- **Event Action**: ', event_type)"),
-        ("'## IMPORTANT NUMBERS'", f"coalesce(numbers, {d.lit(NO_NUMBERS)})"),
-        ("'## ENTITIES'", *(f"concat('- **{label}**: ', case when {d.size(column)} > 0 then {d.join(column, ', ')} else '{none}' end)" for label, column, none in (("Companies", "companies", "None identified"), ("Sectors", "sectors", "None identified"), ("Countries", "countries", "Global")))),
-        ("'## WHY IT MATTERS'", why),
-        ("'## SOURCE VERIFICATION'", d.lit(CHECKED), "concat('1. **[', source_name, ']**: ', title)", "concat('   - URL: ', article_url)", "concat('   - Priority Rating: ', cast(research_priority as string), '/100 (Extraction Status: COMPLETED)')"),
-        ("'## CONFLICTS DETECTED'", d.lit(AGREED)),
-        ("'## RESEARCH CONFIDENCE'", "concat('**Confidence Rating: ', cast(confidence_score as string), '/100**')", "''", "case " + " ".join(f"when confidence_score >= {least} then {d.lit(said)}" for least, said in BANDS) + " end"),
-    )
+        (f"concat({d.lit(TITLE)}, title)",),
+        (happened, f"case when summary <> '' then summary else replace({d.lit(HAPPENED)}, '{{title}}', title) end"),
+        (facts, *(f"concat({d.lit(label)}, {value})" for label, value in FACT_LINES)),
+        (numbers, f"coalesce(numbers, {d.lit(NO_NUMBERS)})"),
+        (entities, *named),
+        (matters, why),
+        (checked, d.lit(CHECKED), f"concat({open_name}, source_name, {close_name}, title)", f"concat({url}, article_url)", f"concat({rating}, cast(research_priority as string), {extracted})"),
+        (conflicts, d.lit(AGREED)),
+        (confidence, f"concat({before}, cast(confidence_score as string), {after})", "''", bands),
+    )
     return "concat(" + ", chr(10), chr(10), ".join(", chr(10), ".join(lines) for lines in sections) + ")"
