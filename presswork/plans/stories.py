@@ -117,6 +117,11 @@ def _hashes(d: Dialect) -> dict[str, str]:
     return {"no_stopwords": d.join(words, " ")}
 
 
+def earnings_kind(d: Dialect) -> str:
+    """What a title about results tells of."""
+    return f"case when {d.has('low_title', ('profit', 'surges', 'surged'))} then 'PROFIT_UPDATE' when {d.has('low_title', ('revenue',))} then 'REVENUE_UPDATE' else 'EARNINGS' end"
+
+
 def _classes(d: Dialect) -> dict[str, str]:
     moves, percents = d.hit("low_text", R.MOVE_VERBS), d.count("low_text", R.PERCENT)
     when = []
@@ -132,8 +137,7 @@ def _classes(d: Dialect) -> dict[str, str]:
     event = [f"when {d.has('low_title', w)} then {d.lit(n)}" for n, w in R.EVENTS_1]
     event.append(f"when {d.has('low_title', R.LISTING)} and not {d.has('low_title', R.LISTING_NOT)} then 'IPO_LISTING'")
     event.append(f"when {d.has('low_title', ('ipo',))} then 'IPO_ANNOUNCEMENT'")
-    inner = f"case when {d.has('low_title', ('profit', 'surges', 'surged'))} then 'PROFIT_UPDATE' when {d.has('low_title', ('revenue',))} then 'REVENUE_UPDATE' else 'EARNINGS' end"
-    event.append(f"when {d.has('low_title', R.EARNINGS)} then {inner}")
+    event.append(f"when {d.has('low_title', R.EARNINGS)} then {earnings_kind(d)}")
     event += [f"when {d.has('low_title', w)} then {d.lit(n)}" for n, w in R.EVENTS_2]
     figure = d.replace("low_title", ",")
     billions, millions = d.extract(figure, r"\$\s*(\d+(?:\.\d+)?)\s*(?:billion|b)\b"), d.extract(figure, r"\$\s*(\d+(?:\.\d+)?)\s*(?:million|m)\b")

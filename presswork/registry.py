@@ -486,7 +486,19 @@ register("normalize_timestamps", lambda spark, sf_dir: table(spark, sf_dir, "eve
     "select event_id, case event_id % 5 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 1 then strftime(date_trunc('second', ts) - interval '330' minute, '%Y-%m-%d %H:%M:%S') when 2 then strftime(ts, '%Y-%m-%d %H:%M:%S') end as at from events")
 register("parse_pub_date", lambda spark, sf_dir: table(spark, sf_dir, "events").selectExpr("event_id", f"{_STAMPS['published']} as text").select("event_id", feeds.publication_time(F.col("text"), F.lit(plan.AS_OF).cast("timestamp")).cast("string").alias("at")),
     f"select event_id, case event_id % 4 when 1 then strftime(date_trunc('second', ts) - interval '330' minute, '%Y-%m-%d %H:%M:%S') when 3 then '{plan.AS_OF}' else strftime(ts, '%Y-%m-%d %H:%M:%S') end as at from events")
-register("image_url", lambda spark, sf_dir: table(spark, sf_dir, "pages").selectExpr("page_id", "nullif(regexp_extract(html, '<img[^>]*src=\"([^\"]*)\"', 1), '') as image_url"), "select page_id, nullif(regexp_extract(html, '<img[^>]*src=\"([^\"]*)\"', 1), '') as image_url from pages")
+_CONTENT = "case when article_id % 4 in (0, 2) then concat('https://img.example.com/c/', article_id) when article_id % 8 = 1 then '' end"
+_THUMBNAIL = "case when article_id % 4 in (1, 2) then concat('https://img.example.com/t/', article_id) end"
+
+
+def image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of articles landed with media elements."""
+    path = shared_path(spark, "media-feed")
+    rows = plan.articles(spark, sf_dir).selectExpr("article_id", "cast(article_id as string) as title", "article_url", "published_at", "summary")
+    feeds.write_feed(rows.selectExpr("*", f"{_CONTENT} as content_url", f"{_THUMBNAIL} as thumbnail_url").drop("article_id"), path)
+    return feeds.read_feed(spark, path, plan.AS_OF).selectExpr("cast(title as bigint) as article_id", "image_url")
+
+
+register("image_url", image_url, f"select article_id, coalesce(nullif({_CONTENT}, ''), {_THUMBNAIL}) as image_url from ({ARTICLES_SQL})")
 
 
 def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -731,8 +743,35 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("stream_event_match", stream_event_match)
 register("stream_ingest", stream_ingest, f"select title, article_url, published_at, summary from ({ARTICLES_SQL})")
-_FEEDS = "s_name as name, case s_suppkey % 3 when 0 then 'google_news' when 1 then 'rss' end as type, concat('https://feeds.example.com/', s_suppkey) as url, case s_suppkey % 4 when 0 then false when 1 then true end as enabled"
-register("feed_registry", lambda spark, sf_dir: feeds.enabled_feeds(spark.sql("select " + _FEEDS + " from {s}", s=table(spark, sf_dir, "supplier"))), f"select name, coalesce(type, 'rss') as type, url from (select {_FEEDS} from supplier) where coalesce(enabled, true)")
+#: A registry of feeds: every supplier is one, by its key.
+_FEEDS = {
+    "slug": "cast(s_suppkey as string)", "name": "s_name", "url": "concat('https://feeds.example.com/', s_suppkey)", "type": "case s_suppkey % 3 when 0 then 'google_news' when 1 then 'rss' end",
+    "category": "case s_nationkey % 2 when 0 then 'REGULATORY' else 'OTHER' end", "country": "case when s_nationkey % 3 > 0 then 'India' end",
+    "enabled": "case s_suppkey % 4 when 0 then false when 1 then true end", "priority": "cast(s_suppkey % 5 as int)",
+}
+_FEEDS_SQL = f"select {', '.join(f'{e} as {n}' for n, e in _FEEDS.items())} from supplier"
+#: Feeds that articles are landed by.
+_LANDED = 20
+
+
+def landed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry landed as a file and read back."""
+    path = shared_path(spark, "feed-registry")
+    rows = table(spark, sf_dir, "supplier").selectExpr(*(f"{e} as {n}" for n, e in _FEEDS.items()))
+    rows.write.json(path)
+    return feeds.read_registry(spark, path, lines=True)
+
+
+def collected_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles landed in the folders of their feeds, with what the registry says of these."""
+    path = shared_path(spark, "collected-feed")
+    feeds.write_feed(plan.articles(spark, sf_dir).withColumn("feed", (F.col("article_id") % _LANDED).cast("string")), path)
+    return feeds.collected(feeds.read_feed(spark, path, plan.AS_OF), landed_registry(spark, sf_dir)).select("title", "article_url", "source_name", "category", "country")
+
+
+register("feed_registry", lambda spark, sf_dir: landed_registry(spark, sf_dir).select("name", "type", "url", "category", "country"), f"select name, coalesce(type, 'rss') as type, url, category, country from ({_FEEDS_SQL}) where coalesce(enabled, true)")
+register("collected_articles", collected_articles, f"""select title, article_url, f.name as source_name, f.category, coalesce(f.country, 'Global') as country from ({ARTICLES_SQL}) a
+    join (select * from ({_FEEDS_SQL}) where coalesce(enabled, true)) f on f.slug = cast(a.article_id % {_LANDED} as varchar)""")
 
 
 def found_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -777,7 +816,7 @@ def _of_titles(name: str, expression) -> None:
 _of_documents("normalize_title", lambda d: plan._clean(d, "text"))
 _of_documents("truncate_ellipsis", lambda d: posts.truncated(d, "text"))
 _of_titles("ipo_listing_rule", lambda d: f"({d.has('low_title', R.LISTING)} and not {d.has('low_title', R.LISTING_NOT)})")
-_of_titles("earnings_rule", lambda d: d.has("low_title", R.EARNINGS))
+_of_titles("earnings_rule", lambda d: f"case when {d.has('low_title', R.EARNINGS)} then {plan.earnings_kind(d)} end")
 register("company_guard", lambda spark, sf_dir: _slim(spark, sf_dir, "main_company").selectExpr("article_id", f"{posts.guarded(SPARK)} as company"), f"select article_id, {posts.guarded(DUCK)} as company from ({STORIES_SQL})")
 register("source_line", lambda spark, sf_dir: plan.articles(spark, sf_dir).selectExpr("article_id", f"{posts.source_line(SPARK)} as line"), f"select article_id, {posts.source_line(DUCK)} as line from ({ARTICLES_SQL})")
 _AMOUNTS = {"format_amount": lambda d: posts.amount(d, "num_value", "currency"), "format_fact_value": lambda d: posts.shown(d, "fact_type", "num_value", "currency")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import difflib
+import json
 import random
 
 import numpy as np
@@ -130,6 +131,26 @@ def test_page_text():
     assert pages.page_text("no tags") is None and pages.page_text("") is None
 
 
+def test_feeds_of_a_registry_file(spark, tmp_path):
+    (tmp_path / "sources.json").write_text(json.dumps([{"slug": "a", "name": "A", "url": "u", "category": "IPO"}, {"slug": "b", "name": "B", "url": "v", "enabled": False}, {"slug": "c", "name": "C", "type": "google_news", "enabled": True, "country": "India", "priority": 1}], indent=2))
+    registry = feeds.read_registry(spark, f"file://{tmp_path}/sources.json")
+    assert [(r.name, r.type) for r in registry.orderBy("name").collect()] == [("A", "rss"), ("C", "google_news")]
+    articles = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("c", "t3"), ("d", "t4")], "feed string, title string").withColumns({"article_url": F.col("title"), "published_at": F.lit(DAY), "summary": F.lit("s")})
+    path = shared_path(spark, "by-feed")
+    feeds.write_feed(articles, path)
+    got = feeds.collected(feeds.read_feed(spark, path, plan.AS_OF), registry).collect()
+    assert sorted((r.title, r.source_name, r.category, r.country) for r in got) == [("t1", "A", "IPO", "Global"), ("t3", "C", None, "India")]
+
+
+def test_images_of_items(spark):
+    rows = [("both", "c", "t"), ("thumb", None, "t&\"<"), ("empty", "", "t"), ("none", None, None)]
+    frame = spark.createDataFrame(rows, "title string, content_url string, thumbnail_url string").withColumns({"article_url": F.col("title"), "published_at": F.lit(DAY), "summary": F.lit("a < b & c")})
+    path = shared_path(spark, "media")
+    feeds.write_feed(frame.coalesce(2), path)
+    got = feeds.read_feed(spark, path, plan.AS_OF).collect()
+    assert {r.title: r.image_url for r in got} == {"both": "c", "thumb": "t&\"<", "empty": "t", "none": None} and {r.summary for r in got} == {"a < b & c"}
+
+
 def test_feed_times(spark):
     texts = ["Tue, 31 Jul 2001 23:00:00 +0530", "31 Jul 2001 10:00:00 GMT", "2001-07-31T10:00:00+00:00", "nonsense", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", feeds.publication_time(F.col("t"), F.lit(plan.AS_OF).cast("timestamp")).cast("string").alias("t"))
