@@ -8,11 +8,16 @@ reaches as far as the window from its founder and doesn't drift on along later a
 In parallel this is a fixpoint: an article that no undecided earlier one might match is a founder; all that match the new
 founders are decided with them; and so on with the rest. A round needs, of each key and stretch of the window's length,
 the first and last undecided time, and never the pairs of a group. Rounds grow with the longest chain of founders in time,
-not with the articles; what is left shrinks.
+not with the articles; what is left shrinks. The last few thousand articles, a fixed number for any input, are taken one
+by one, which spares the long tail of rounds over next to nothing.
 """
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +26,8 @@ from presswork.operators.dedup import conflicts
 from presswork.operators.similar import DAY, LOOKBACK_DAYS, SIMILAR, candidate_titles, verified
 from presswork.shared import written
 
-#: Rounds until which a job must have settled.
-ROUNDS = 10_000
+#: Rounds until which a job must have settled, and undecided articles that are taken one by one.
+ROUNDS, LAST = 10_000, 2048
 _LEGS = ("clean_url", "content_hash")
 
 
@@ -94,6 +99,42 @@ def _matches(rows: DataFrame, founders: DataFrame, similar: DataFrame, window: i
     return every
 
 
+def _founders_in_order(rows: list[dict], least: float, window: int) -> list[int]:
+    """Ids of the founders among a few articles, which are taken in their order."""
+    founders: list[tuple[dict, set, set]] = []
+    held: dict[str, set] = {leg: set() for leg in _LEGS}
+    matcher, alike = difflib.SequenceMatcher(None), {}
+
+    def similar(a: str, b: str) -> bool:
+        if (a, b) not in alike:
+            matcher.set_seqs(a, b)
+            alike[a, b] = matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least
+        return alike[a, b]
+
+    for row in sorted(rows, key=lambda r: (r["t"], r["article_id"])):
+        companies, told = set(row["real_companies"] or ()), set(row["events"] or ())
+        if any(row[leg] is not None and row[leg] in held[leg] for leg in _LEGS):
+            continue
+        near = [f for f in founders if row["t"] - f[0]["t"] <= window]
+        if any(told & events or row["title"] and f["title"] and not (companies and theirs and not companies & theirs) and (row["title"] == f["title"] or similar(row["title"], f["title"])) for f, theirs, events in near):
+            continue
+        founders.append((row, companies, told))
+        for leg in _LEGS:
+            held[leg].add(row[leg])
+    return [f["article_id"] for f, _, _ in founders]
+
+
+def _last_founders(left: DataFrame, least: float, window: int) -> DataFrame:
+    """The founders among LAST articles or fewer, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(_founders_in_order(rows, least, window), pa.int64())], ["article_id"])
+
+    found = left.select("article_id", "t", *_LEGS, "title", "real_companies", "events").coalesce(1).mapInArrow(run, "article_id long")
+    return left.join(found, "article_id", "left_semi")
+
+
 def founders_of(df: DataFrame, days: int = LOOKBACK_DAYS, least: float = SIMILAR, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
     """``(article_id, event_id, level)`` of every article, founders with their own id and no level, and the number of rounds.
 
@@ -104,23 +145,28 @@ def founders_of(df: DataFrame, days: int = LOOKBACK_DAYS, least: float = SIMILAR
     rows, kinds = _prepared(df, days)
     near = _near(rows, kinds, least, days)
     left, founders, similar, n = rows, None, None, 0
-    while not left.isEmpty():
+    while few := left.limit(LAST + 1).count():
         if n == rounds:
             raise RuntimeError(f"events did not settle in {rounds} rounds")
         n += 1
-        lead = left
-        for key in _LEGS:
-            first = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(_at()).alias("first"))
-            lead = lead.join(first, key, "left").where("first is null or first = struct(t, article_id)").drop("first").select(*rows.columns)
-        new = written(lead.join(_blocked(lead, left, near, window), "article_id", "left_anti"), "event-founders")
+        if few <= LAST:
+            new = written(_last_founders(left, least, window), "event-founders")
+        else:
+            lead = left
+            for key in _LEGS:
+                first = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(_at()).alias("first"))
+                lead = lead.join(first, key, "left").where("first is null or first = struct(t, article_id)").drop("first").select(*rows.columns)
+            new = written(lead.join(_blocked(lead, left, near, window), "article_id", "left_anti"), "event-founders")
         asked = near.join(new.select(F.col("kind").alias("other")).distinct(), "other")
         true = verified(asked.where("title <> earlier_title").select("title", "earlier_title").distinct(), least, even=False)
         known = asked.where("title = earlier_title").select("kind", "other").unionByName(asked.join(true, ["title", "earlier_title"]).select("kind", "other"))
         known = written(known, "event-similar")
         similar = known if similar is None else similar.unionByName(known)
+        founders = new if founders is None else founders.unionByName(new)
+        if few <= LAST:
+            break
         joined = _matches(left, new, known, window).select("article_id").distinct()
         left = written(left.join(new.select("article_id").union(joined), "article_id", "left_anti"), "event-left")
-        founders = new if founders is None else founders.unionByName(new)
     if founders is None:
         return rows.select("article_id", F.col("article_id").alias("event_id"), F.lit(None).cast("int").alias("level")), 0
     # Of a level the latest founder; of addresses and hashes there is one.

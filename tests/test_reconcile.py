@@ -140,8 +140,9 @@ def test_events_do_not_drift(spark):
     assert got == {0: (0, None), 1: (0, 5), 2: (2, None), 3: (2, 5), 4: (4, None)}
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_founders_are_those_of_a_sequence(spark, seed):
+@pytest.mark.parametrize("seed,last", [(5, 0), (6, 20), (7, 2048)])
+def test_founders_are_those_of_a_sequence(spark, monkeypatch, seed, last):
+    monkeypatch.setattr(events, "LAST", last)  # none, few or all are taken one by one
     frame = spark.createDataFrame(made(seed, 120, 30), STORY).repartition(3)
     got, rounds = events.founders_of(frame)
     assert {r.article_id: (r.event_id, r.level) for r in got.collect()} == one_by_one(frame.collect()) and rounds < 40
