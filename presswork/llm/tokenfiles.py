@@ -41,33 +41,40 @@ WORDS = 400_000
 #: Where documents without an id stand: before all others.
 NO_ID, UNNAMED = -(1 << 63), 1 << 31
 
-_FIELDS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
-#: For each control byte: the length of each of its four ids.
-LENGTHS = (_FIELDS + 1).astype(np.uint8)
+#: For each control byte: how many bytes each of its four ids has beyond the first.
+MORE = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
+#: For these numbers: which of four bytes are used, as four booleans in one value.
+USED = np.array([0x01, 0x0101, 0x010101, 0x01010101], "<u4")
+
+
+def _taken(lengths: np.ndarray, quads: np.ndarray) -> np.ndarray:
+    """Which fields of the documents' control bytes stand for an id; the last byte of a document may have up to three others."""
+    free = 4 * quads - lengths
+    taken = np.ones(4 * int(quads.sum()), bool)
+    taken[ragged(4 * np.cumsum(quads) - free, free)] = False
+    return taken
 
 
 def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Control bytes and data bytes of each document's unsigned 32-bit ranks."""
     ranks, lengths = np.ascontiguousarray(ranks, "<u4"), lengths.astype(np.int64)
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    more = (ranks > 0xFF).view(np.uint8) + (ranks > 0xFFFF).view(np.uint8) + (ranks > 0xFFFFFF).view(np.uint8)
     quads = -(-lengths // 4)
-    ends = np.cumsum(quads)
-    fields = np.zeros(4 * int(ends[-1]) if len(ends) else 0, np.uint8)
-    fields[ragged(4 * (ends - quads), lengths)] = size - 1
-    control = (fields.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    cuts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(lengths)])]
-    return binaries(control, quads), binaries(data, np.diff(cuts))
+    fields = np.zeros(4 * int(quads.sum()), np.uint8)
+    fields[_taken(lengths, quads)] = more
+    control = fields[::4] | fields[1::4] << 2 | fields[2::4] << 4 | fields[3::4] << 6
+    data = ranks.view(np.uint8)[USED.take(more).view(bool)]
+    cuts = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])[np.concatenate([[0], np.cumsum(lengths)])]
+    return binaries(control, quads), binaries(data, np.diff(cuts) + lengths)
 
 
 def decode_ranks(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
     """The ranks back, one document after another; each control byte looks up its four lengths."""
     lengths = lengths.astype(np.int64)
-    quads = -(-lengths // 4)
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[ragged(4 * (np.cumsum(quads) - quads), lengths)]
-    out = np.zeros((len(size), 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")
+    more = MORE.take(np.frombuffer(control, np.uint8), axis=0).reshape(-1)[_taken(lengths, -(-lengths // 4))]
+    out = np.zeros(4 * len(more), np.uint8)
+    out[USED.take(more).view(bool)] = np.frombuffer(data, np.uint8)
+    return out.view("<u4")
 
 
 def encode_block(keys: list[int | None], lengths: list[int], control: bytes, data: bytes, base: int) -> bytes:
