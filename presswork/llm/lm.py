@@ -178,19 +178,14 @@ class Bilinear:
         return model
 
     def contexts(self, classes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The classes before each token within its text; the place before a text's begin is the class after the last."""
-        index = np.arange(len(classes)) - np.repeat(np.cumsum(n) - n, n)
-        out = np.full((len(classes), CONTEXT), self.classes, np.int32)
+        """The classes before each token within its text; the place before a text's begin is the class after the last. Each
+        column lies in one piece."""
+        out, begins = np.full((CONTEXT, len(classes)), self.classes, np.int32), np.cumsum(n) - n
         for i in range(CONTEXT):
-            fits = index > i
-            out[fits, i] = classes[np.flatnonzero(fits) - i - 1]
-        return out
-
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        out = self.read[context[:, 0]] * self.scale[0]
-        for i in range(1, CONTEXT):
-            out += self.read[context[:, i]] * self.scale[i]
-        return out
+            out[i, i + 1 :] = classes[: max(0, len(classes) - i - 1)]
+            for j in range(i + 1):
+                out[i, begins[n > j] + j] = self.classes
+        return out.T
 
     def log_probabilities(self, classes: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of classes after those before them, normalised over all classes."""
@@ -221,29 +216,36 @@ class Bilinear:
         seen[rows] += gradient * gradient
         values[rows] += RATE * gradient / np.sqrt(seen[rows])
 
-    def _scattered(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+    def _scattered(self, rows: np.ndarray, **gradients: np.ndarray) -> None:
         """Add up gradients of equal rows first."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # few classes, so they are sorted by digits
         ordered = rows[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        self._update(name, ordered[first], np.add.reduceat(gradient[order], first, axis=0))
+        for name, gradient in gradients.items():
+            self._update(name, ordered[first], np.add.reduceat(gradient.take(order, axis=0), first, axis=0))
 
     def step(self, classes: np.ndarray, context: np.ndarray, noise: np.ndarray, log_noise: np.ndarray) -> None:
         """One step of noise-contrastive estimation: tell each class from ``noise``, drawn by the class frequencies, of which
         all tokens of the step share the samples. ``log_noise``: logarithms of the noise's expected number of each class."""
-        h = self.predicted(context)
+        read = [self.read.take(context[:, i], axis=0) for i in range(CONTEXT)]
+        h = read[0] * self.scale[0]
+        for i in range(1, CONTEXT):
+            h += read[i] * self.scale[i]
         rate = 1.0 / len(classes)
-        own = np.einsum("ij,ij->i", h, self.made[classes]) + self.bias[classes] - log_noise[classes]
-        other = h @ self.made[noise].T + (self.bias[noise] - log_noise[noise])
+        made, others = self.made.take(classes, axis=0), self.made.take(noise, axis=0)
+        own = np.einsum("ij,ij->i", h, made) + self.bias[classes] - log_noise[classes]
         up = ((1.0 / (1.0 + np.exp(np.clip(own, -30, 30)))) * rate).astype(np.float32)
-        down = ((-1.0 / (1.0 + np.exp(np.clip(-other, -30, 30)))) * rate).astype(np.float32)
-        back = up[:, None] * self.made[classes] + down @ self.made[noise]
-        rows = np.concatenate([classes, noise])
-        self._scattered("made", rows, np.concatenate([up[:, None] * h, down.T @ h]))
-        self._scattered("bias", rows, np.concatenate([up, down.sum(axis=0)]))
-        read = [self.read[context[:, i]] for i in range(CONTEXT)]
-        self._scattered("read", context.T.ravel(), np.concatenate([back * self.scale[i] for i in range(CONTEXT)]))
-        self._update("scale", slice(None), np.stack([(back * r).sum(axis=0) for r in read]))
+        down = h @ others.T
+        down += self.bias[noise] - log_noise[noise]
+        np.clip(np.negative(down, out=down), -30, 30, out=down)
+        np.exp(down, out=down)
+        down += 1.0
+        np.divide(-1.0, down, out=down)
+        down *= rate
+        back = up[:, None] * made + down @ others
+        self._scattered(np.concatenate([classes, noise]), made=np.concatenate([up[:, None] * h, down.T @ h]), bias=np.concatenate([up, down.sum(axis=0)]))
+        self._scattered(context.T.ravel(), read=np.concatenate([back * self.scale[i] for i in range(CONTEXT)]))
+        self._update("scale", slice(None), np.stack([np.einsum("ij,ij->j", back, r) for r in read]))
 
 
 def _trained(rows: DataFrame, vocabulary: Vocabulary, model: Bilinear) -> Bilinear:
@@ -262,12 +264,11 @@ def _trained(rows: DataFrame, vocabulary: Vocabulary, model: Bilinear) -> Biline
             for low, high in slices(texts, SLICE):
                 n, codes, words = tokens_of(texts.slice(low, high - low))
                 classes = known.classes(words, known.places(words))[codes]
-                context = mine.contexts(classes, n)
                 order = random.permutation(len(classes))
+                context, dealt = mine.contexts(classes, n).T.take(order, axis=1).T, classes[order]
                 for begin in range(0, len(order), STEP):
-                    at = order[begin : begin + STEP]
                     noise = np.minimum(np.searchsorted(edges, random.random(NOISE)), len(share) - 1).astype(np.int32)
-                    mine.step(classes[at], context[at], noise, log_noise)
+                    mine.step(dealt[begin : begin + STEP], context[begin : begin + STEP], noise, log_noise)
                 seen += len(classes)
         if seen:
             parts = np.array_split(mine.flat.astype(float) * seen, PARTS)
